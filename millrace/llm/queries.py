@@ -6,8 +6,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, token_count, warc
+from . import bpe, histogram_shard, pareto_mix, token_count, warc
 
+WORDS = r"[^\x20\x09-\x0D]+"
 BPE_RANKS, BPE_JSON = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
 
 
@@ -15,6 +16,20 @@ def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFr
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
 
 
+def op1_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce(F.col("text"), F.lit(""))
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text").select(
+        "doc_id",
+        (F.octet_length(text) + F.lit(16)).cast("long").alias("size"),
+        F.crc32(text.cast("binary")).alias("text_crc32"),
+        F.xxhash64("text").alias("text_hash"),
+    )
+    out = histogram_shard.shard(docs, 40, group="text_hash", ident="doc_id", size="size")
+    return out.select(
+        "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents", "doc_id", "text")
     out = token_count.count_tokens(docs, public_tokenizers.path(BPE_JSON))
@@ -28,6 +43,13 @@ def op4_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text", "source").select(
+        "doc_id", "source", F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long").alias("size")
+    )
+    return pareto_mix.mix(docs, "size").select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents", "doc_id", "text")
     vocab = public_tokenizers.path(BPE_RANKS), public_tokenizers.PATTERN
@@ -41,8 +63,10 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_histogram_sort": op1_histogram_sort,
     "op3_token_counts": op3_token_counts,
     "op4_warc_round_trip": op4_warc_round_trip,
+    "op5_pareto_mix": op5_pareto_mix,
     "op8_byte_bpe": op8_byte_bpe,
 }
 
@@ -57,4 +81,35 @@ ORACLE: dict[str, str] = {
           CASE WHEN p.page_id <> f.first_id THEN f.first_id END AS refers_to
         FROM p LEFT JOIN f ON p.d = f.d AND p.n >= 100
     """,
+    # the remaining words of a source are filled by Pareto rank; v, u and the cut are those of the operator
+    "op5_pareto_mix": r"""
+        WITH d AS (
+          SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
+            CAST('0x' || substr(md5('mix-1|' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12) AS BIGINT) AS u
+          FROM documents),
+        s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+        w AS (SELECT *, (row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1 AS w FROM s),
+        l AS (
+          SELECT *, (CAST(sum(source_size) OVER () AS DOUBLE) - CAST(coalesce(sum(source_size) OVER (
+                ORDER BY source_size / w, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS DOUBLE) * 3.0)
+              / sum(w) OVER (ORDER BY source_size / w, source ASC NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+          FROM w),
+        t AS (SELECT source, source_size, least(source_size * CAST(3 AS DOUBLE), w * max(level) OVER ()) AS target FROM l),
+        p AS (
+          SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM t),
+        q AS (SELECT *, greatest(target - whole * source_size, 0.0) AS rest FROM p),
+        r AS (SELECT *, CASE WHEN source_size > 0 THEN rest / source_size ELSE 0.0 END AS share FROM q),
+        o AS (
+          SELECT d.doc_id, d.source, d.size, source_size, target, whole, rest, share,
+            (u + CAST(0.5 AS DOUBLE)) / CAST(281474976710656 AS DOUBLE) AS x
+          FROM d JOIN r ON d.source IS NOT DISTINCT FROM r.source),
+        k AS (SELECT *, CASE WHEN share > 0 AND share < 1 THEN (x / (1 - x)) / (share / (1 - share)) END AS ratio FROM o),
+        v AS (SELECT *, CAST(floor(ratio / (1 + ratio) * CAST(281474976710656 AS DOUBLE)) AS BIGINT) AS v FROM k),
+        c AS (
+          SELECT *, sum(size) OVER (PARTITION BY source, v IS NULL ORDER BY v, doc_id NULLS FIRST
+            ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto FROM v)
+        SELECT doc_id, size, source_size, target,
+          CAST(size * (whole + CASE WHEN v IS NOT NULL AND upto * 2 - size <= rest * 2 THEN 1 ELSE 0 END) AS BIGINT) AS taken
+        FROM c
+    """,
 }
