@@ -56,6 +56,16 @@ def without(df: DataFrame, names: list[str]) -> DataFrame:
     return df if len(kept) == len(df.columns) else df.select(*[f"`{c}`" for c in kept])
 
 
+def pieces(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most ``most`` bytes, or of one row where a row is larger."""
+    if batch.num_rows <= 1 or batch.nbytes <= most:
+        yield batch
+        return
+    half = batch.num_rows // 2
+    yield from pieces(batch.slice(0, half), most)
+    yield from pieces(batch.slice(half), most)
+
+
 def add_columns(
     df: DataFrame,
     source: str,

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, histogram_shard, pareto_mix, token_count, warc
+from . import bpe, cross_polytope, histogram_shard, ngram_join, pareto_mix, token_count, voronoi_knn, warc
 
 WORDS = r"[^\x20\x09-\x0D]+"
 BPE_RANKS, BPE_JSON = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
@@ -50,6 +50,12 @@ def op5_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pareto_mix.mix(docs, "size").select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_voronoi_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    out = voronoi_knn.top_k(rows, "vec_id", "embedding", F.col("id") % 20 == 0, k=20, scale=64)
+    return out.withColumn("score", F.col("score").cast("long"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents", "doc_id", "text")
     vocab = public_tokenizers.path(BPE_RANKS), public_tokenizers.PATTERN
@@ -62,12 +68,24 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings", "vec_id", "embedding")
+    return cross_polytope.search(rows, "vec_id", "embedding", F.col("id") % 20 == 0, k=20)
+
+
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar(_table(spark, sf_dir, "documents", "doc_id", "text"), num=90, den=100, n=3)
+
+
 QUERIES = {
     "op1_histogram_sort": op1_histogram_sort,
     "op3_token_counts": op3_token_counts,
     "op4_warc_round_trip": op4_warc_round_trip,
     "op5_pareto_mix": op5_pareto_mix,
+    "op6_voronoi_knn": op6_voronoi_knn,
     "op8_byte_bpe": op8_byte_bpe,
+    "op9_cross_polytope": op9_cross_polytope,
+    "op10_ngram_jaccard": op10_ngram_jaccard,
 }
 
 ORACLE: dict[str, str] = {
@@ -112,4 +130,31 @@ ORACLE: dict[str, str] = {
           CAST(size * (whole + CASE WHEN v IS NOT NULL AND upto * 2 - size <= rest * 2 THEN 1 ELSE 0 END) AS BIGINT) AS taken
         FROM c
     """,
+    "op6_voronoi_knn": """
+        WITH v AS (
+          SELECT vec_id, list_transform(embedding, lambda x: floor(64 * CAST(x AS DOUBLE))) AS v FROM embeddings),
+        p AS (
+          SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.v, c.v) AS BIGINT) AS score
+          FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id)
+        SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank,
+          vec_id, score
+        FROM p QUALIFY rank <= 20
+    """,
+    "op10_ngram_jaccard": r"""
+        WITH RECURSIVE w AS (
+          SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+            'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        g AS (
+          SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+            ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS g
+          FROM w),
+        s AS (SELECT doc_id, unnest(g) AS s FROM g),
+        n AS (SELECT doc_id, CAST(len(g) AS BIGINT) AS n FROM g),
+        c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+        l AS (
+          SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 90 * (x.n + y.n - c)),
+        r AS (SELECT doc_id, doc_id AS root FROM n UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.doc_id AND r.root < l.b)
+        SELECT n.doc_id, n.n AS n_shingles, min(r.root) AS component_id
+        FROM n JOIN r ON r.doc_id = n.doc_id GROUP BY ALL
+    """,
 }
