@@ -11,6 +11,8 @@ from pyspark.sql import types as T
 
 #: Used only where the session names no shared folder, as in tests.
 FALLBACK_DIR = "/tmp/checkpoints"
+#: Bytes of Arrow data turned into Python objects at a time.
+PIECE_BYTES = 2 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -71,11 +73,15 @@ def add_columns(
     source: str,
     fields: list[T.StructField],
     make: Callable[[], Callable[[list], list[pa.Array]]],
+    piece_bytes: int = PIECE_BYTES,
+    ahead_bytes: int | None = None,
 ) -> DataFrame:
     """Append columns computed by Python from one column; all others pass through Arrow untouched.
 
-    ``make()`` runs once a task and returns a function from a batch's values to one
-    Arrow array per field. A column of ``df`` named like a field is replaced.
+    ``make()`` runs once a task and returns a function from the values of at most
+    ``piece_bytes`` of rows to one Arrow array per field. A column of ``df`` named like a field is replaced.
+    With ``ahead_bytes``, its attribute ``ahead`` is first called with all values of that many
+    bytes of rows, and then it is for each piece of them.
     """
     if source.lower() in {f.name.lower() for f in fields}:
         raise ValueError(f"the source column {source} can't be a result column")
@@ -85,10 +91,14 @@ def add_columns(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
-        for batch in batches:
-            made = f(batch.column(at).to_pylist())
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns, *made], names=[*batch.schema.names, *(x.name for x in fields)]
-            )
+        for whole in batches:
+            for large in pieces(whole, ahead_bytes or piece_bytes):
+                if ahead_bytes:
+                    f.ahead(x for p in pieces(large, piece_bytes) for x in p.column(at).to_pylist())
+                for batch in pieces(large, piece_bytes):
+                    made = f(batch.column(at).to_pylist())
+                    yield pa.RecordBatch.from_arrays(
+                        [*batch.columns, *made], names=[*batch.schema.names, *(x.name for x in fields)]
+                    )
 
     return base.mapInArrow(run, schema)

@@ -32,7 +32,7 @@ def op1_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents", "doc_id", "text")
-    out = token_count.count_tokens(docs, public_tokenizers.path(BPE_JSON))
+    out = token_count.count_tokens(docs, public_tokenizers.path(BPE_JSON), pattern=public_tokenizers.PATTERN)
     return out.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
