@@ -36,6 +36,8 @@ from pyspark.sql import functions as F
 from .common import materialise, scratch_path
 
 ARCHIVE_BYTES, DEDUP_BYTES, PIECE = 128 << 20, 100, 1 << 16
+#: Most tasks that read archives at once.
+READERS = 10_000
 WARC_DATE = "2024-01-01T00:00:00Z"
 END = b"\r\n\r\n"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -245,7 +247,8 @@ def read_archives(manifest: DataFrame, folder: str, payloads: bool = True) -> Da
                 if rows:
                     yield made(rows)
 
-    return manifest.repartition("archive").mapInArrow(run, RECORD)
+    # a stated number, for the tiny rows of a manifest would else be gathered in one task
+    return manifest.repartition(max(1, min(READERS, manifest.count())), "archive").mapInArrow(run, RECORD)
 
 
 def round_trip(pages: DataFrame, payloads: bool = True) -> DataFrame:
