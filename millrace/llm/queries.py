@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, cross_polytope, histogram_shard, ngram_join, pareto_mix, token_count, voronoi_knn, warc
+from . import bpe, cross_polytope, histogram_shard, ngram_join, pareto_mix, pii, token_count, voronoi_knn, warc
 
 WORDS = r"[^\x20\x09-\x0D]+"
 BPE_RANKS, BPE_JSON = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
@@ -30,6 +30,16 @@ def op1_histogram_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.find(_table(spark, sf_dir, "documents", "doc_id", "text"), keep_text=False)
+    return out.select(
+        "doc_id",
+        *[f"n_{k}" for k in pii.BASE],
+        F.sha2(pii.digest(F.filter("spans", lambda c: c["base"])).cast("binary"), 256).alias("base_sha256"),
+        pii.digest(F.col("spans")).alias("spans"),
+    )
+
+
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents", "doc_id", "text")
     out = token_count.count_tokens(docs, public_tokenizers.path(BPE_JSON), pattern=public_tokenizers.PATTERN)
@@ -79,6 +89,7 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_histogram_sort": op1_histogram_sort,
+    "op2_pii_spans": op2_pii_spans,
     "op3_token_counts": op3_token_counts,
     "op4_warc_round_trip": op4_warc_round_trip,
     "op5_pareto_mix": op5_pareto_mix,
