@@ -100,8 +100,9 @@ def mix(
     )
     plan = plan.withColumn("share", F.when(F.col("source_size") > 0, F.col("left") / F.col("source_size")).otherwise(0.0))
     state = materialise(
-        plan.withColumns({"lo": F.lit(0).cast("long"), "bits": F.lit(BITS), "below": F.lit(0).cast("long")}), "mix-plan"
-    )
+        plan.withColumns({"lo": F.lit(0).cast("long"), "bits": F.lit(BITS), "below": F.lit(0).cast("long")}).repartition(1),
+        "mix-plan",
+    )  # a row a source: one file
 
     drawn = (F.col("share") > 0) & (F.col("share") < 1)
     v = F.when(drawn, _rank(F.col("__u"), F.col("share"), F.col("__p")))
@@ -139,7 +140,7 @@ def mix(
                 F.coalesce(F.col("c.n"), F.lit(0)).alias("n"),
             )
         )
-        new = materialise(refined, "mix-plan")
+        new = materialise(refined.repartition(1), "mix-plan")
         discard(state)
         most = new.where("bits > 0").agg(F.max("n")).first()[0] or 0
         state = new.drop("n")
