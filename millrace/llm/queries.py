@@ -6,11 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, cross_polytope, histogram_shard, ngram_join, pareto_mix, pii, token_count, voronoi_knn, warc
+from . import bpe, cross_polytope, histogram_shard, ngram_join, pareto_mix, pii, token_count, toxicity, voronoi_knn, warc
 
 WORDS = r"[^\x20\x09-\x0D]+"
 BPE_RANKS, BPE_JSON = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
 
+#: The chain's categories in order, from the columns of ``labels``.
+TOXIC_CATEGORIES = {"low_quality": 1 - F.col("quality"), "toxic": F.col("toxic")}
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
@@ -66,6 +69,13 @@ def op6_voronoi_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("score", F.col("score").cast("long"))
 
 
+def op7_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text")
+    chain = toxicity.fit(docs, _table(spark, sf_dir, "labels", "doc_id", "quality", "toxic"), TOXIC_CATEGORIES)
+    scored = toxicity.predict(docs, chain)
+    return scored.select("doc_id", "low_quality", F.col("toxic").alias("toxicity"), (F.col("toxic") >= 0.5).alias("toxic"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents", "doc_id", "text")
     vocab = public_tokenizers.path(BPE_RANKS), public_tokenizers.PATTERN
@@ -94,6 +104,7 @@ QUERIES = {
     "op4_warc_round_trip": op4_warc_round_trip,
     "op5_pareto_mix": op5_pareto_mix,
     "op6_voronoi_knn": op6_voronoi_knn,
+    "op7_toxicity_chain": op7_toxicity_chain,
     "op8_byte_bpe": op8_byte_bpe,
     "op9_cross_polytope": op9_cross_polytope,
     "op10_ngram_jaccard": op10_ngram_jaccard,
