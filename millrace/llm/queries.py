@@ -78,12 +78,12 @@ def op7_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents", "doc_id", "text")
-    vocab = public_tokenizers.path(BPE_RANKS), public_tokenizers.PATTERN
-    out = bpe.decode(bpe.encode(docs, *vocab).drop("text"), *vocab)
+    vocab, pattern = public_tokenizers.path(BPE_RANKS), public_tokenizers.PATTERN
+    out = bpe.encode(docs, vocab, pattern, joined="said", decoded="decoded")
     return out.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
-        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("said").cast("binary"), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
 
