@@ -1,19 +1,67 @@
-"""The corpus pipeline: stages over ``documents``, each an operator of millrace.llm."""
+"""The corpus pipeline: stages over ``documents``, each an operator of millrace.llm.
+
+Every stage takes what its predecessor kept and returns the columns of ``documents`` (the
+last adds the token ids). Between stages the driver, or ``run``, writes Parquet and reads it.
+"""
 
 from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from millrace.llm import bpe
+from millrace.llm import bpe, ngram_join, pareto_mix, pii, toxicity
 from millrace.llm.common import materialise
+from millrace.llm.queries import TOXIC_CATEGORIES, WORDS
+
+TOXIC_FROM = 0.5
+
+
+def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the chain finds toxic go."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    chain = toxicity.fit(docs, labels, TOXIC_CATEGORIES)
+    scored = toxicity.predict(docs, chain)
+    return scored.where(F.col("toxic") < TOXIC_FROM).select(*docs.columns)
+
+
+def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by a similarity of 0.8 on five-word shingles, that with the smallest doc_id stays.
+
+    Of rows equal in doc_id and text one stays; rows without doc_id stay.
+    """
+    found = ngram_join.similar(docs, num=80, den=100, n=5)
+    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    numbered = kept.where("doc_id IS NOT NULL").withColumn("__text", F.xxhash64("text"))
+    return numbered.dropDuplicates(["doc_id", "__text"]).drop("__text").unionByName(kept.where("doc_id IS NULL"))
+
+
+def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each span of personal data is replaced by its kind in brackets; n_chars follows."""
+    out = pii.redact(pii.find(docs))
+    return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix takes it."""
+    sized = docs.withColumn("__size", F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long"))
+    return pareto_mix.repeated(pareto_mix.mix(sized, "__size")).select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of each document."""
     return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
-STAGES = [("encode", encode)]
+STAGES = [
+    ("toxicity", reject_toxic),
+    ("near-duplicates", keep_one_of_each_group),
+    ("personal data", redact_personal_data),
+    ("mixing", mix_sources),
+    ("encoding", encode),
+]
+#: SQL can't express the fitted models of the first and third stage.
 ORACLE_SQL = None
 
 
@@ -22,5 +70,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            docs = materialise(docs, f"pipeline-{name}")
+            docs = materialise(docs, "pipeline-" + name.replace(" ", "-"))
     return docs
