@@ -1 +1 @@
-"""millrace.operators"""
+"""Operators that Spark lacks or has no efficient plan for, as compositions of DataFrame operations."""

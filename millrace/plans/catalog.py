@@ -1,37 +1,486 @@
-"""Queries over the test tables, each with the DuckDB SQL that gives the same rows."""
+"""Queries over the test tables, each with the DuckDB SQL that gives the same rows.
+
+Money is summed as decimals, so that a sum does not depend on its order.
+"""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from millrace import functions as MF
+from millrace import streaming
+from millrace.operators.asof import asof_join
+from millrace.operators.ranges import range_join
+from millrace.operators.skew import salted_join
+from millrace.operators.windows import groups_frame, sessions, top_per_group
+from millrace.sources import formats
 from millrace.sources.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
+def _query(oracle: str | None = None):
+    """Register a function as the query of its name."""
+
+    def register(f):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLE[f.__name__] = oracle
+        return f
+
+    return register
+
+
+def _sql(name: str, text: str, oracle: str | None = None) -> None:
+    """Register Spark SQL over tables in braces; ``oracle``: DuckDB's text where the dialects differ."""
+    names = sorted(set(re.findall(r"\{(\w+)\}", text)))
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return spark.sql(text, **{n: table(spark, sf_dir, n) for n in names})
+
+    run.__name__ = name
+    QUERIES[name] = run
+    ORACLE[name] = oracle or re.sub(r"\{(\w+)\}", r"\1", text)
+
+
+def _exact(c) -> F.Column:
+    return F.col(c).cast("decimal(18,6)") if isinstance(c, str) else c
+
+
+# ---------------------------------------------------------------- aggregation
+
+
+@_query("""
+    SELECT l_returnflag, l_linestatus, CAST(sum(CAST(l_quantity AS DECIMAL(18,6))) AS DOUBLE) AS sum_qty,
+      CAST(sum(CAST(l_extendedprice AS DECIMAL(18,6))) AS DOUBLE) AS sum_base_price,
+      CAST(sum(CAST(l_extendedprice AS DECIMAL(18,6)) * (1 - CAST(l_discount AS DECIMAL(8,6)))) AS DOUBLE) AS sum_disc_price,
+      CAST(sum(CAST(l_discount AS DECIMAL(18,6))) AS DOUBLE) / count(*) AS avg_disc, count(*) AS count_order
+    FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL
+""")
 def pricing_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    price = F.col("l_extendedprice") * (1 - F.col("l_discount"))
+    price = _exact("l_extendedprice") * (1 - F.col("l_discount").cast("decimal(8,6)"))
     return (
         table(spark, sf_dir, "lineitem")
         .where("l_shipdate <= timestamp_ntz'1998-09-02'")
         .groupBy("l_returnflag", "l_linestatus")
         .agg(
-            F.sum("l_quantity").alias("sum_qty"),
-            F.sum("l_extendedprice").alias("sum_base_price"),
-            F.sum(price).alias("sum_disc_price"),
-            F.avg("l_discount").alias("avg_disc"),
+            F.sum(_exact("l_quantity")).cast("double").alias("sum_qty"),
+            F.sum(_exact("l_extendedprice")).cast("double").alias("sum_base_price"),
+            F.sum(price).cast("double").alias("sum_disc_price"),
+            (F.sum(_exact("l_discount")).cast("double") / F.count(F.lit(1))).alias("avg_disc"),
             F.count(F.lit(1)).alias("count_order"),
         )
     )
 
 
-QUERIES["pricing_summary"] = pricing_summary
-ORACLE["pricing_summary"] = """
-    SELECT l_returnflag, l_linestatus, sum(l_quantity) AS sum_qty, sum(l_extendedprice) AS sum_base_price,
-      sum(l_extendedprice * (1 - l_discount)) AS sum_disc_price, avg(l_discount) AS avg_disc, count(*) AS count_order
-    FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY ALL
-"""
+_sql("count_distinct", "SELECT o_orderpriority, count(DISTINCT o_custkey) AS customers FROM {orders} GROUP BY o_orderpriority")
+for _kind, _by in (
+    ("cube", "CUBE (o_orderstatus, o_orderpriority)"),
+    ("rollup", "ROLLUP (o_orderstatus, o_orderpriority)"),
+    ("grouping_sets", "GROUPING SETS ((o_orderstatus), (o_orderpriority), ())"),
+):
+    _sql(
+        f"agg_{_kind}",
+        f"SELECT o_orderstatus, o_orderpriority, count(*) AS n, CAST(grouping(o_orderstatus) AS INT) AS g FROM {{orders}} GROUP BY {_by}",
+    )
+_sql(
+    "percentiles",
+    "SELECT l_returnflag, percentile(l_quantity, 0.5) AS med, percentile_disc(0.9) WITHIN GROUP (ORDER BY l_quantity) AS p90 "
+    "FROM {lineitem} GROUP BY l_returnflag",
+    "SELECT l_returnflag, quantile_cont(l_quantity, 0.5) AS med, quantile_disc(l_quantity, 0.9) AS p90 FROM lineitem GROUP BY 1",
+)
+_sql(
+    "agg_filter",
+    "SELECT o_orderstatus, count(*) FILTER (WHERE o_totalprice > 100000) AS big, count_if(o_totalprice <= 100000) AS small FROM {orders} GROUP BY o_orderstatus",
+    "SELECT o_orderstatus, count(*) FILTER (WHERE o_totalprice > 100000) AS big, CAST(count_if(o_totalprice <= 100000) AS BIGINT) AS small FROM orders GROUP BY 1",
+)
+_sql(
+    "max_min_by",
+    "SELECT c_nationkey, max_by(c_custkey, struct(c_acctbal, c_custkey)) AS richest, min_by(c_custkey, struct(c_acctbal, c_custkey)) AS poorest FROM {customer} GROUP BY c_nationkey",
+    "SELECT c_nationkey, arg_max(c_custkey, (c_acctbal, c_custkey)) AS richest, arg_min(c_custkey, (c_acctbal, c_custkey)) AS poorest FROM customer GROUP BY 1",
+)
+_sql(
+    "collect_distinct",
+    "SELECT c_nationkey, array_join(array_sort(collect_set(c_mktsegment)), ',') AS segments FROM {customer} GROUP BY c_nationkey",
+    "SELECT c_nationkey, array_to_string(list_sort(list(DISTINCT c_mktsegment)), ',') AS segments FROM customer GROUP BY 1",
+)
+_sql(
+    "bool_bit_aggregates",
+    "SELECT c_mktsegment, bool_and(c_acctbal > -1000) AS b_all, bool_or(c_acctbal > 9000) AS b_any, bit_and(c_custkey) AS k_and, "
+    "bit_or(c_custkey) AS k_or, bit_xor(c_custkey) AS k_xor FROM {customer} GROUP BY c_mktsegment",
+)
+_sql(
+    "min_max_any",
+    "SELECT p_brand, min(p_size) AS least, max(p_size) AS most, count(*) AS n, CAST(sum(p_size) AS BIGINT) AS total FROM {part} GROUP BY p_brand",
+)
+
+
+@_query("SELECT l_returnflag, skewness(l_quantity) > -1 AS bounded, count(*) AS n FROM lineitem GROUP BY 1")
+def skewness_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_returnflag")
+    return rows.agg((MF.sample_skewness(F.col("l_quantity")) > -1).alias("bounded"), F.count(F.lit(1)).alias("n"))
+
+
+@_query()
+def approximate_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches: rows differ between engines by design."""
+    rows = table(spark, sf_dir, "orders")
+    return rows.agg(
+        F.approx_count_distinct("o_custkey").alias("hyperloglog"),
+        F.hll_sketch_estimate(F.hll_sketch_agg("o_custkey")).alias("hll_sketch"),
+        F.approx_percentile("o_totalprice", 0.5).alias("median"),
+    )
+
+
+# ---------------------------------------------------------------------- joins
+
+_sql(
+    "inner_join",
+    "SELECT n_name, count(*) AS orders FROM {orders} JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nationkey = n_nationkey GROUP BY n_name",
+)
+_sql("left_join", "SELECT o_orderkey, count(l_orderkey) AS n FROM {orders} LEFT JOIN {lineitem} ON o_orderkey = l_orderkey GROUP BY o_orderkey")
+_sql("right_join", "SELECT count(o_orderkey) AS n, count(*) AS m FROM {lineitem} RIGHT JOIN {orders} ON o_orderkey = l_orderkey AND l_quantity > 45")
+_sql(
+    "full_join",
+    "SELECT o_orderkey, l_partkey FROM {orders} FULL JOIN {lineitem} ON o_orderkey = l_orderkey AND l_quantity > 49",
+)
+_sql("semi_join", "SELECT o_orderkey FROM {orders} WHERE EXISTS (SELECT 1 FROM {lineitem} WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')")
+_sql("anti_join", "SELECT o_orderkey FROM {orders} WHERE NOT EXISTS (SELECT 1 FROM {lineitem} WHERE l_orderkey = o_orderkey)")
+_sql("theta_join", "SELECT count(*) AS n FROM {nation} a JOIN {nation} b ON a.n_nationkey < b.n_nationkey AND a.n_regionkey = b.n_regionkey")
+_sql("small_product", "SELECT r_name, n_name FROM {region} CROSS JOIN {nation}")
+
+
+@_query("""
+    SELECT v.event_id, v.user_id, c.event_id AS click_id
+    FROM (SELECT * FROM events WHERE event_type = 'view') v
+    ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'click') c ON v.user_id = c.user_id AND v.ts >= c.ts
+""")
+def asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type")
+    views = rows.where("event_type = 'view'").select("event_id", "user_id", "ts")
+    clicks = rows.where("event_type = 'click'").select("event_id", "user_id", "ts")
+    return asof_join(views, clicks, "user_id", "ts", "ts", {"click_id": "event_id"}).select("event_id", "user_id", "click_id")
+
+
+@_query("""
+    SELECT c_custkey, s_suppkey FROM customer JOIN supplier ON c_acctbal >= s_acctbal AND c_acctbal < s_acctbal + 25
+""")
+def band_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    customers, suppliers = table(spark, sf_dir, "customer"), table(spark, sf_dir, "supplier")
+    low = F.col("s_acctbal")
+    return range_join(customers, suppliers, F.col("c_acctbal"), low, low + 25, 25.0).select("c_custkey", "s_suppkey")
+
+
+@_query("SELECT c_custkey, count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1")
+def salted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey"))
+    joined = salted_join(orders, table(spark, sf_dir, "customer").select("c_custkey"), "c_custkey", 8)
+    return joined.groupBy("c_custkey").agg(F.count(F.lit(1)).alias("n"))
+
+
+# ------------------------------------------------------------------ subqueries
+
+_sql("scalar_subquery", "SELECT o_orderkey FROM {orders} WHERE o_totalprice > (SELECT max(o_totalprice) * 0.9 FROM {orders})")
+_sql("in_subquery", "SELECT c_custkey FROM {customer} WHERE c_custkey IN (SELECT o_custkey FROM {orders} WHERE o_orderpriority = '1-URGENT')")
+_sql(
+    "lateral",
+    "SELECT r_name, t.n FROM {region}, LATERAL (SELECT count(*) AS n FROM {nation} WHERE n_regionkey = r_regionkey) t",
+)
+_sql(
+    "recursive",
+    "WITH RECURSIVE t(n, f) AS (SELECT 1, CAST(1 AS BIGINT) UNION ALL SELECT n + 1, f * (n + 1) FROM t WHERE n < 15) SELECT n, f FROM t",
+)
+_sql(
+    "pivoted",
+    "SELECT * FROM (SELECT o_orderstatus, o_orderpriority, 1 AS one FROM {orders}) PIVOT (count(one) FOR o_orderstatus IN ('F' AS f, 'O' AS o, 'P' AS p))",
+    "SELECT o_orderpriority, nullif(count(*) FILTER (o_orderstatus = 'F'), 0) AS f, nullif(count(*) FILTER (o_orderstatus = 'O'), 0) AS o, "
+    "nullif(count(*) FILTER (o_orderstatus = 'P'), 0) AS p FROM orders GROUP BY 1",
+)
+
+
+@_query("""
+    SELECT p_partkey, 'size' AS what, CAST(p_size AS DOUBLE) AS amount FROM part
+    UNION ALL SELECT p_partkey, 'price', p_retailprice FROM part
+""")
+def unpivoted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").cast("double").alias("size"), F.col("p_retailprice").alias("price"))
+    return rows.unpivot("p_partkey", ["size", "price"], "what", "amount")
+
+
+# --------------------------------------------------------------------- windows
+
+_sql(
+    "rankings",
+    """SELECT o_orderkey, CAST(row_number() OVER w AS INT) AS rn, CAST(rank() OVER w AS INT) AS rk, CAST(dense_rank() OVER w AS INT) AS dr,
+      CAST(ntile(4) OVER w AS INT) AS nt, percent_rank() OVER w AS pr, cume_dist() OVER w AS cd
+    FROM {orders} WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)""",
+)
+_sql(
+    "neighbours",
+    """SELECT o_orderkey, lag(o_orderkey, 1, CAST(-1 AS BIGINT)) OVER w AS before, lead(o_orderkey) OVER w AS after,
+      first_value(o_orderkey) OVER w AS first, nth_value(o_orderkey, 2) OVER w AS second
+    FROM {orders} WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)""",
+)
+_sql(
+    "rows_frame",
+    """SELECT o_orderkey, CAST(sum(CAST(o_totalprice AS DECIMAL(18,6))) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey
+      ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS DOUBLE) AS moving FROM {orders}""",
+)
+_sql(
+    "range_frame",
+    """SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderdate
+      RANGE BETWEEN INTERVAL 90 DAYS PRECEDING AND CURRENT ROW) AS recent FROM {orders}""",
+)
+
+
+@_query("""
+    SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderpriority GROUPS BETWEEN 1 PRECEDING AND CURRENT ROW) AS n
+    FROM orders
+""")
+def groups_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    return groups_frame(rows, ["o_custkey"], "o_orderpriority", 1, 0, {"n": F.count(F.lit(1))}).select("o_orderkey", "n")
+
+
+@_query("""
+    SELECT o_custkey, o_orderkey FROM orders
+    QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) <= 2
+""")
+def top_two_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
+    return top_per_group(rows, ["o_custkey"], [F.desc("o_totalprice"), F.asc("o_orderkey")], 2).select("o_custkey", "o_orderkey")
+
+
+@_query("""
+    SELECT event_id, CAST(sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS BIGINT) AS session FROM (
+      SELECT *, CASE WHEN ts > lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 8 HOUR THEN 1 ELSE 0 END AS fresh FROM events)
+""")
+def user_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select("event_id", "user_id", "ts")
+    return sessions(rows, "user_id", "ts", "8 HOURS").select("event_id", "session")
+
+
+# ------------------------------------------------------- sorting and set operations
+
+_sql("top_k", "SELECT o_orderkey, o_totalprice FROM {orders} ORDER BY o_totalprice DESC, o_orderkey LIMIT 20")
+_sql("offset_rows", "SELECT o_orderkey FROM {orders} ORDER BY o_orderkey LIMIT 30 OFFSET 40")
+_sql("null_order", "SELECT x FROM VALUES (1), (CAST(NULL AS INT)), (3) AS t(x) ORDER BY x DESC NULLS FIRST LIMIT 2", "SELECT x FROM (VALUES (1), (NULL), (3)) AS t(x) ORDER BY x DESC NULLS FIRST LIMIT 2")
+_sql("union_distinct", "SELECT n_nationkey AS k FROM {nation} UNION SELECT c_nationkey FROM {customer}")
+_sql("union_all", "SELECT n_nationkey AS k FROM {nation} UNION ALL SELECT s_nationkey FROM {supplier}")
+_sql("intersect_all", "SELECT c_nationkey AS k FROM {customer} INTERSECT ALL SELECT s_nationkey FROM {supplier}")
+_sql("except_all", "SELECT c_nationkey AS k FROM {customer} EXCEPT ALL SELECT s_nationkey FROM {supplier}")
+_sql("intersect_distinct", "SELECT c_custkey AS k FROM {customer} INTERSECT SELECT s_suppkey FROM {supplier}")
+_sql("except_distinct", "SELECT c_custkey AS k FROM {customer} EXCEPT SELECT s_suppkey FROM {supplier}")
+
+
+@_query("SELECT DISTINCT o_custkey, o_orderstatus FROM orders")
+def drop_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "orders").select("o_custkey", "o_orderstatus").dropDuplicates()
+
+
+# ------------------------------------------------------------- scalar functions
+
+_sql(
+    "string_functions",
+    """SELECT c_custkey, lower(c_name) AS low, CAST(length(c_name) AS BIGINT) AS n, replace(c_name, '0', 'o') AS rep, reverse(c_name) AS rev,
+      lpad(c_mktsegment, 12, '*') AS lp, rpad(c_mktsegment, 12, '.') AS rp, CAST(instr(c_name, '1') AS BIGINT) AS at, concat_ws('-', c_name, c_mktsegment) AS j,
+      md5(c_name) AS m, trim(concat('  ', c_name, ' ')) AS t, CAST(levenshtein(c_mktsegment, 'BUILDING') AS BIGINT) AS lev,
+      translate(c_mktsegment, 'AEI', 'aei') AS tr, substring(c_name, 2, 5) AS sub, repeat('ab', 2) AS rpt,
+      starts_with(c_name, 'Cust') AS st, left(c_name, 3) AS l3, right(c_name, 3) AS r3, CAST(ascii(c_name) AS INT) AS asc
+    FROM {customer}""".replace("starts_with(", "startswith("),
+    """SELECT c_custkey, lower(c_name) AS low, CAST(length(c_name) AS BIGINT) AS n, replace(c_name, '0', 'o') AS rep, reverse(c_name) AS rev,
+      lpad(c_mktsegment, 12, '*') AS lp, rpad(c_mktsegment, 12, '.') AS rp, CAST(instr(c_name, '1') AS BIGINT) AS at, concat_ws('-', c_name, c_mktsegment) AS j,
+      md5(c_name) AS m, trim(concat('  ', c_name, ' ')) AS t, CAST(levenshtein(c_mktsegment, 'BUILDING') AS BIGINT) AS lev,
+      translate(c_mktsegment, 'AEI', 'aei') AS tr, substring(c_name, 2, 5) AS sub, repeat('ab', 2) AS rpt,
+      starts_with(c_name, 'Cust') AS st, left(c_name, 3) AS l3, right(c_name, 3) AS r3, CAST(ascii(c_name) AS INT) AS asc
+    FROM customer""",
+)
+_sql(
+    "regular_expressions",
+    r"SELECT c_custkey, regexp_replace(c_name, '[0-9]+', '#') AS rep, regexp_extract(c_name, '([0-9]+)', 1) AS num, c_mktsegment RLIKE '^[A-F]' AS early FROM {customer}",
+    r"SELECT c_custkey, regexp_replace(c_name, '[0-9]+', '#', 'g') AS rep, regexp_extract(c_name, '([0-9]+)', 1) AS num, regexp_matches(c_mktsegment, '^[A-F]') AS early FROM customer",
+)
+_sql(
+    "date_functions",
+    """SELECT o_orderkey, CAST(year(o_orderdate) AS BIGINT) AS y, CAST(month(o_orderdate) AS BIGINT) AS m, CAST(day(o_orderdate) AS BIGINT) AS d,
+      CAST(quarter(o_orderdate) AS BIGINT) AS q, CAST(weekofyear(o_orderdate) AS BIGINT) AS w, CAST(dayofyear(o_orderdate) AS BIGINT) AS doy,
+      CAST(dayofweek(o_orderdate) AS BIGINT) AS dow, CAST(datediff(DATE'2002-01-01', CAST(o_orderdate AS DATE)) AS BIGINT) AS age,
+      CAST(o_orderdate + INTERVAL 1 MONTH AS DATE) AS next, last_day(CAST(o_orderdate AS DATE)) AS last
+    FROM {orders}""",
+    """SELECT o_orderkey, year(o_orderdate) AS y, month(o_orderdate) AS m, day(o_orderdate) AS d, quarter(o_orderdate) AS q,
+      weekofyear(o_orderdate) AS w, dayofyear(o_orderdate) AS doy, dayofweek(o_orderdate) + 1 AS dow,
+      date_diff('day', CAST(o_orderdate AS DATE), DATE '2002-01-01') AS age, CAST(o_orderdate + INTERVAL 1 MONTH AS DATE) AS next,
+      last_day(CAST(o_orderdate AS DATE)) AS last
+    FROM orders""",
+)
+_sql(
+    "math_functions",
+    """SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, abs(-l_linenumber) AS a, CAST(ceil(l_discount * 100) AS BIGINT) AS c,
+      CAST(floor(l_tax * 100) AS BIGINT) AS f, sqrt(l_quantity) AS s, CAST(l_linenumber % 3 AS INT) AS r, CAST(sign(l_quantity) AS INT) AS g,
+      greatest(l_partkey, l_suppkey) AS big, least(l_partkey, l_suppkey) AS small, l_quantity / nullif(l_discount, 0) AS q
+    FROM {lineitem}""",
+)
+_sql(
+    "conditionals",
+    """SELECT o_orderkey, CASE WHEN o_totalprice > 200000 THEN 'high' WHEN o_totalprice > 100000 THEN 'mid' ELSE 'low' END AS band,
+      coalesce(nullif(o_orderstatus, 'P'), 'pending') AS status, o_orderpriority IN ('1-URGENT', '2-HIGH') AS rush FROM {orders}""",
+)
+_sql(
+    "array_functions",
+    """SELECT doc_id, CAST(size(w) AS BIGINT) AS n, array_join(slice(w, 1, 3), ' ') AS head, array_contains(w, 'de') AS has,
+      aggregate(transform(w, x -> CAST(length(x) AS BIGINT)), CAST(0 AS BIGINT), (s, x) -> s + x) AS letters, CAST(size(filter(w, x -> length(x) > 5)) AS BIGINT) AS long
+    FROM (SELECT doc_id, split(text, ' ') AS w FROM {documents})""",
+    """SELECT doc_id, len(w) AS n, array_to_string(w[1:3], ' ') AS head, list_contains(w, 'de') AS has,
+      CAST(list_sum(list_transform(w, lambda x: length(x))) AS BIGINT) AS letters, len(list_filter(w, lambda x: length(x) > 5)) AS long
+    FROM (SELECT doc_id, string_split(text, ' ') AS w FROM documents)""",
+)
+_sql(
+    "exploded",
+    "SELECT lang, w, count(*) AS n FROM (SELECT lang, explode(split(text, ' ')) AS w FROM {documents}) WHERE length(w) = 4 GROUP BY lang, w",
+    "SELECT lang, w, count(*) AS n FROM (SELECT lang, unnest(string_split(text, ' ')) AS w FROM documents) WHERE length(w) = 4 GROUP BY ALL",
+)
+_sql(
+    "json_fields",
+    "SELECT event_id, CAST(get_json_object(props, '$.k') AS BIGINT) AS k FROM {events}",
+    "SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events",
+)
+_sql(
+    "maps",
+    "SELECT event_type, map(event_type, CAST(1 AS BIGINT))[event_type] AS one, CAST(size(map_keys(map('a', 1, 'b', 2))) AS BIGINT) AS n FROM {events} GROUP BY event_type",
+    "SELECT event_type, CAST(1 AS BIGINT) AS one, len(map_keys(MAP {'a': 1, 'b': 2})) AS n FROM events GROUP BY 1",
+)
+_sql(
+    "time_buckets",
+    "SELECT CAST(date_trunc('HOUR', ts) AS TIMESTAMP_NTZ) AS h, event_type, count(*) AS n FROM {events} GROUP BY 1, 2",
+    "SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) AS h, event_type, count(*) AS n FROM events GROUP BY 1, 2",
+)
+
+
+@_query("SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CAST(round(CAST(l_extendedprice AS DECIMAL(18,6)), 1) AS DOUBLE) AS r FROM lineitem")
+def rounding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem")
+    return rows.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", MF.round_half_up(F.col("l_extendedprice"), 1).alias("r"))
+
+
+@_query("""
+    SELECT a.vec_id, b.vec_id AS other, list_aggregate(list_transform(range(1, 65),
+        lambda i: CAST(floor(64 * CAST(a.embedding[i] AS DOUBLE)) * floor(64 * CAST(b.embedding[i] AS DOUBLE)) AS BIGINT)), 'sum')::DOUBLE AS score
+    FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1
+""")
+def dot_products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").withColumn("v", F.transform("embedding", lambda x: F.floor(64 * x.cast("double"))))
+    a = rows.select("vec_id", F.col("v").alias("a"))
+    b = rows.select(F.col("vec_id").alias("other"), F.col("v").alias("b"))
+    return a.join(b, F.col("other") == F.col("vec_id") + 1).select("vec_id", "other", MF.dot(F.col("a"), F.col("b")).alias("score"))
+
+
+# -------------------------------------------------------------- sources and sinks
+
+
+def _format_query(fmt: str) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority")
+        return formats.round_trip(rows, fmt)
+
+    run.__name__ = f"format_{fmt}"
+    QUERIES[run.__name__] = run
+    ORACLE[run.__name__] = "SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders"
+
+
+for _fmt in formats.FORMATS:
+    _format_query(_fmt)
+
+
+@_query("SELECT c_name AS line FROM customer")
+def format_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return formats.text_lines(table(spark, sf_dir, "customer"), "c_name")
+
+
+@_query("SELECT CAST(range AS BIGINT) AS n, CAST(range * range AS BIGINT) AS square FROM range(1000)")
+def python_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return formats.sequence(spark, 1000)
+
+
+# ------------------------------------------------------------- user-defined functions
+
+
+@_query("SELECT c_custkey, c_acctbal * 2 + 1 AS y FROM customer")
+def vectorised_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    @F.pandas_udf("double")
+    def affine(s):
+        return s * 2 + 1
+
+    return table(spark, sf_dir, "customer").select("c_custkey", affine("c_acctbal").alias("y"))
+
+
+@_query("SELECT c_nationkey, max(c_custkey) - min(c_custkey) AS spread FROM customer GROUP BY 1")
+def grouped_pandas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def spread(pdf):
+        return pdf.groupby("c_nationkey", as_index=False).agg(spread=("c_custkey", lambda s: s.max() - s.min()))
+
+    rows = table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey")
+    return rows.groupBy("c_nationkey").applyInPandas(spread, "c_nationkey int, spread long")
+
+
+@_query("SELECT n_nationkey, unnest(range(3)) AS i FROM nation")
+def table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    @F.udtf(returnType="i bigint")
+    class Three:
+        def eval(self, k: int):
+            for i in range(3):
+                yield (i,)
+
+    return table(spark, sf_dir, "nation").lateralJoin(Three(F.col("n_nationkey").outer())).select("n_nationkey", "i")
+
+
+# ------------------------------------------------------------------------ streaming
+
+
+@_query("""
+    SELECT time_bucket(INTERVAL 1 HOUR, ts) AS started, event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,6))) AS DOUBLE) AS total
+    FROM events GROUP BY ALL
+""")
+def stream_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return streaming.windowed(spark, sf_dir, "1 hour")
+
+
+@_query("""
+    SELECT started, event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,6))) AS DOUBLE) AS total FROM (
+      SELECT time_bucket(INTERVAL 30 MINUTE, ts) - i * INTERVAL 30 MINUTE AS started, * FROM events, (SELECT unnest([0, 1]) AS i))
+    GROUP BY ALL
+""")
+def stream_sliding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return streaming.windowed(spark, sf_dir, "1 hour", "30 minutes")
+
+
+@_query("""
+    SELECT user_id, min(ts) AS started, count(*) AS n FROM (
+      SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS s FROM (
+        SELECT *, CASE WHEN ts >= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 4 HOUR THEN 1 ELSE 0 END AS fresh FROM events))
+    GROUP BY user_id, s
+""")
+def stream_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return streaming.sessions(spark, sf_dir, "4 hours")
+
+
+@_query("SELECT DISTINCT user_id, event_type FROM events")
+def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return streaming.first_seen(spark, sf_dir)
+
+
+@_query("""
+    SELECT c.user_id, c.event_id AS click_id, p.event_id FROM events c JOIN events p
+    ON c.user_id = p.user_id AND c.event_type = 'click' AND p.event_type = 'purchase' AND p.ts BETWEEN c.ts AND c.ts + INTERVAL 1 HOUR
+""")
+def stream_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return streaming.purchases_after_clicks(spark, sf_dir)
+
+
+@_query("SELECT user_id, count(*) AS n, max(event_id) AS last_event FROM events GROUP BY 1")
+def stream_state(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return streaming.running_totals(spark, sf_dir)

@@ -1 +1 @@
-"""millrace.sources"""
+"""Sources and sinks."""
