@@ -12,7 +12,7 @@ WORDS = r"[^\x20\x09-\x0D]+"
 BPE_RANKS, BPE_JSON = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
 
 #: The chain's categories in order, from the columns of ``labels``.
-TOXIC_CATEGORIES = {"low_quality": 1 - F.col("quality"), "toxic": F.col("toxic")}
+TOXIC_CATEGORIES = {"low_quality": "1 - quality", "toxic": "toxic"}
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:

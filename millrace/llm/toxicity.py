@@ -30,7 +30,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -182,10 +182,10 @@ def fit_chain(texts: list[str], labels: dict[str, np.ndarray], fold: np.ndarray,
     return Chain(links)
 
 
-def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, Column], ident: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> Chain:
-    """Fit on at most ``sample`` labelled rows. ``categories``: for each category, in order, a 0/1 column of ``labels``."""
+def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str], ident: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> Chain:
+    """Fit on at most ``sample`` labelled rows. ``categories``: for each category, in order, an SQL expression of ``labels``, 0 or 1."""
     names = list(categories)
-    each = labels.select(F.col(ident).alias("id"), *[c.cast("double").alias(f"y{i}") for i, c in enumerate(categories.values())])
+    each = labels.select(F.col(ident).alias("id"), *[F.expr(c).cast("double").alias(f"y{i}") for i, c in enumerate(categories.values())])
     each = each.where(F.col("id").isNotNull()).groupBy("id").agg(*[F.max(f"y{i}").alias(f"y{i}") for i in range(len(names))])
     some = each.orderBy(F.xxhash64("id"), "id").limit(sample)  # bounded: broadcast below
     rows = docs.select(F.col(ident).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
