@@ -26,7 +26,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from itertools import chain
+from heapq import nsmallest
 
 import numpy as np
 import pyarrow as pa
@@ -34,9 +34,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import add_columns, materialise
+from .common import add_columns, discard, materialise
 
-SAMPLE, VOCABULARY, FOLDS, ROUNDS, PENALTY = 8000, 30_000, 3, 400, 1e-4
+SAMPLE, VOCABULARY, FOLDS, ROUNDS, PENALTY = 6000, 30_000, 3, 400, 1e-4
 FORM, STEM = 4, 4
 _find = re.compile(r"\w+").findall
 
@@ -64,13 +64,13 @@ def form(text: str, words: list[str], distinct: int) -> list[float]:
 class Sparse:
     """Rows of word indices and dense figures."""
 
-    def __init__(self, rows: list[list[int]], dense: np.ndarray, width: int) -> None:
-        self.at = np.concatenate([np.asarray(r, np.int64) for r in rows]) if rows else np.empty(0, np.int64)
-        self.row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    def __init__(self, rows: list[np.ndarray], dense: np.ndarray, width: int) -> None:
+        self.at = np.concatenate(rows) if rows else np.empty(0, np.int32)
+        self.row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r) for r in rows])
         self.dense, self.width, self.n = dense, width, len(rows)
 
     def take(self, keep: np.ndarray) -> Sparse:
-        number = np.cumsum(keep) - 1
+        number = (np.cumsum(keep) - 1).astype(np.int32)
         inside = keep[self.row]
         out = Sparse([], self.dense[keep], self.width)
         out.at, out.row, out.n = self.at[inside], number[self.row[inside]], int(keep.sum())
@@ -160,13 +160,20 @@ class Chain:
 
 def fit_chain(texts: list[str], labels: dict[str, np.ndarray], fold: np.ndarray, vocabulary: int = VOCABULARY) -> Chain:
     """``labels``: for each category, in order, 0 or 1 of each text, or nan where unknown."""
-    split = [words_of(t) for t in texts]
-    each = [features(set(ws)) for ws in split]
-    df = Counter(chain.from_iterable(each))
-    known = [w for w, n in sorted(df.items(), key=lambda x: (-x[1], x[0]))[:vocabulary] if n >= 3]
+    df: Counter[str] = Counter()
+    for t in texts:  # a text's words are never kept
+        df.update(features(set(words_of(t))))
+    common = ((w, n) for w, n in df.items() if n >= 3)
+    known = [w for w, _ in nsmallest(vocabulary, common, key=lambda x: (-x[1], x[0]))]
+    df.clear()
     number = {w: i for i, w in enumerate(known)}
-    rows = [sorted(number[w] for w in number.keys() & fs) for fs in each]
-    dense = np.array([form(t, ws, len(set(ws))) for t, ws in zip(texts, split, strict=True)]).reshape(-1, FORM)
+    rows, figures = [], []
+    for t in texts:
+        ws = words_of(t)
+        distinct = set(ws)
+        rows.append(np.array(sorted(number[w] for w in number.keys() & features(distinct)), np.int32))
+        figures.append(form(t, ws, len(distinct)))
+    dense = np.array(figures).reshape(-1, FORM)
     x = Sparse(rows, dense, len(known))
     links = []
     for name, y in labels.items():
@@ -175,9 +182,9 @@ def fit_chain(texts: list[str], labels: dict[str, np.ndarray], fold: np.ndarray,
         for k in range(FOLDS):  # each fold by a model without it
             model = fit_linear(x.take(have & (fold != k)), y[have & (fold != k)])
             out[fold == k] = _sigmoid(x.take(fold == k).dot(*model))
-        words, figures, bias = fit_linear(x.take(have), y[have])
+        words, weights, bias = fit_linear(x.take(have), y[have])
         at = np.flatnonzero(words)
-        links.append((name, {known[i]: float(words[i]) for i in at}, figures.tolist(), bias))
+        links.append((name, {known[i]: float(words[i]) for i in at}, weights.tolist(), bias))
         x = x.with_dense(out)
     return Chain(links)
 
@@ -190,10 +197,14 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str], ident: s
     some = each.orderBy(F.xxhash64("id"), "id").limit(sample)  # bounded: broadcast below
     rows = docs.select(F.col(ident).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     met = rows.join(F.broadcast(some), "id")
-    once = materialise(met, "labelled").toPandas().sort_values("id", kind="stable").drop_duplicates("text")
-    y = {n: once[f"y{i}"].to_numpy(float) for i, n in enumerate(names)}
-    fold = (once["id"].to_numpy().astype(np.int64).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(FOLDS)
-    return fit_chain(once["text"].tolist(), y, fold)
+    chosen = materialise(met, "labelled", narrow=True)
+    once = {r["text"]: r for r in chosen.orderBy(F.desc("id")).toLocalIterator()}  # a text's smallest id stays; a partition at a time
+    discard(chosen)
+    rows = [once[t] for t in sorted(once, key=lambda t: once[t]["id"])]
+    y = {n: np.array([np.nan if r[f"y{i}"] is None else r[f"y{i}"] for r in rows], float) for i, n in enumerate(names)}
+    ids = np.array([r["id"] for r in rows], np.int64).view(np.uint64)
+    fold = (ids * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(FOLDS)
+    return fit_chain([r["text"] for r in rows], y, fold)
 
 
 def predict(docs: DataFrame, fitted: Chain, text: str = "text") -> DataFrame:
