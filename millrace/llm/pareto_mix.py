@@ -34,6 +34,8 @@ from pyspark.sql import functions as F
 from .common import discard, materialise, without
 
 BITS, LEVEL_BITS, CUT_ROWS = 48, 9, 100_000
+#: The least propensity: a document of none ranks last, and is drawn if all others don't reach the target.
+LEAST = 1e-9
 MADE = ["source_size", "target", "copies", "taken"]
 
 
@@ -87,7 +89,7 @@ def mix(
             F.conv(F.substring(F.md5(key), 1, BITS // 4), 16, 10).cast("long").alias("__u"),
             # a null source has a key of its own
             F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit("n")).alias("__s"),
-            (F.coalesce(F.col(propensity).cast("double"), F.lit(1.0)) if propensity else F.lit(1.0)).alias("__p"),
+            (F.greatest(F.coalesce(F.col(propensity).cast("double"), F.lit(1.0)), F.lit(LEAST)) if propensity else F.lit(1.0)).alias("__p"),
         ),
         "mix-docs",
     )
@@ -157,6 +159,7 @@ def mix(
     rest = rows.where(~F.coalesce(drawn & inside, F.lit(False))).withColumn(
         "more", F.coalesce(drawn & (F.col("v") < F.col("lo")), F.lit(False)).cast("int")
     )
+    edge = edge.coalesce(docs.sparkSession.sparkContext.defaultParallelism)  # at most cut_rows a source
     out = rest.unionByName(edge).withColumn("__copies", F.col("whole") + F.col("more"))
     return out.select(
         "__row.*", "source_size", "target", F.col("__copies").alias("copies"), (F.col("__n") * F.col("__copies")).alias("taken")
