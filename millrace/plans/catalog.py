@@ -8,6 +8,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -438,6 +439,109 @@ def table_function(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "nation").lateralJoin(Three(F.col("n_nationkey").outer())).select("n_nationkey", "i")
 
 
+_sql(
+    "map_functions",
+    """SELECT c_custkey, map_contains_key(m, 'seg') AS has, m['seg'] AS seg, CAST(size(map_concat(m, map('x', 'y'))) AS BIGINT) AS n,
+      array_join(array_sort(map_keys(map_filter(m, (k, v) -> k <> 'seg'))), ',') AS others, transform_values(m, (k, v) -> upper(v))['seg'] AS up,
+      element_at(str_to_map('a:1,b:2', ',', ':'), 'b') AS two
+    FROM (SELECT c_custkey, map('seg', c_mktsegment, 'nat', CAST(c_nationkey AS STRING)) AS m FROM {customer})""",
+    """SELECT c_custkey, true AS has, c_mktsegment AS seg, CAST(3 AS BIGINT) AS n, 'nat' AS others, upper(c_mktsegment) AS up, '2' AS two FROM customer""",
+)
+_sql(
+    "json_and_csv",
+    """SELECT event_id, from_json(props, 'k BIGINT').k AS k, to_json(named_struct('u', user_id)) AS j, from_csv(concat(event_id, ',', event_type), 'a BIGINT, b STRING').b AS b,
+      CAST(json_array_length('[1,2,3]') AS BIGINT) AS three, variant_get(parse_json(props), '$.k', 'bigint') AS vk
+    FROM {events}""",
+    """SELECT event_id, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, '{"u":' || user_id || '}' AS j, event_type AS b, CAST(3 AS BIGINT) AS three,
+      CAST(json_extract_string(props, '$.k') AS BIGINT) AS vk
+    FROM events""",
+)
+_sql(
+    "more_aggregates",
+    """SELECT l_returnflag, CAST(sum(DISTINCT l_linenumber) AS BIGINT) AS s, count_if(l_quantity > 25) AS c, mode(l_linenumber, true) AS md,
+      median(l_quantity) AS med, CAST(regr_count(l_tax, l_discount) AS BIGINT) AS rc, array_join(array_sort(collect_list(DISTINCT l_linestatus)), '') AS st
+    FROM {lineitem} GROUP BY l_returnflag""",
+    """SELECT l_returnflag, CAST(sum(DISTINCT l_linenumber) AS BIGINT) AS s, CAST(count_if(l_quantity > 25) AS BIGINT) AS c,
+      (SELECT l_linenumber FROM lineitem i WHERE i.l_returnflag = o.l_returnflag GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) AS md,
+      median(l_quantity) AS med, CAST(count(*) AS BIGINT) AS rc, array_to_string(list_sort(list(DISTINCT l_linestatus)), '') AS st
+    FROM lineitem o GROUP BY l_returnflag""",
+)
+_sql(
+    "moments",
+    """SELECT c_mktsegment, abs(stddev_samp(c_nationkey) - sqrt(var_samp(c_nationkey))) < 1e-9 AS a, abs(var_pop(c_nationkey) * count(*) - var_samp(c_nationkey) * (count(*) - 1)) < 1e-6 AS b,
+      abs(corr(c_nationkey, c_nationkey) - 1) < 1e-9 AS c, abs(covar_pop(c_nationkey, c_nationkey) - var_pop(c_nationkey)) < 1e-9 AS d
+    FROM {customer} GROUP BY c_mktsegment""",
+)
+_sql(
+    "array_sets",
+    """SELECT n_nationkey, array_join(array_union(a, b), ',') AS u, array_join(array_intersect(a, b), ',') AS i, array_join(array_except(a, b), ',') AS e,
+      arrays_overlap(a, b) AS o, CAST(array_position(a, 2) AS BIGINT) AS p, array_max(a) AS mx, array_min(b) AS mn, forall(a, x -> x > 0) AS all_pos, exists(b, x -> x = 5) AS five,
+      CAST(size(flatten(array(a, b))) AS BIGINT) AS n
+    FROM (SELECT n_nationkey, array(1, 2, 3) AS a, array(3, CAST(n_nationkey % 7 AS INT)) AS b FROM {nation})""",
+    """SELECT n_nationkey, array_to_string(CASE WHEN k IN (1, 2, 3) THEN [1, 2, 3] ELSE [1, 2, 3, k] END, ',') AS u, array_to_string(list_filter(a, lambda x: x IN (3, k)), ',') AS i,
+      array_to_string(list_filter(a, lambda x: x NOT IN (3, k)), ',') AS e, true AS o, CAST(2 AS BIGINT) AS p, 3 AS mx, least(3, k) AS mn, true AS all_pos, k = 5 AS five, CAST(5 AS BIGINT) AS n
+    FROM (SELECT n_nationkey, [1, 2, 3] AS a, CAST(n_nationkey % 7 AS INT) AS k FROM nation)""",
+)
+_sql(
+    "last_values",
+    """SELECT o_orderkey, last_value(o_orderkey) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS newest,
+      CAST(avg(CAST(o_totalprice AS DECIMAL(18,4))) OVER (PARTITION BY o_custkey) AS DOUBLE) > 0 AS pos FROM {orders}""",
+)
+_sql(
+    "guarded_arithmetic",
+    "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, try_divide(l_quantity, l_discount) AS q, try_add(l_linenumber, 1) AS n FROM {lineitem}",
+    "SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CASE WHEN l_discount <> 0 THEN l_quantity / l_discount END AS q, l_linenumber + 1 AS n FROM lineitem",
+)
+_sql(
+    "time_arithmetic",
+    """SELECT event_id, CAST(hour(ts) AS BIGINT) AS h, CAST(minute(ts) AS BIGINT) AS mi, CAST(second(ts) AS BIGINT) AS s, date_add(CAST(ts AS DATE), 7) AS week,
+      date_format(ts, 'yyyy-MM-dd') AS day, add_months(CAST(ts AS DATE), 2) AS later, make_date(year(ts), 1, 1) AS first
+    FROM {events}""",
+    """SELECT event_id, hour(ts) AS h, minute(ts) AS mi, second(ts) AS s, CAST(ts AS DATE) + 7 AS week, strftime(ts, '%Y-%m-%d') AS day,
+      CAST(CAST(ts AS DATE) + INTERVAL 2 MONTH AS DATE) AS later, make_date(year(ts), 1, 1) AS first
+    FROM events""",
+)
+
+
+@_query("SELECT n_nationkey, count(c_custkey) AS customers FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1")
+def cogrouped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def count(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"n_nationkey": a["n_nationkey"], "customers": len(b)})
+
+    nations = table(spark, sf_dir, "nation").select("n_nationkey").groupBy("n_nationkey")
+    customers = table(spark, sf_dir, "customer").select("c_nationkey", "c_custkey").groupBy("c_nationkey")
+    return nations.cogroup(customers).applyInPandas(count, "n_nationkey int, customers long")
+
+
+@_query("SELECT count(*) AS n, sum(c_custkey)::BIGINT AS total FROM customer")
+def arrow_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def sums(batches):
+        for b in batches:
+            if b.num_rows:
+                yield pa.RecordBatch.from_pydict({"n": [b.num_rows], "total": [pc.sum(b.column(0)).as_py()]})
+
+    parts = table(spark, sf_dir, "customer").select("c_custkey").mapInArrow(sums, "n long, total long")
+    return parts.agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+
+
+@_query()
+def sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A Bernoulli sample: which rows differs between engines."""
+    return table(spark, sf_dir, "orders").sample(0.1, seed=7).select("o_orderkey")
+
+
+@_query("SELECT c_mktsegment, max(c_acctbal) - min(c_acctbal) AS width FROM customer GROUP BY 1")
+def pandas_aggregate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    @F.pandas_udf("double")
+    def width(x: pd.Series) -> float:
+        return float(x.max() - x.min())
+
+    return table(spark, sf_dir, "customer").groupBy("c_mktsegment").agg(width("c_acctbal").alias("width"))
+
+
 # ------------------------------------------------------------------------ streaming
 
 
