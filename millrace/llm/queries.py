@@ -73,7 +73,7 @@ def op7_toxicity_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents", "doc_id", "text")
     chain = toxicity.fit(docs, _table(spark, sf_dir, "labels", "doc_id", "quality", "toxic"), TOXIC_CATEGORIES)
     scored = toxicity.predict(docs, chain)
-    return scored.select("doc_id", "low_quality", F.col("toxic").alias("toxicity"), (F.col("toxic") >= 0.5).alias("toxic"))
+    return scored.select("doc_id", "low_quality", F.col("toxic").alias("toxicity"), (F.col("toxic") >= chain.cuts["toxic"]).alias("toxic"))
 
 
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
