@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -11,6 +12,8 @@ from pyspark.sql import types as T
 
 #: Used only where the session names no shared folder, as in tests.
 FALLBACK_DIR = "/tmp/checkpoints"
+#: Rows that scans and Arrow hold at a time while texts are read.
+BATCH_ROWS = {"spark.sql.parquet.columnarReaderBatchSize": "512", "spark.sql.execution.arrow.maxRecordsPerBatch": "1024"}
 #: Bytes of Arrow data turned into Python objects at a time.
 PIECE_BYTES = 2 << 20
 
@@ -32,11 +35,28 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     return path
 
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: lineage is cut and lost executors cost nothing."""
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """For reads of long texts: readers and Arrow hold a few hundred rows at a time, not thousands."""
+    before = {k: spark.conf.get(k) for k in BATCH_ROWS}
+    try:
+        for k, v in BATCH_ROWS.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def materialise(df: DataFrame, tag: str, narrow: bool = False) -> DataFrame:
+    """Write ``df`` once to the shared folder and read it back: lineage is cut and lost executors cost nothing.
+
+    ``narrow``: a table of a few numbers a row, written as no more files than the cluster has cores.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, tag)
-    df.write.parquet(path)
+    with small_batches(spark):
+        (df.coalesce(max(1, spark.sparkContext.defaultParallelism)) if narrow else df).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._millrace_path = path
     return out

@@ -26,7 +26,9 @@ def components(links: DataFrame) -> DataFrame:
     shared folder; only a count and a checksum come to the driver.
     """
     edges = materialise(
-        links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges"
+        links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(),
+        "edges",
+        narrow=True,
     )
     seen = None
     while True:
@@ -34,7 +36,7 @@ def components(links: DataFrame) -> DataFrame:
         large = _star(both, "v > u")
         # each edge from its greater end
         small = _star(large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "true")
-        new = materialise(small, "edges")
+        new = materialise(small, "edges", narrow=True)
         discard(edges)
         edges = new
         mark = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()

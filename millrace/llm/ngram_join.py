@@ -3,20 +3,22 @@
 1. *Sets.* A document's set holds 64-bit hashes of its distinct n-word shingles. Documents
    with equal sets are one node (a 128-bit hash of the sorted set), so copies, however many,
    are compared once.
-2. *Rare first.* Shingles are ordered by frequency class, then by hash. The class comes from
-   a count sketch over all documents: how far a counter lies above what chance fills it with.
-   Any order that all documents share gives right results; this one puts very frequent
-   passages last.
+2. *Rare first.* Shingles are ordered by frequency class, then by hash. The class is the
+   quantile of the shingle's counter in a count sketch over all documents. Any order that all
+   documents share gives right results; this one puts frequent passages last.
 3. *Prefixes.* Two sets that reach the threshold share one of their first
    ``size - ceil(threshold * size) + 1`` shingles, so nodes meet by those alone. A pair must
    pass the length filter (sizes), the positional filter (what is left after the shared
-   position) and the suffix filter (shingles counted by hash range: the sum of differences
-   is at most the symmetric difference).
-4. *Two rounds.* Nodes that meet under a shingle are first paired with a leader of similar
-   size; verified links make components. Then pairs across components that pass the filters
+   position) and the suffix filter, in two steps. First, shingles are counted in 32
+   partitions by hash: the differences add up to no more than the symmetric difference, which
+   rules out unrelated texts. Then, in partitions as many as shingles or more, those whose count is
+   odd in one set and even in the other are as many at most, which rules out most pairs that
+   are no link; across components there are more partitions, to rule out nearly all.
+4. *Two rounds.* Nodes that meet under a shingle are first paired with one leader each, the
+   first that passes all filters; verified links make components. Then pairs across components that pass the filters
    follow, so near copies by the thousand cost their number, not its square, and no link
-   between components is lost. Buckets over ``BLOCK`` nodes are compared block by block, in
-   different tasks.
+   between components is lost. Buckets over ``BLOCK`` nodes are cut into blocks, which are
+   compared by pairs, in different tasks.
 5. *Verification.* Each distinct pair is verified once, on whole sets. Sets are computed anew
    from the texts of the nodes in question (found by a bitmap of fixed size) rather than kept
    for all documents: that trades CPU for disk.
@@ -30,34 +32,29 @@ and text are not carried: join on the id.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, materialise, pieces
 from .components import components
 
-CELLS, SKETCH_BITS, SEGMENTS, BITMAP_BITS, BLOCK = 32, 20, 64, 23, 4096
-TEXT_BYTES = 4 << 20
-_WORDS = 500_000
+CELLS, SKETCH_BITS, SEGMENTS, BITMAP_BITS, BLOCK = 32, 22, 256, 23, 4096
+#: The fewest partitions of the suffix filter's second step.
+PARTITIONS = 256
+#: Partitions a shingle, at most, in that step: for leaders, and across components.
+COARSE, FINE = 2, 8
+#: Bytes of rows worked on together.
+TEXT_BYTES = 1 << 20
 _MUL = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
-
-
-class _Hashes(dict):
-    """64-bit hashes of words."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= _WORDS:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_hashes = _Hashes()
+_BASE = 0xD1342543DE82EF95
+_MASK = (1 << 64) - 1
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -66,37 +63,125 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingles(text: str | None, n: int) -> np.ndarray:
-    """The sorted distinct shingle hashes of a text: words are runs of other than ASCII white space, A-Z in lower case."""
-    words = (text or "").encode().lower().split()  # bytes: lower() and split() know ASCII only
-    m = len(words)
-    if not m:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(_hashes.__getitem__, words), np.uint64, m)
-    k = min(n, m)
-    out = np.full(m - k + 1, k, np.uint64)
-    for i in range(k):
-        out = _mixed(out * _MUL[0] + h[i : m - k + 1 + i])
-    return np.unique(out)
+#: For each byte whether it is white space, and a number that A-Z share with a-z.
+_SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+_VALUE = _mixed(np.frombuffer(bytes(range(256)).lower(), np.uint8).astype(np.uint64) + _MUL[0])
+
+
+class _Powers:
+    """Powers of the base modulo 2^64, and of its inverse, as far as they have been needed."""
+
+    def __init__(self) -> None:
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        while len(self.up) < n:
+            more = len(self.up)
+            self.up = np.concatenate((self.up, self.up * np.uint64(pow(_BASE, more, 1 << 64))))
+            self.down = np.concatenate((self.down, self.down * np.uint64(pow(_BASE, -more, 1 << 64))))
+        return self.up, self.down
+
+
+_powers = _Powers()
+
+
+def shingle_sets(data: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct shingle hashes of each text, one after another, and the bounds of each text's.
+
+    ``data``: the texts' UTF-8 bytes, one after another; ``bounds``: where each begins, and the
+    end. Words are runs of other than ASCII white space, with A-Z as a-z. Their hashes are
+    polynomials of the bytes, taken from running sums over all texts at once, then mixed.
+    """
+    size, texts = len(data), len(bounds) - 1
+    up, down = _powers.upto(size)
+    sums = np.zeros(size + 1, np.uint64)
+    np.cumsum(_VALUE[data] * up[:size], out=sums[1:])
+    edge = np.zeros(size + 1, bool)
+    edge[bounds] = True
+    inside = ~_SPACE[data]
+    first, last = inside.copy(), inside.copy()
+    if size:
+        first[1:] &= ~inside[:-1] | edge[1:size]
+        last[:-1] &= ~inside[1:] | edge[1:size]
+    start, stop = np.flatnonzero(first), np.flatnonzero(last) + 1
+    words = _mixed((sums[stop] - sums[start]) * down[start] + (stop - start).astype(np.uint64) * _MUL[0])
+    at = np.searchsorted(start, bounds)
+    many = np.diff(at)
+    # texts of fewer words than n are one shingle of them all
+    width = np.minimum(many, n)
+    count = np.where(many > 0, many - width + 1, 0)
+    upto = np.concatenate(([0], np.cumsum(count)))
+    from_word = np.repeat(at[:-1] - upto[:-1], count) + np.arange(upto[-1])
+    wide = np.repeat(width, count)
+    out = wide.astype(np.uint64)
+    for i in range(n):
+        have = wide > i
+        if have.all():
+            out = _mixed(out * _MUL[0] + words[from_word + i])
+        else:
+            out[have] = _mixed(out[have] * _MUL[0] + words[from_word[have] + i])
+    for k in np.flatnonzero(count > 1):
+        out[upto[k] : upto[k + 1]].sort()
+    fresh = np.ones(len(out), bool)
+    if len(out):
+        fresh[1:] = out[1:] != out[:-1]
+        fresh[upto[:-1][count > 0]] = True
+    kept = np.concatenate(([0], np.cumsum(fresh)))
+    return out[fresh], kept[upto]
 
 
 def _node(s: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
+    return xxhash.xxh3_64_intdigest(s.data.cast("B")) - (1 << 63)
 
 
 def _check(s: np.ndarray) -> int:
-    return xxhash.xxh64_intdigest(s.tobytes()) - (1 << 63)
+    return xxhash.xxh64_intdigest(s.data.cast("B")) - (1 << 63)
+
 
+def _cells(hashes: np.ndarray, bounds: np.ndarray) -> list[bytes]:
+    """For each set, how many of its hashes fall into each of ``CELLS`` ranges."""
+    n = len(bounds) - 1
+    cell = (hashes >> np.uint64(59)).astype(np.int64) + CELLS * np.repeat(np.arange(n), np.diff(bounds))
+    counts = np.bincount(cell, minlength=CELLS * n)
+    data = np.minimum(counts, 255).astype(np.uint8).tobytes()  # capped alike: differences only shrink
+    return [data[k : k + CELLS] for k in range(0, CELLS * n, CELLS)]
 
-def _cells(s: np.ndarray) -> bytes:
-    counts = np.bincount((s >> np.uint64(59)).astype(np.int64), minlength=CELLS)
-    return np.minimum(counts, 255).astype(np.uint8).tobytes()  # capped alike: differences only shrink
 
+def _signatures(hashes: np.ndarray, bounds: np.ndarray, times: int) -> list[bytes]:
+    """For each set, a bit a partition: whether its count is odd. Partitions: the power of two up to ``times`` the size."""
+    sizes = np.diff(bounds)
+    many = np.maximum(PARTITIONS, 1 << np.floor(np.log2(np.maximum(times * sizes, 1))).astype(np.int64))
+    at = np.concatenate(([0], np.cumsum(many)))
+    cell = (hashes >> np.uint64(24)).astype(np.int64) & np.repeat(many - 1, sizes)
+    odd = (np.bincount(cell + np.repeat(at[:-1], sizes), minlength=at[-1]) & 1).astype(np.uint8)
+    packed, at = np.packbits(odd, bitorder="little").tobytes(), (at // 8).tolist()
+    return [packed[a:b] for a, b in zip(at, at[1:], strict=False)]
 
-def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[list]:
+
+def _folded(signatures: list[bytes], size: int) -> np.ndarray:
+    """Signatures of ``size`` bytes or twice that, as rows of words for ``size``: halves added bit by bit."""
+    small = np.zeros((len(signatures), size // 8), np.uint64)
+    for k, s in enumerate(signatures):
+        words = np.frombuffer(s, np.uint64)
+        small[k] = words if len(s) == size else words[: size // 8] ^ words[size // 8 :]
+    return small
+
+
+def _sets_of(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+    """(ids, hashes, bounds) of pieces of the rows (id, text)."""
     for whole in batches:
         for batch in pieces(whole, TEXT_BYTES):
-            yield [c.to_pylist() for c in batch.columns]
+            text = batch.column(1)
+            if not len(text):
+                continue
+            if text.null_count:
+                text = text.fill_null("")
+            _, offsets, data = text.buffers()
+            wide = np.int64 if pa.types.is_large_string(text.type) else np.int32
+            at = np.frombuffer(offsets, wide)[text.offset : text.offset + len(text) + 1].astype(np.int64)
+            raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data is not None else np.empty(0, np.uint8)
+            hashes, bounds = shingle_sets(raw, at - at[0], n)
+            yield batch.column(0).to_pylist(), hashes, bounds
 
 
 class Threshold:
@@ -118,36 +203,32 @@ class Threshold:
 
 
 def _summaries(docs: DataFrame, n: int) -> DataFrame:
-    """A row a document (id, size, node, check, cells), and rows of the task's sketch by segment (size -1)."""
+    """A row a document (id, size, node, check, cells, signature), and rows of the task's sketch by segment (size -1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sketch = np.zeros(1 << SKETCH_BITS, np.int64)
+        sketch = np.zeros(1 << SKETCH_BITS, np.int32)
         low = np.uint64((1 << SKETCH_BITS) - 1)
 
         def made(rows: list[tuple]) -> pa.RecordBatch:
             cols = list(zip(*rows, strict=True))
-            types = [pa.int64()] * 4 + [pa.binary()]
+            types = [pa.int64()] * 4 + [pa.binary()] * 2
             return pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["id", "size", "node", "check", "cells"]
+                [pa.array(c, t) for c, t in zip(cols, types, strict=True)], names=["id", "size", "node", "check", "cells", "signature"]
             )
 
-        for ids, texts in _texts(batches):
-            rows, sets = [], []
-            for i, t in zip(ids, texts, strict=True):
-                s = shingles(t, n)
-                if len(s):
-                    sets.append(s)
-                    rows.append((i, len(s), _node(s), _check(s), _cells(s)))
-                else:
-                    rows.append((i, 0, None, None, None))
-            if sets:
-                sketch += np.bincount((np.concatenate(sets) & low).astype(np.int64), minlength=1 << SKETCH_BITS)
+        for ids, hashes, bounds in _sets_of(batches, n):
+            rows, cells, signatures = [], _cells(hashes, bounds), _signatures(hashes, bounds, COARSE)
+            for k, (i, a, b) in enumerate(zip(ids, bounds.tolist(), bounds[1:].tolist(), strict=False)):
+                s = hashes[a:b]
+                rows.append((i, b - a, _node(s), _check(s), cells[k], signatures[k]) if b > a else (i, 0, None, None, None, None))
+            np.add.at(sketch, (hashes & low).astype(np.int64), 1)
             yield made(rows)
         if sketch.any():
             parts = np.minimum(sketch, 65535).astype("<u2").reshape(SEGMENTS, -1)
-            yield made([(None, -1, k, None, p.tobytes()) for k, p in enumerate(parts)])
+            for k, p in enumerate(parts):
+                yield made([(None, -1, k, None, None, p.tobytes())])
 
-    return docs.mapInArrow(run, "id long, size long, node long, check long, cells binary")
+    return docs.mapInArrow(run, "id long, size long, node long, check long, cells binary, signature binary")
 
 
 def _classes(summaries: DataFrame) -> np.ndarray:
@@ -160,22 +241,21 @@ def _classes(summaries: DataFrame) -> np.ndarray:
                 part = np.frombuffer(data, "<u2").astype(np.int64)
                 sums[k] = sums[k] + part if k in sums else part
         for k, v in sums.items():
-            yield pa.RecordBatch.from_pydict({"node": [k], "cells": pa.array([v.tobytes()], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"node": [k], "signature": pa.array([v.tobytes()], pa.binary())})
 
     parts = (
         summaries.where("size = -1")
-        .select("node", "cells")
+        .select("node", "signature")
         .repartition(SEGMENTS, "node")
-        .mapInArrow(run, "node long, cells binary")
+        .mapInArrow(run, "node long, signature binary")
         .collect()
     )
     total = np.zeros((SEGMENTS, (1 << SKETCH_BITS) // SEGMENTS), np.int64)
     for r in parts:
-        total[r["node"]] = np.frombuffer(r["cells"], np.int64)
+        total[r["node"]] = np.frombuffer(r["signature"], np.int64)
     total = total.ravel()
-    mean = float(np.median(total))
-    above = np.maximum(0.0, total - mean - 4 * np.sqrt(mean + 1))
-    return np.ceil(np.log2(1 + above)).astype(np.uint8)
+    steps = np.unique(np.quantile(total, np.linspace(0, 1, 256)[1:-1], method="lower"))
+    return np.searchsorted(steps, total, "left").astype(np.uint8)
 
 
 def _postings(docs: DataFrame, n: int, t: Threshold, classes) -> DataFrame:
@@ -184,15 +264,16 @@ def _postings(docs: DataFrame, n: int, t: Threshold, classes) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rank, low = classes.value, np.uint64((1 << SKETCH_BITS) - 1)
         met: set[int] = set()
-        for _, texts in _texts(batches):
+        for _, hashes, bounds in _sets_of(batches, n):
             tokens, nodes, sizes, places = [], [], [], []
-            for text in texts:
-                s = shingles(text, n)
-                if not len(s) or (node := _node(s)) in met:
+            classes_of = rank[(hashes & low).astype(np.int64)]
+            for a, b in zip(bounds.tolist(), bounds[1:].tolist(), strict=False):
+                s = hashes[a:b]
+                if a == b or (node := _node(s)) in met:
                     continue
                 met.add(node)
                 k = t.prefix(len(s))
-                order = np.argsort(rank[(s & low).astype(np.int64)], kind="stable")[:k]
+                order = np.argsort(classes_of[a:b], kind="stable")[:k]
                 tokens.append(s[order])
                 nodes.append(np.full(k, node, np.int64))
                 sizes.append(np.full(k, len(s), np.int32))
@@ -234,115 +315,199 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[list[n
         yield held, np.array([0, len(held[0])])
 
 
-def _positional(t: Threshold, size_a, pos_a, size_b, pos_b):
-    """Whether sets that share a shingle at these positions can still reach the threshold."""
-    most = np.minimum(pos_a, pos_b) + 1 + np.minimum(size_a - pos_a - 1, size_b - pos_b - 1)
-    return most >= t.overlap(size_a.astype(np.int64), size_b.astype(np.int64))
+def _shared(postings: DataFrame) -> DataFrame:
+    """The postings of shingles that several nodes share, each node once, with their block in the bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (token, node, size, pos), bounds in _runs(batches, 1):
+            # a node that came from several tasks is there once
+            own = np.ones(len(token), bool)
+            own[1:] = (node[1:] != node[:-1]) | (token[1:] != token[:-1])
+            run_of = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+            at = np.flatnonzero(own)
+            many = np.bincount(run_of[at], minlength=int(run_of[-1]) + 1)
+            place = np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)
+            keep = many[run_of[at]] > 1
+            at, place = at[keep], place[keep]
+            if len(at):
+                yield pa.RecordBatch.from_pydict(
+                    {"token": token[at], "node": node[at], "size": size[at], "pos": pos[at], "block": (place // BLOCK).astype(np.int32)}
+                )
+
+    return (
+        postings.repartition("token")
+        .sortWithinPartitions("token", "size", "node")
+        .mapInArrow(run, "token long, node long, size int, pos int, block int")
+    )
+
+
+def _possible(t: Threshold, size, pos, a: int, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the rows b that pass the positional filter with row a, and the symmetric difference each may have."""
+    least = t.overlap(size[a], size[b])
+    near = np.minimum(pos[a], pos[b]) + 1 + np.minimum(size[a] - pos[a] - 1, size[b] - pos[b] - 1) >= least
+    return b[near], (size[a] + size[b] - 2 * least)[near]
 
 
-def _met(postings: DataFrame, t: Threshold) -> DataFrame:
-    """Leader pairs (token null: node, other), and the postings of shared tokens with their block."""
+def _close(shared: DataFrame, nodes: DataFrame, t: Threshold) -> DataFrame:
+    """The postings of nodes with a possible partner in their bucket, by all filters but the last.
+
+    In a bucket of several blocks all nodes are taken to have one.
+    """
+    heavy = shared.groupBy("token").agg(F.max("block").alias("blocks")).where("blocks > 0")
+    known = (
+        shared.join(nodes.select("node", "cells"), "node")
+        .join(heavy, "token", "left")
+        .select("token", "block", "size", "node", "pos", "cells", "blocks")
+    )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (token, node, size, pos), bounds in _runs(batches, 1):
-            many = np.flatnonzero(np.diff(bounds) > 1)
-            if not len(many):
-                continue
-            lead, other, rows, block = [], [], [], []
-            for r in many.tolist():
+        for (token, block, size, node, pos, cells, blocks), bounds in _runs(batches, 2):
+            counts = np.frombuffer(b"".join(cells), np.uint8).reshape(-1, CELLS).astype(np.int16)
+            size, pos = size.astype(np.int64), pos.astype(np.int64)
+            paired = ~np.isnan(np.asarray(blocks, float))
+            for r in np.flatnonzero(np.diff(bounds) > 1).tolist():
                 i, j = int(bounds[r]), int(bounds[r + 1])
-                # a node that came from several tasks is there once
-                own = np.arange(i, j)
-                own = own[np.concatenate(([True], node[own[1:]] != node[own[:-1]]))]
-                if len(own) < 2:
-                    continue
-                rows.append(own)
-                block.append(np.arange(len(own)) // BLOCK)
-                a = 0
-                while a < len(own) - 1:
-                    b = int(np.searchsorted(size[own], t.longest(int(size[own[a]])), "right"))
-                    if b > a + 1:
-                        lead.append(np.full(b - a - 1, own[a]))
-                        other.append(own[a + 1 : b])
-                    a = max(b, a + 1)
-            if not rows:
-                continue
-            kept = np.concatenate(rows)
-            none = np.zeros(len(kept), np.int64)
-            yield pa.RecordBatch.from_pydict(
-                {
-                    "kind": none.astype(np.int32), "token": token[kept], "node": node[kept], "other": none,
-                    "size": size[kept], "pos": pos[kept], "block": np.concatenate(block).astype(np.int32),
-                }
-            )
-            if lead:
-                x, y = np.concatenate(lead), np.concatenate(other)
-                ok = _positional(t, size[x], pos[x], size[y], pos[y])
-                x, y = x[ok], y[ok]
-                pairs = np.unique(np.stack((np.minimum(node[x], node[y]), np.maximum(node[x], node[y]))), axis=1)
-                none = np.zeros(pairs.shape[1], np.int64)
-                zero = none.astype(np.int32)
+                upto = i + np.searchsorted(size[i:j], t.longest(size[i:j]), "right")
+                for a in range(i, j - 1):
+                    b = np.arange(a + 1, int(upto[a - i]))
+                    if paired[a]:
+                        b = b[~paired[b]]
+                    if len(b):
+                        b, most = _possible(t, size, pos, a, b)
+                        b = b[np.abs(counts[b] - counts[a]).sum(axis=1) <= most]
+                        if len(b):
+                            paired[a] = paired[b] = True
+            at = np.flatnonzero(paired)
+            if len(at):
                 yield pa.RecordBatch.from_pydict(
                     {
-                        "kind": zero + np.int32(1), "token": none, "node": pairs[0], "other": pairs[1],
-                        "size": zero, "pos": zero, "block": zero,
+                        "token": token[at], "node": node[at], "size": size[at].astype(np.int32),
+                        "pos": pos[at].astype(np.int32), "block": block[at],
                     }
                 )
 
     return (
-        postings.repartition("token")
-        .sortWithinPartitions("token", "size", "node")
-        .mapInArrow(run, "kind int, token long, node long, other long, size int, pos int, block int")
+        known.repartition("token", "block")
+        .sortWithinPartitions("token", "block", "size", "node")
+        .mapInArrow(run, "token long, node long, size int, pos int, block int")
     )
 
 
-def _across(shared: DataFrame, labels: DataFrame, nodes: DataFrame, t: Threshold) -> DataFrame:
-    """Pairs of nodes of different components that meet under a shared token and pass all filters."""
-    heavy = shared.groupBy("token").agg(F.max("block").alias("blocks"), F.count(F.lit(1)).alias("n")).where("blocks > 0")
+class _Signatures:
+    """Signatures of rows in order of size; compares one with others, folded to its length."""
+
+    def __init__(self, signatures: np.ndarray) -> None:
+        self.all = signatures
+        # lengths never fall, as rows are in order of size
+        self.wide = np.fromiter(map(len, signatures), np.int64, len(signatures))
+        self.width, self.first, self.words = 0, 0, np.empty((0, 0), np.uint64)
+
+    def differ(self, a: int, b: np.ndarray) -> np.ndarray:
+        """At least this many shingles are in one of the sets a and b only; b after a, and similar in size."""
+        if self.wide[a] != self.width:
+            self.width, self.first = int(self.wide[a]), a
+            last = int(np.searchsorted(self.wide, 2 * self.width, "right"))
+            self.words = _folded(self.all[a:last], self.width)
+        return np.bitwise_count(self.words[b - self.first] ^ self.words[a - self.first]).sum(axis=1)
+
+
+def _leaders(close: DataFrame, nodes: DataFrame, t: Threshold) -> DataFrame:
+    """Pairs (a, b), distinct: each node of a bucket with the first one, in order of size, that passes all filters."""
+    known = close.join(nodes.select("node", "signature"), "node").select("token", "block", "size", "node", "pos", "signature")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (_, _, size, node, pos, signature), bounds in _runs(batches, 2):
+            size, pos = size.astype(np.int64), pos.astype(np.int64)
+            lead, other = [], []
+            for r in np.flatnonzero(np.diff(bounds) > 1).tolist():
+                i, j = int(bounds[r]), int(bounds[r + 1])
+                s, p, v = size[i:j], pos[i:j], _Signatures(signature[i:j])
+                upto = np.searchsorted(s, t.longest(s), "right")
+                led = np.zeros(j - i, bool)
+                for a in range(j - i - 1):
+                    b = np.arange(a + 1, int(upto[a]))
+                    b = b[~led[b]]
+                    if len(b):
+                        b, most = _possible(t, s, p, a, b)
+                        b = b[v.differ(a, b) <= most]
+                        led[b] = True
+                        lead.append(np.full(len(b), node[i + a]))
+                        other.append(node[i + b])
+            if lead:
+                x, y = np.concatenate(lead), np.concatenate(other)
+                pairs = np.unique(np.stack((np.minimum(x, y), np.maximum(x, y))), axis=1)
+                yield pa.RecordBatch.from_pydict({"a": pairs[0], "b": pairs[1]})
+
+    return (
+        known.repartition("token", "block")
+        .sortWithinPartitions("token", "block", "size", "node")
+        .mapInArrow(run, "a long, b long")
+        .distinct()
+    )
+
+
+def _mixed_buckets(close: DataFrame, labels: DataFrame) -> DataFrame:
+    """The close postings of buckets with nodes of several components, with their label and the bucket's last block."""
+    heavy = close.groupBy("token").agg(F.max("block").alias("blocks")).where("blocks > 0")
     known = (
-        shared.join(nodes.select("node", "cells"), "node")
-        .join(labels, "node", "left")
+        close.join(labels, "node", "left")
         .withColumn("label", F.coalesce("label", "node"))
-        .join(heavy.select("token", "blocks"), "token", "left")
+        .join(heavy, "token", "left")
+        .select("token", "label", "node", "size", "pos", "block", F.coalesce("blocks", F.lit(0)).alias("blocks"))
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for cols, bounds in _runs(batches, 1):
+            # in order of label: a bucket is mixed if its ends differ
+            mixed = cols[1][bounds[:-1]] != cols[1][bounds[1:] - 1]
+            at = np.flatnonzero(np.repeat(mixed, np.diff(bounds)))
+            if len(at):
+                names = ("token", "label", "node", "size", "pos", "block", "blocks")
+                yield pa.RecordBatch.from_pydict({n: c[at] for n, c in zip(names, cols, strict=True)})
+
+    return (
+        known.repartition("token")
+        .sortWithinPartitions("token", "label")
+        .mapInArrow(run, "token long, label long, node long, size int, pos int, block int, blocks int")
     )
+
+
+def _across(mixed: DataFrame, fine: DataFrame, t: Threshold) -> DataFrame:
+    """Pairs of nodes of different components that meet under a shared token and pass all filters."""
+    known = mixed.join(fine.withColumnRenamed("made", "signature"), "node")
     # a bucket of several blocks is compared by pairs of blocks
-    sides = F.when(
-        F.col("blocks").isNull(), F.array(F.struct(F.lit(0).alias("x"), F.lit(0).alias("y")))
-    ).otherwise(
-        F.transform(
-            F.sequence(F.lit(0), F.coalesce("blocks", F.lit(0))),
-            lambda c: F.struct(F.least("block", c).alias("x"), F.greatest("block", c).alias("y")),
-        )
+    sides = F.transform(
+        F.sequence(F.lit(0), F.col("blocks")),
+        lambda c: F.struct(F.least("block", c).alias("x"), F.greatest("block", c).alias("y")),
     )
     dealt = known.withColumn("side", F.explode(sides)).select(
-        "token", F.col("side.x").alias("x"), F.col("side.y").alias("y"), "size", "node", "label", "pos", "block", "cells"
+        "token", F.col("side.x").alias("x"), F.col("side.y").alias("y"), "size", "node", "label", "pos", "block", "signature"
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (_, xs, ys, size, node, label, pos, block, cells), bounds in _runs(batches, 3):
+        for (token, xs, ys, size, node, label, pos, block, signature), bounds in _runs(batches, 3):
+            size, pos = size.astype(np.int64), pos.astype(np.int64)
             found = []
             for r in np.flatnonzero(np.diff(bounds) > 1).tolist():
                 i, j = int(bounds[r]), int(bounds[r + 1])
                 if (label[i:j] == label[i]).all():
                     continue
-                counts = np.frombuffer(b"".join(cells[i:j]), np.uint8).reshape(j - i, CELLS).astype(np.int32)
-                s, p, lab, blk = size[i:j].astype(np.int64), pos[i:j].astype(np.int64), label[i:j], block[i:j]
                 two = xs[i] != ys[i]
-                upto = np.searchsorted(s, t.longest(s), "right")
-                for a in range(j - i - 1):
-                    b = np.arange(a + 1, int(upto[a]))
-                    b = b[lab[b] != lab[a]]
+                upto = i + np.searchsorted(size[i:j], t.longest(size[i:j]), "right")
+                v = _Signatures(signature[i:j])
+                for a in range(i, j - 1):
+                    b = np.arange(a + 1, int(upto[a - i]))
+                    b = b[label[b] != label[a]]
                     if two:
-                        b = b[blk[b] != blk[a]]
+                        b = b[block[b] != block[a]]
+                    if not len(b):
+                        continue
+                    b, most = _possible(t, size, pos, a, b)
                     if not len(b):
                         continue
-                    least = t.overlap(s[a], s[b])
-                    b = b[np.minimum(p[a], p[b]) + 1 + np.minimum(s[a] - p[a] - 1, s[b] - p[b] - 1) >= least]
-                    differ = np.abs(counts[b] - counts[a]).sum(axis=1)
-                    b = b[differ <= s[a] + s[b] - 2 * t.overlap(s[a], s[b])]
+                    b = b[v.differ(a - i, b - i) <= most]
                     if len(b):
-                        u, v = node[i + a], node[i + b]
-                        found.append(np.stack((np.minimum(u, v), np.maximum(u, v))))
+                        found.append(np.stack((np.minimum(node[a], node[b]), np.maximum(node[a], node[b]))))
             if found:
                 pairs = np.unique(np.concatenate(found, axis=1), axis=1)
                 yield pa.RecordBatch.from_pydict({"a": pairs[0], "b": pairs[1]})
@@ -355,63 +520,43 @@ def _across(shared: DataFrame, labels: DataFrame, nodes: DataFrame, t: Threshold
     )
 
 
-def _suffix_filter(pairs: DataFrame, nodes: DataFrame, t: Threshold) -> DataFrame:
-    """Pairs (a, b, size_a, size_b) that the length and suffix filters leave."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b, size_a, size_b = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(4))
-            x, y = (
-                np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int32)
-                for k in (4, 5)
-            )
-            most = size_a + size_b - 2 * t.overlap(size_a, size_b)
-            ok = np.abs(x - y).sum(axis=1) <= most
-            yield pa.RecordBatch.from_pydict({"a": a[ok], "b": b[ok]})
-
-    left = nodes.select(F.col("node").alias("a"), F.col("size").alias("size_a"), F.col("cells").alias("cells_a"))
-    right = nodes.select(F.col("node").alias("b"), F.col("size").alias("size_b"), F.col("cells").alias("cells_b"))
-    return (
-        pairs.join(left, "a")
-        .join(right, "b")
-        .select("a", "b", "size_a", "size_b", "cells_a", "cells_b")
-        .mapInArrow(run, "a long, b long")
-    )
-
-
 def _bitmap(nodes: DataFrame) -> np.ndarray:
     """A bitmap of fixed size that has each node's bit (others may share it)."""
     at = F.col("node").bitwiseAND(F.lit((1 << BITMAP_BITS) - 1))
-    words = nodes.select(F.shiftright(at, 6).alias("w"), F.expr(f"shiftleft(1L, cast(node & 63 as int))").alias("bit"))
+    words = nodes.select(F.shiftright(at, 6).alias("w"), F.expr("shiftleft(1L, cast(node & 63 as int))").alias("bit"))
     out = np.zeros(1 << (BITMAP_BITS - 6), np.int64)
     for r in words.groupBy("w").agg(F.bit_or("bit").alias("bits")).collect():
         out[r["w"]] = r["bits"]
     return out.view(np.uint64)
 
 
-def _sets(docs: DataFrame, n: int, wanted: DataFrame) -> DataFrame:
-    """(node, set) of the wanted nodes, computed from the texts, one row a node."""
+def _fetched(docs: DataFrame, n: int, wanted: DataFrame, make: Callable[[np.ndarray], bytes]) -> DataFrame:
+    """(node, made) of the wanted nodes: what ``make`` makes of their sets, computed from the texts, one row a node."""
     spark = docs.sparkSession
     bits = spark.sparkContext.broadcast(_bitmap(wanted))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bitmap, met = bits.value, set()
-        for _, texts in _texts(batches):
-            nodes, sets = [], []
-            for text in texts:
-                s = shingles(text, n)
-                if not len(s) or (node := _node(s)) in met:
+        for _, hashes, bounds in _sets_of(batches, n):
+            nodes, made = [], []
+            for a, b in zip(bounds.tolist(), bounds[1:].tolist(), strict=False):
+                s = hashes[a:b]
+                if a == b or (node := _node(s)) in met:
                     continue
                 at = node & ((1 << BITMAP_BITS) - 1)
                 if int(bitmap[at >> 6]) >> (at & 63) & 1:
                     met.add(node)
                     nodes.append(node)
-                    sets.append(s.tobytes())
+                    made.append(make(s))
             if nodes:
-                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(sets, pa.binary())], names=["node", "set"])
+                yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(made, pa.binary())], names=["node", "made"])
+
+    found = docs.mapInArrow(run, "node long, made binary")
+    return found.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("made").alias("made"))
+
 
-    found = docs.mapInArrow(run, "node long, set binary")
-    return found.join(wanted, "node", "left_semi").groupBy("node").agg(F.first("set").alias("set"))
+def _fine(s: np.ndarray) -> bytes:
+    return _signatures(s, np.array([0, len(s)]), FINE)[0]
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, n: int, t: Threshold) -> DataFrame:
@@ -433,16 +578,14 @@ def _verified(pairs: DataFrame, docs: DataFrame, n: int, t: Threshold) -> DataFr
                     yield pa.RecordBatch.from_pydict({"a": [p for p, _ in ok], "b": [q for _, q in ok]})
 
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    sets = materialise(_sets(docs, n, wanted), "sets")
+    sets = _fetched(docs, n, wanted, np.ndarray.tobytes)
     checked = (
-        pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a")
-        .join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
+        pairs.join(sets.select(F.col("node").alias("a"), F.col("made").alias("x")), "a")
+        .join(sets.select(F.col("node").alias("b"), F.col("made").alias("y")), "b")
         .select("a", "b", "x", "y")
         .mapInArrow(run, "a long, b long")
     )
-    links = materialise(checked, "links")
-    discard(sets)
-    return links
+    return materialise(checked, "links", narrow=True)
 
 
 def similar(
@@ -456,29 +599,61 @@ def similar(
     rows = summaries.where("size >= 0")
     nodes = materialise(
         rows.where("size > 0")
-        .groupBy("node", "check", "size", "cells")
-        .agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")),
+        .groupBy("node", "check", "size")
+        .agg(
+            F.min("id").alias("least"), F.count(F.lit(1)).alias("n"),
+            F.first("cells").alias("cells"), F.first("signature").alias("signature"),
+        ),
         "nodes",
+        narrow=True,
     )
     postings = _postings(source, n, t, sc.broadcast(_classes(summaries)))
-    met = materialise(_met(postings, t), "met")
-    leaders = met.where("kind = 1").select(F.col("node").alias("a"), F.col("other").alias("b")).distinct()
-    pairs = materialise(_suffix_filter(leaders, nodes, t), "pairs")
+    # read by both rounds; kept in shuffle-like local files, and made anew from the texts where an executor is lost
+    close = _close(_shared(postings), nodes, t).persist(StorageLevel.DISK_ONLY)
+    pairs = materialise(_leaders(close, nodes, t), "pairs", narrow=True)
     links = _verified(pairs, source, n, t)
-    labels = materialise(components(links), "labels")
-    more = materialise(_across(met.where("kind = 0"), labels, nodes, t), "pairs")
+    labels = materialise(components(links), "labels", narrow=True)
+    mixed = _mixed_buckets(close, labels).persist(StorageLevel.DISK_ONLY)
+    fine = _fetched(source, n, mixed.select("node").distinct(), _fine)
+    more = materialise(_across(mixed, fine, t), "pairs", narrow=True)
+    mixed.unpersist()
     if not more.isEmpty():
         rest = _verified(more.join(pairs, ["a", "b"], "left_anti"), source, n, t)
         if not rest.isEmpty():
-            labels = materialise(components(links.unionByName(rest)), "labels")
+            labels = materialise(components(links.unionByName(rest)), "labels", narrow=True)
     named = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     # only nodes that differ from their row's own id need a lookup
     least = named.groupBy("label").agg(F.min("least").alias("component"), F.count(F.lit(1)).alias("members"))
     lookup = named.join(least, "label").where("members > 1 or n > 1").select("node", "check", "component")
-    lookup = materialise(lookup, "lookup")
-    discard(met, pairs, more)
-    return rows.join(lookup, ["node", "check"], "left").select(
+    lookup = materialise(lookup, "lookup", narrow=True)
+    close.unpersist()
+    discard(pairs, more)
+    found = rows.join(lookup, ["node", "check"], "left").select(
         F.col("id").alias(ident),
         F.col("size").alias("n_shingles"),
         F.coalesce("component", "id").alias("component_id"),
     )
+    return found.coalesce(4 * sc.defaultParallelism)  # three numbers a row: no more tasks than keep all cores busy
+
+
+def one_of_each(docs: DataFrame, found: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` less those that ``found``, from :func:`similar`, puts into the group of a smaller id.
+
+    Of rows equal in id and text one stays; rows without an id stay. Only rows that may have to
+    go are shuffled: a bitmap of fixed size tells them from the rest.
+    """
+    key = F.col(ident).cast("long")
+    gone = found.where(F.col(ident) != F.col("component_id")).select(F.col(ident).cast("long").alias("node"))
+    again = docs.where(key.isNotNull()).groupBy(key.alias("node")).count().where("count > 1").select("node")
+    bits = docs.sparkSession.sparkContext.broadcast(_bitmap(gone.unionByName(again)))
+
+    @F.pandas_udf("boolean")
+    def suspected(ids: pd.Series) -> pd.Series:
+        at = ids.fillna(0).to_numpy(np.int64) & ((1 << BITMAP_BITS) - 1)
+        return pd.Series((bits.value[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool))
+
+    marked = docs.withColumn("__suspected", key.isNotNull() & suspected(key))
+    some = marked.where("__suspected").withColumns({"__key": key, "__text": F.xxhash64(text)})
+    kept = some.join(gone.withColumnRenamed("node", "__key"), "__key", "left_anti").dropDuplicates(["__key", "__text"])
+    columns = [f"`{c}`" for c in docs.columns]
+    return marked.where("NOT __suspected").select(*columns).unionByName(kept.select(*columns))
