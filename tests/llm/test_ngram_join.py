@@ -108,3 +108,11 @@ def test_components_of_paths_stars_and_loops(spark):
 
 def test_matches_sql(spark, small):
     same(op10_ngram_jaccard(spark, small), ORACLE["op10_ngram_jaccard"], small)
+
+
+def test_one_of_each_group_stays(spark):
+    rows = [(5, "a b c d"), (2, "A b c d"), (2, "A b c d"), (None, "a b c d"), (9, "q"), (9, "other words here"), (7, None), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = nj.one_of_each(docs, nj.similar(docs, 90, 100, 3)).collect()
+    want = [(2, "A b c d"), (None, "a b c d"), (9, "q"), (9, "other words here"), (7, None), (None, None)]
+    assert sorted(map(tuple, out), key=repr) == sorted(want, key=repr)
