@@ -14,15 +14,13 @@ from millrace.llm import bpe, ngram_join, pareto_mix, pii, toxicity
 from millrace.llm.common import materialise
 from millrace.llm.queries import TOXIC_CATEGORIES, WORDS
 
-TOXIC_FROM = 0.5
-
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the chain finds toxic go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     chain = toxicity.fit(docs, labels, TOXIC_CATEGORIES)
     scored = toxicity.predict(docs, chain)
-    return scored.where(F.col("toxic") < TOXIC_FROM).select(*docs.columns)
+    return scored.where(F.col("toxic") < chain.cuts["toxic"]).select(*docs.columns)
 
 
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,10 +29,7 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     Of rows equal in doc_id and text one stays; rows without doc_id stay.
     """
     found = ngram_join.similar(docs, num=80, den=100, n=5)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
-    numbered = kept.where("doc_id IS NOT NULL").withColumn("__text", F.xxhash64("text"))
-    return numbered.dropDuplicates(["doc_id", "__text"]).drop("__text").unionByName(kept.where("doc_id IS NULL"))
+    return ngram_join.one_of_each(docs, materialise(found, "groups", narrow=True))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
