@@ -27,11 +27,39 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+#: Paths made within a scope, and the scope that is open.
+_scopes: dict[str, list[str]] = {}
+_open: list[str] = []
+
+
+@contextmanager
+def scope(name: str) -> Iterator[None]:
+    """Note the scratch paths made within, for :func:`release`."""
+    _open.append(name)
+    try:
+        yield
+    finally:
+        _open.pop()
+
+
+def release(spark: SparkSession, name: str) -> None:
+    """Delete what was made within a scope. Results that read it must have been written by now."""
+    for path in _scopes.pop(name, []):
+        _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
+
+
 def scratch_path(spark: SparkSession, tag: str) -> str:
     """A fresh path below the shared folder, deleted when the application's file systems are closed."""
     path = f"{shared_dir(spark)}/millrace/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
     jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
     jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
+    if _open:
+        _scopes.setdefault(_open[-1], []).append(path)
     return path
 
 
@@ -66,9 +94,7 @@ def discard(*tables: DataFrame) -> None:
     """Delete materialised tables that no later plan reads."""
     for t in tables:
         if path := getattr(t, "_millrace_path", None):
-            jvm, sc = t.sparkSession._jvm, t.sparkSession._jsc
-            jpath = jvm.org.apache.hadoop.fs.Path(path)
-            jpath.getFileSystem(sc.hadoopConfiguration()).delete(jpath, True)
+            _delete(t.sparkSession, path)
 
 
 def without(df: DataFrame, names: list[str]) -> DataFrame:

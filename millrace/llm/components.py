@@ -23,7 +23,7 @@ def components(links: DataFrame) -> DataFrame:
     """``links`` (a, b: long) to ``node``, ``label``: the least node of its component, for each linked node.
 
     Rounds grow with the logarithm of a component's size. Each round's edges are written to the
-    shared folder; only a count and a checksum come to the driver.
+    shared folder, and so is the result; only a count and a checksum come to the driver.
     """
     edges = materialise(
         links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(),
@@ -43,6 +43,9 @@ def components(links: DataFrame) -> DataFrame:
         if mark == seen or mark[0] == 0:
             break
         seen = mark
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(
+    found = edges.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(
         edges.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()
     )
+    out = materialise(found, "labels", narrow=True)
+    discard(edges)
+    return out

@@ -612,7 +612,7 @@ def similar(
     close = _close(_shared(postings), nodes, t).persist(StorageLevel.DISK_ONLY)
     pairs = materialise(_leaders(close, nodes, t), "pairs", narrow=True)
     links = _verified(pairs, source, n, t)
-    labels = materialise(components(links), "labels", narrow=True)
+    labels = components(links)
     mixed = _mixed_buckets(close, labels).persist(StorageLevel.DISK_ONLY)
     fine = _fetched(source, n, mixed.select("node").distinct(), _fine)
     more = materialise(_across(mixed, fine, t), "pairs", narrow=True)
@@ -620,14 +620,14 @@ def similar(
     if not more.isEmpty():
         rest = _verified(more.join(pairs, ["a", "b"], "left_anti"), source, n, t)
         if not rest.isEmpty():
-            labels = materialise(components(links.unionByName(rest)), "labels", narrow=True)
+            labels = components(links.unionByName(rest))
     named = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     # only nodes that differ from their row's own id need a lookup
     least = named.groupBy("label").agg(F.min("least").alias("component"), F.count(F.lit(1)).alias("members"))
     lookup = named.join(least, "label").where("members > 1 or n > 1").select("node", "check", "component")
     lookup = materialise(lookup, "lookup", narrow=True)
     close.unpersist()
-    discard(pairs, more)
+    discard(pairs, more, nodes, links, labels)
     found = rows.join(lookup, ["node", "check"], "left").select(
         F.col("id").alias(ident),
         F.col("size").alias("n_shingles"),
