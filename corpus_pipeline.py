@@ -1,20 +1,38 @@
 """The corpus pipeline: stages over ``documents``, each an operator of millrace.llm.
 
 Every stage takes what its predecessor kept and returns the columns of ``documents`` (the
-last adds the token ids). Between stages the driver, or ``run``, writes Parquet and reads it.
+last adds the token ids). Between stages the driver, or ``run``, writes Parquet and reads it;
+a stage therefore begins by deleting the scratch tables of the stage before.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import bpe, ngram_join, pareto_mix, pii, toxicity
-from millrace.llm.common import materialise
+from millrace.llm.common import materialise, release, scope
 from millrace.llm.queries import TOXIC_CATEGORIES, WORDS
 
 
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def _stage(f: Stage) -> Stage:
+    @wraps(f)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(spark, "stage")
+        with scope("stage"):
+            return f(spark, docs, sf_dir)
+
+    return run
+
+
+@_stage
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the chain finds toxic go."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -23,6 +41,7 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return scored.where(F.col("toxic") < chain.cuts["toxic"]).select(*docs.columns)
 
 
+@_stage
 def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents linked by a similarity of 0.8 on five-word shingles, that with the smallest doc_id stays.
 
@@ -32,18 +51,21 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return ngram_join.one_of_each(docs, materialise(found, "groups", narrow=True))
 
 
+@_stage
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each span of personal data is replaced by its kind in brackets; n_chars follows."""
     out = pii.redact(pii.find(docs))
     return out.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
+@_stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it."""
     sized = docs.withColumn("__size", F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long"))
     return pareto_mix.repeated(pareto_mix.mix(sized, "__size")).select(*docs.columns)
 
 
+@_stage
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document."""
     return bpe.encode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
