@@ -114,6 +114,19 @@ def pieces(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
     yield from pieces(batch.slice(half), most)
 
 
+def gathered(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[list[pa.RecordBatch]]:
+    """The batches in groups of ``least`` bytes or a little more; larger batches in slices."""
+    held, size = [], 0
+    for batch in (p for whole in batches for p in pieces(whole, least)):
+        held.append(batch)
+        size += batch.nbytes
+        if size >= least:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
 def add_columns(
     df: DataFrame,
     source: str,
@@ -137,14 +150,13 @@ def add_columns(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
-        for whole in batches:
-            for large in pieces(whole, ahead_bytes or piece_bytes):
-                if ahead_bytes:
-                    f.ahead(x for p in pieces(large, piece_bytes) for x in p.column(at).to_pylist())
-                for batch in pieces(large, piece_bytes):
-                    made = f(batch.column(at).to_pylist())
-                    yield pa.RecordBatch.from_arrays(
-                        [*batch.columns, *made], names=[*batch.schema.names, *(x.name for x in fields)]
-                    )
+        for group in gathered(batches, ahead_bytes or piece_bytes):
+            if ahead_bytes:
+                f.ahead(x for g in group for p in pieces(g, piece_bytes) for x in p.column(at).to_pylist())
+            for batch in (p for g in group for p in pieces(g, piece_bytes)):
+                made = f(batch.column(at).to_pylist())
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.columns, *made], names=[*batch.schema.names, *(x.name for x in fields)]
+                )
 
     return base.mapInArrow(run, schema)
