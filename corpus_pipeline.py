@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.llm import bpe, ngram_join, pareto_mix, pii, toxicity
-from millrace.llm.common import materialise, release, scope
+from millrace.llm.common import BATCH_ROWS, materialise, release, scope
 from millrace.llm.queries import TOXIC_CATEGORIES, WORDS
 
 
@@ -26,6 +26,8 @@ def _stage(f: Stage) -> Stage:
     @wraps(f)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         release(spark, "stage")
+        for k, v in BATCH_ROWS.items():  # for what the caller runs: texts are long, and results are lazy
+            spark.conf.set(k, v)
         with scope("stage"):
             return f(spark, docs, sf_dir)
 
