@@ -49,8 +49,7 @@ def keep_one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
     Of rows equal in doc_id and text one stays; rows without doc_id stay.
     """
-    found = ngram_join.similar(docs, num=80, den=100, n=5)
-    return ngram_join.one_of_each(docs, materialise(found, "groups", narrow=True))
+    return ngram_join.one_of_each(docs, num=80, den=100, n=5)
 
 
 @_stage

@@ -5,6 +5,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.llm import ngram_join as nj
 from millrace.llm.components import components
@@ -77,8 +78,11 @@ def test_components_match_brute_force(spark, num, n, seed):
     assert sorted(map(tuple, got.collect()), key=repr) == _brute(rows, num, 100, n)
 
 
-def test_buckets_of_several_blocks(spark, monkeypatch):
+@pytest.mark.parametrize("small", [2, 8])
+def test_groups_of_several_blocks(spark, monkeypatch, small):
     monkeypatch.setattr(nj, "BLOCK", 4)
+    monkeypatch.setattr(nj, "SMALL", small)
+    monkeypatch.setattr(nj, "HOT", 0.0)
     rows = _corpus(7, 25, 14)
     got = nj.similar(spark.createDataFrame(rows, "doc_id long, text string"), 80, 100, 3)
     assert sorted(map(tuple, got.collect()), key=repr) == _brute(rows, 80, 100, 3)
@@ -113,6 +117,50 @@ def test_matches_sql(spark, small):
 def test_one_of_each_group_stays(spark):
     rows = [(5, "a b c d"), (2, "A b c d"), (2, "A b c d"), (None, "a b c d"), (9, "q"), (9, "other words here"), (7, None), (None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    out = nj.one_of_each(docs, nj.similar(docs, 90, 100, 3)).collect()
+    out = nj.one_of_each(docs, 90, 100, 3).collect()
     want = [(2, "A b c d"), (None, "a b c d"), (9, "q"), (9, "other words here"), (7, None), (None, None)]
     assert sorted(map(tuple, out), key=repr) == sorted(want, key=repr)
+
+
+def test_a_repeated_id_is_judged_by_its_text(spark):
+    rows = [(1, "a b c d e f"), (5, "a b c d e f"), (5, "wholly other words stand here now")]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, `row.id` int")
+    out = nj.one_of_each(docs)
+    assert out.columns == docs.columns and sorted(map(tuple, out.collect())) == [(*rows[0], 0), (*rows[2], 2)]
+
+
+def test_linked_rows_of_one_id_leave_one(spark):
+    long = [f"w{i}" for i in range(100)]
+    rows = [(3, " ".join(long)), (3, " ".join(long[1:])), (3, "unlike them"), (8, " ".join(long))]
+    out = nj.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(out) == 2 and {r.doc_id for r in out} == {3} and "unlike them" in {r.text for r in out}
+
+
+def test_signatures_never_exceed_the_difference():
+    r = np.random.default_rng(5)
+    pool = r.integers(0, 1 << 63, 900).astype(np.uint64)
+    sets = sorted((np.sort(r.choice(pool, int(k), replace=False)) for k in r.integers(1, 700, 60)), key=len)
+    v = nj._Signatures(np.array([nj._signature(x) for x in sets], object))
+    for a in range(60):
+        got = v.differ(a, np.arange(60))
+        want = [len(np.setxor1d(sets[a], x)) for x in sets]
+        assert (got <= want).all() and got[a] == 0
+
+
+def test_positional_bound_never_drops_a_link(spark):
+    r = random.Random(9)
+    for num in (80, 90):
+        t, rows = nj.Threshold(num, 100), []
+        for _ in range(400):
+            x = r.sample(range(60), r.randint(1, 50))
+            y = sorted(set(x) ^ set(r.sample(range(60), r.randint(0, 6)))) or [1]
+            x = sorted(x)
+            p, q = x[: t.prefix(len(x))], y[: t.prefix(len(y))]
+            common = sorted(set(p) & set(q))
+            both = len(set(x) & set(y))
+            if 100 * both >= num * len(set(x) | set(y)):
+                assert common
+                rows.append((len(common), len(x), len(y), x.index(common[-1]), y.index(common[-1])))
+        df = spark.createDataFrame(rows, "n long, s int, u int, p int, q int")
+        c = [F.col(k) for k in ("n", "s", "u", "p", "q")]
+        assert rows and df.where(~(t.reachable(*c) & t.similar_sizes(c[1], c[2]))).count() == 0
