@@ -5,9 +5,6 @@ Money is summed as decimals, so that a sum does not depend on its order.
 
 from __future__ import annotations
 
-import re
-from collections.abc import Callable
-
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,33 +17,12 @@ from millrace.operators.skew import salted_join
 from millrace.operators.windows import groups_frame, sessions, top_per_group
 from millrace.sources import formats
 from millrace.sources.tables import table
+from millrace.streaming import state
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE: dict[str, str] = {}
-
-
-def _query(oracle: str | None = None):
-    """Register a function as the query of its name."""
-
-    def register(f):
-        QUERIES[f.__name__] = f
-        if oracle:
-            ORACLE[f.__name__] = oracle
-        return f
-
-    return register
-
-
-def _sql(name: str, text: str, oracle: str | None = None) -> None:
-    """Register Spark SQL over tables in braces; ``oracle``: DuckDB's text where the dialects differ."""
-    names = sorted(set(re.findall(r"\{(\w+)\}", text)))
-
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return spark.sql(text, **{n: table(spark, sf_dir, n) for n in names})
-
-    run.__name__ = name
-    QUERIES[name] = run
-    ORACLE[name] = oracle or re.sub(r"\{(\w+)\}", r"\1", text)
+from . import aggregates, scalars, shapes  # noqa: F401  they register themselves
+from .registry import ORACLE, QUERIES  # noqa: F401
+from .registry import query as _query
+from .registry import sql as _sql
 
 
 def _exact(c) -> F.Column:
@@ -121,23 +97,6 @@ _sql(
 )
 
 
-@_query("SELECT l_returnflag, skewness(l_quantity) > -1 AS bounded, count(*) AS n FROM lineitem GROUP BY 1")
-def skewness_bounded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").groupBy("l_returnflag")
-    return rows.agg((MF.sample_skewness(F.col("l_quantity")) > -1).alias("bounded"), F.count(F.lit(1)).alias("n"))
-
-
-@_query()
-def approximate_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sketches: rows differ between engines by design."""
-    rows = table(spark, sf_dir, "orders")
-    return rows.agg(
-        F.approx_count_distinct("o_custkey").alias("hyperloglog"),
-        F.hll_sketch_estimate(F.hll_sketch_agg("o_custkey")).alias("hll_sketch"),
-        F.approx_percentile("o_totalprice", 0.5).alias("median"),
-    )
-
-
 # ---------------------------------------------------------------------- joins
 
 _sql(
@@ -165,7 +124,7 @@ def asof(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type")
     views = rows.where("event_type = 'view'").select("event_id", "user_id", "ts")
     clicks = rows.where("event_type = 'click'").select("event_id", "user_id", "ts")
-    return asof_join(views, clicks, "user_id", "ts", "ts", {"click_id": "event_id"}).select("event_id", "user_id", "click_id")
+    return asof_join(views, clicks, "user_id", "ts", "ts", {"click_id": "event_id"}, block=lambda t: F.date_trunc("day", t)).select("event_id", "user_id", "click_id")
 
 
 @_query("""
@@ -466,12 +425,6 @@ _sql(
       median(l_quantity) AS med, CAST(count(*) AS BIGINT) AS rc, array_to_string(list_sort(list(DISTINCT l_linestatus)), '') AS st
     FROM lineitem o GROUP BY l_returnflag""",
 )
-_sql(
-    "moments",
-    """SELECT c_mktsegment, abs(stddev_samp(c_nationkey) - sqrt(var_samp(c_nationkey))) < 1e-9 AS a, abs(var_pop(c_nationkey) * count(*) - var_samp(c_nationkey) * (count(*) - 1)) < 1e-6 AS b,
-      abs(corr(c_nationkey, c_nationkey) - 1) < 1e-9 AS c, abs(covar_pop(c_nationkey, c_nationkey) - var_pop(c_nationkey)) < 1e-9 AS d
-    FROM {customer} GROUP BY c_mktsegment""",
-)
 _sql(
     "array_sets",
     """SELECT n_nationkey, array_join(array_union(a, b), ',') AS u, array_join(array_intersect(a, b), ',') AS i, array_join(array_except(a, b), ',') AS e,
@@ -588,3 +541,38 @@ def stream_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("SELECT user_id, count(*) AS n, max(event_id) AS last_event FROM events GROUP BY 1")
 def stream_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     return streaming.running_totals(spark, sf_dir)
+
+
+@_query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS started, event_type, count(*) AS n FROM events GROUP BY ALL")
+def stream_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return state.without_late_rows(spark, sf_dir)
+
+
+@_query("""
+    SELECT u.user_id, n, array_to_string(list_sort(list_slice(ids, len(ids) - 2, len(ids))), ',') AS last, types FROM (
+      SELECT user_id, count(*) AS n, list(event_id ORDER BY event_id) AS ids FROM events GROUP BY 1) u
+    JOIN (SELECT user_id, string_agg(event_type || '=' || k, ',' ORDER BY event_type) AS types FROM (
+      SELECT user_id, event_type, count(*) AS k FROM events GROUP BY ALL) GROUP BY 1) t ON t.user_id = u.user_id
+""")
+def stream_processor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return state.profiles(spark, sf_dir)
+
+
+@_query("SELECT user_id, count(*) AS n, max(event_id) AS last_event FROM events GROUP BY 1")
+def stream_timers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return state.farewells(spark, sf_dir)
+
+
+@_query("SELECT event_type, count(*) AS n FROM events GROUP BY 1")
+def stream_restart(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return state.after_a_restart(spark, sf_dir)
+
+
+@_query("SELECT event_type, count(*) AS n FROM events GROUP BY 1")
+def stream_memory_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return state.in_memory(spark, sf_dir)
+
+
+@_query("SELECT CAST(range AS BIGINT) AS value FROM range(100)")
+def stream_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return state.at_a_rate(spark, 100)

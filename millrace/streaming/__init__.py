@@ -19,26 +19,32 @@ def events(spark: SparkSession, sf_dir: str, watermark: str | None = "10 minutes
     return stream.withWatermark("ts", watermark) if watermark else stream
 
 
-def drained(stream: DataFrame, mode: str) -> DataFrame:
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A fresh folder in the shared folder, deleted when the application ends."""
+    base = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/")
+    path = f"{base}/stream-{tag}-{uuid.uuid4().hex}"
+    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
+    return path
+
+
+def drained(stream: DataFrame, mode: str, path: str | None = None, once: bool = False) -> DataFrame:
     """Run a stream until its input is used up and return what it wrote to the shared folder.
 
     Each micro-batch is a folder of its own, overwritten if the batch is run again; in complete
-    mode only the last one counts.
+    mode only the last one counts. ``path``: where rows and state go; a stream with the state of
+    an earlier run goes on from there, and only this run's rows are returned. ``once``: one micro-batch.
     """
     spark = stream.sparkSession
-    base = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/")
-    path, batches = f"{base}/stream-{uuid.uuid4().hex}", []
+    path, batches = path or scratch(spark, "run"), []
 
     def write(df: DataFrame, batch: int) -> None:
         df.write.mode("overwrite").parquet(f"{path}/rows/{batch}")
         batches.append(batch)
 
-    query = (
-        stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
-    )
+    writer = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", f"{path}/state")
+    query = (writer.trigger(once=True) if once else writer.trigger(availableNow=True)).start()
     query.awaitTermination()
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
     if not batches:
         return spark.createDataFrame([], stream.schema)
     wanted = batches[-1:] if mode == "complete" else sorted(set(batches))

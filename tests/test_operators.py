@@ -28,6 +28,28 @@ def test_range_join_matches_a_nested_loop(spark):
     assert sorted(map(tuple, got.select("p", "lo", "hi").collect())) == sorted(map(tuple, want.collect()))
 
 
+def test_range_join_takes_wide_endless_and_odd_spans(spark):
+    inf, nan = float("inf"), float("nan")
+    points = spark.createDataFrame([(x,) for x in (0.5, 3.0, 1e12, -7.25, inf, nan, None)], "p double")
+    bounds = [(0.0, 1e15), (-1e9, 4.0), (-inf, 0.5), (0.0, inf), (3.0, 3.0), (5.0, 1.0), (nan, 2.0), (0.0, nan), (None, 1.0), (2.9999, 3.0001), (-inf, inf)]
+    spans = spark.createDataFrame(bounds, "lo double, hi double")
+    got = range_join(points, spans, F.col("p"), F.col("lo"), F.col("hi"), 1.0).collect()
+    want = [(p, lo, hi) for p in (0.5, 3.0, 1e12, -7.25) for lo, hi in bounds if lo is not None and lo == lo and hi == hi and lo <= p < hi]
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert range_join(points, spans.where("false"), F.col("p"), F.col("lo"), F.col("hi"), 1.0).count() == 0
+
+
+def test_asof_by_blocks_is_the_same(spark):
+    left = spark.range(300).select((F.col("id") % 3).cast("string").alias("k"), ((F.col("id") * 37) % 211).alias("t"), "id", F.lit(1).alias("v"))
+    right = spark.range(60).select((F.col("id") % 3).cast("string").alias("k"), ((F.col("id") * 53) % 199).alias("t"), F.col("id").alias("r"))
+    odd = spark.createDataFrame([(None, 3, 1000, 0), ("1", None, 1001, 0)], left.schema)
+    for strict in (False, True):
+        plain, cut = (asof_join(left.unionByName(odd), right, "k", "t", "t", {"V": "r"}, strict, b) for b in (None, lambda t: F.floor(t / 10)))
+        assert plain.columns == cut.columns == ["k", "t", "id", "V"]
+        assert sorted(map(tuple, plain.collect()), key=repr) == sorted(map(tuple, cut.collect()), key=repr)
+        assert plain.where("V IS NOT NULL").count() > 200
+
+
 def test_salted_join_keeps_unmatched_rows(spark):
     large = spark.createDataFrame([(k, i) for i in range(50) for k in (1, 1, 2)], "k int, i int")
     small = spark.createDataFrame([(1, "x")], "k int, v string")

@@ -2,6 +2,8 @@ from __future__ import annotations
 
 import datetime as dt
 
+import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from millrace.streaming import drained, each_batch
@@ -22,6 +24,13 @@ def test_late_rows_are_dropped_once_the_watermark_has_moved(spark, tmp_path):
     assert ("a", 1) in got and not any(k == "late" for k, _ in got)
 
 
+def test_append_mode_needs_a_watermark(spark, tmp_path):
+    _write(spark, tmp_path, 0, [(dt.datetime(2024, 1, 1), "a")])
+    stream = spark.readStream.schema("ts timestamp, k string").parquet(f"{tmp_path}/*")
+    with pytest.raises(AnalysisException):
+        drained(stream.groupBy("k").count(), "append")
+
+
 def test_foreach_batch_sees_all_rows(spark, tmp_path):
     _write(spark, tmp_path, 0, [(dt.datetime(2024, 1, 1), "a"), (dt.datetime(2024, 1, 2), "b")])
     seen = []
