@@ -30,7 +30,7 @@ from typing import BinaryIO
 
 import pyarrow as pa
 from pyarrow import fs as pafs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import materialise, scratch_path
@@ -251,9 +251,15 @@ def read_archives(manifest: DataFrame, folder: str, payloads: bool = True) -> Da
     return manifest.repartition(max(1, min(READERS, manifest.count())), "archive").mapInArrow(run, RECORD)
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """The folder with its file system, the cluster's default if it names none, as :mod:`pyarrow.fs` writes it."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    whole = path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
+    scheme, _, rest = whole.partition(":")
+    return f"{ {'s3a': 's3', 's3n': 's3'}.get(scheme, scheme) }://{rest if not rest.startswith('//') else rest[2:]}"
+
+
 def round_trip(pages: DataFrame, payloads: bool = True) -> DataFrame:
     """Archive ``pages`` in a fresh shared folder and read the archives back."""
-    folder = scratch_path(pages.sparkSession, "warc")
-    if "://" not in folder:
-        folder = "file://" + folder.removeprefix("file:")
+    folder = qualified(pages.sparkSession, scratch_path(pages.sparkSession, "warc"))
     return read_archives(write_archives(pages, folder), folder, payloads)

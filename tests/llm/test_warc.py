@@ -58,3 +58,15 @@ def test_archives_roll_over(spark):
     manifest = warc.write_archives(pages, folder, archive_bytes=20_000)
     assert manifest.count() > 2
     assert warc.read_archives(manifest, folder).selectExpr("sum(page_id)").first()[0] == 199 * 100
+
+
+def test_folders_are_of_the_default_file_system(spark):
+    assert warc.qualified(spark, "/tmp/x/y") == "file:///tmp/x/y" == warc.qualified(spark, "file:/tmp/x/y")
+    conf = spark._jsc.hadoopConfiguration()
+    before = conf.get("fs.defaultFS")
+    conf.set("fs.viewfs.mounttable.other.link./shared", "file:///tmp")
+    conf.set("fs.defaultFS", "viewfs://other")
+    try:
+        assert warc.qualified(spark, "/shared/y") == "viewfs://other/shared/y"
+    finally:
+        conf.set("fs.defaultFS", before)
