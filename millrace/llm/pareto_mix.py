@@ -19,7 +19,8 @@ Random numbers are hashes of identifying columns and a seed, hence reruns agree.
 
 Defined results: a null source is a source of its own, last in order; null or negative sizes
 count as 0; documents of size 0 never change a total, and get the certain copies and one
-more if they rank before the cut; rows equal in all identifying columns rank in any order;
+more if they rank before the cut; rows equal in all identifying columns rank by size and then
+by a hash of all columns, which must be of types that have one;
 an empty table gives an empty result; further columns pass through, and those named like a
 result column are replaced.
 """
@@ -152,7 +153,8 @@ def mix(
 
     rows = ranked(kept, state)
     edge = rows.where(drawn & inside)
-    order = Window.partitionBy("__s").orderBy("v", *[F.col("__row")[c].asc_nulls_first() for c in identity])
+    # rows that differ anywhere are in the same order in each run
+    order = Window.partitionBy("__s").orderBy("v", *[F.col("__row")[c].asc_nulls_first() for c in identity], "__n", F.xxhash64("__row"))
     upto = F.col("below") + F.sum("__n").over(order.rowsBetween(Window.unboundedPreceding, 0))
     # taken if that brings the total nearer to what is left
     edge = edge.withColumn("more", (upto * 2 - F.col("__n") <= F.col("left") * 2).cast("int"))

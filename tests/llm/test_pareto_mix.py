@@ -59,3 +59,10 @@ def test_odd_rows(spark):
     assert len(out) == 6 and all(r.taken >= 0 for r in out)
     assert pareto_mix.repeated(pareto_mix.mix(df, "n")).columns == df.columns
     assert pareto_mix.mix(df.where("false"), "n").count() == 0
+
+
+def test_rows_of_one_id_rank_alike_in_each_run(spark):
+    rows = [(1, "s", n) for n in range(1, 60)] + [(2, "t", 5)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, size long")
+    runs = [sorted(map(tuple, pareto_mix.mix(d, "size").select("doc_id", "size", "taken").collect())) for d in (docs, docs.repartition(7, "size"))]
+    assert runs[0] == runs[1] and any(t for *_, t in runs[0])
