@@ -6,12 +6,20 @@ Largest inner product is made nearest distance by one more component: x becomes
 
 Data and queries are assigned to the nearest of a bounded number of pivots. Each query has a
 proven radius: the k-th best product with a bounded sample of the data, which the whole data
-can only better. For a group of queries (cells packed together) and a data cell with pivot p,
-a vector at distance d from p can be needed by query q only if
-|q' - p| - radius <= d <= |q' - p| + radius, hence only if d lies between the group's least and
-greatest of these. Those bounds are the summary: groups times pivots numbers. Data go to the
-groups that may need them, and nowhere else. Groups and their data are cut into blocks and
-chunks, so that a task's share is bounded however many fall into one cell.
+can only better. For the queries of a cell and a data cell with pivot p, a vector at distance d
+from p can be needed by query q only if |q' - p| - radius <= d <= |q' - p| + radius, hence only
+if d lies between the least and the greatest of these. Those bounds are the summary: pivots
+times pivots numbers, and with them a histogram of each data cell's distances.
+
+Neighbouring query cells become one group where the summaries say that moving the data once
+to both costs less than what one must then score in vain. Data go to the groups that may need
+them, and nowhere else. Groups are cut into blocks of queries; data cells are packed into parts
+of about ``chunk`` vectors (a larger cell is cut by key), and queries go only to parts with a
+cell they may need, so a task's share is bounded however many fall into one cell.
+
+How much this spares depends on the data. Directions without clusters, in 64 dimensions, are
+all about as far from each other as from a pivot: there the bounds exclude nothing and each
+group gets all vectors, as in a scan by blocks of queries. On clustered vectors most are spared.
 
 See :mod:`vectors` for which vectors take part. Products are exact while their partial sums
 stay below 2^53. An empty table gives an empty result.
@@ -30,6 +38,8 @@ from pyspark.sql import functions as F
 from .vectors import best, distinct_vectors, encoded, matrix, ranked, valid
 
 PIVOTS, SEEDS, BLOCK, CHUNK = 256, 2048, 2048, 16_384
+#: Steps of a data cell's histogram; moving a vector costs about as much as scoring it this often.
+STEPS, MOVE = 64, 128
 #: Added to distances so that rounding never excludes a vector.
 EPS = 1e-6
 
@@ -44,21 +54,50 @@ def _distances(x: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(square, 0.0))
 
 
-def _pack(counts: dict[int, int], pivots: np.ndarray, block: int) -> tuple[np.ndarray, list[int]]:
-    """Group of each cell, and blocks of each group: neighbouring cells until a block is full."""
-    centred = pivots - pivots.mean(axis=0)
-    along = centred @ np.linalg.svd(centred, full_matrices=False)[2][0]
-    group = np.zeros(len(pivots), np.int64)
-    sizes, blocks = 0, []
-    for cell in np.argsort(along, kind="stable"):
-        n = counts.get(int(cell), 0)
-        if sizes and sizes + n > block:
-            blocks.append(-(-sizes // block))
-            sizes = 0
-        group[cell] = len(blocks)
-        sizes += n
-    blocks.append(max(1, -(-sizes // block)))
-    return group, blocks
+class Plan:
+    """Groups of query cells with their bounds, and parts of data cells; its size depends on the pivots only."""
+
+    def __init__(self, pivots: np.ndarray, asked: np.ndarray, lo: np.ndarray, hi: np.ndarray, spread: np.ndarray, step: float, block: int, chunk: int) -> None:
+        # spread: how many vectors of each data cell are at a distance of each step
+        edges = np.arange(spread.shape[1]) * step
+        # a step too many at either end: estimates may exceed what is needed, never fall below
+        need = lambda lo, hi: np.where((edges[None, :] + 2 * step >= lo[:, None]) & (edges[None, :] - step <= hi[:, None]), spread, 0).sum(axis=1)
+        centred = pivots - pivots.mean(axis=0)
+        along = centred @ np.linalg.svd(centred, full_matrices=False)[2][0]
+        groups: list[list] = []  # cells, queries, lo, hi, vectors needed
+        for cell in np.argsort(along, kind="stable").tolist():
+            if not asked[cell]:
+                continue
+            new = [[cell], int(asked[cell]), lo[cell], hi[cell], int(need(lo[cell], hi[cell]).sum())]
+            if groups and groups[-1][1] + new[1] <= block:
+                old = groups[-1]
+                low, high = np.minimum(old[2], new[2]), np.maximum(old[3], new[3])
+                both, n = old[1] + new[1], int(need(low, high).sum())
+                if n * (MOVE + both) <= old[4] * (MOVE + old[1]) + new[4] * (MOVE + new[1]):
+                    groups[-1] = [old[0] + [cell], both, low, high, n]
+                    continue
+            groups.append(new)
+        self.group = np.zeros(len(pivots), np.int64)
+        for g, (cells, *_) in enumerate(groups):
+            self.group[cells] = g
+        self.blocks = np.array([max(1, -(-g[1] // block)) for g in groups], np.int64)
+        self.lo, self.hi = np.array([g[2] for g in groups]), np.array([g[3] for g in groups])
+        # data cells to parts
+        held = spread.sum(axis=1)
+        self.many = np.maximum(1, -(-held // chunk))
+        self.first = np.zeros(len(pivots), np.int64)
+        at = room = 0
+        for cell in np.argsort(along, kind="stable").tolist():
+            n, many = int(held[cell]), int(self.many[cell])
+            if room and (many > 1 or room + n > chunk):
+                at, room = at + 1, 0
+            self.first[cell] = at
+            at, room = (at + many, 0) if many > 1 else (at, room + n)
+        self.wanted = []
+        for g in groups:
+            cells = np.flatnonzero(need(g[2], g[3]))
+            parts = [np.arange(self.first[c], self.first[c] + self.many[c]) for c in cells.tolist()]
+            self.wanted.append(np.unique(np.concatenate(parts)) if parts else np.empty(0, np.int64))
 
 
 def top_k(
@@ -77,14 +116,32 @@ def top_k(
 
     With ``scale``, components become floor(scale * x) first.
     """
-    spark = df.sparkSession
     rows = valid(df, ident, vector)
     if scale is not None:
         rows = rows.withColumn("v", F.transform("v", lambda x: F.floor(F.lit(float(scale)) * x).cast("double")))
     table, asked = distinct_vectors(encoded(rows, queries), k)
+    made = dealt(table, k, pivots, seeds, block, chunk)
+    if made is None:
+        return ranked(df.sparkSession.createDataFrame([], "key long, id long, score double"), asked, k)
+    data, sought = made
+
+    def solve(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
+        if not len(q) or not len(x):
+            return pd.DataFrame({"key": [], "id": [], "score": []})
+        found = best(q["key"].tolist(), matrix(q["vec"]), matrix(x["vec"]), x["ids"].tolist(), k + 1, 1e-12)
+        return pd.DataFrame(dict(zip(("key", "id", "score"), found, strict=True)))
+
+    on = ["g", "y", "part"]
+    found = sought.groupBy(*on).cogroup(data.groupBy(*on)).applyInPandas(solve, "key long, id long, score double")
+    return ranked(found, asked, k)
+
+
+def dealt(table: DataFrame, k: int, pivots: int, seeds: int, block: int, chunk: int) -> tuple[DataFrame, DataFrame] | None:
+    """(g, y, part, vec, ids) of data and (g, y, part, key, vec) of queries: what meets in one task. None without data."""
+    sc = table.sparkSession.sparkContext
     sample = matrix([r["vec"] for r in table.orderBy("key", "vec").select("vec").limit(max(pivots, seeds)).collect()] or [b""])
     if not sample.size:
-        return ranked(spark.createDataFrame([], "key long, id long, score double"), asked, k)
+        return None
 
     def norms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -94,30 +151,38 @@ def top_k(
 
     m2 = table.select("vec").mapInArrow(norms, "m double").agg(F.max("m")).first()[0]
     centre = _augmented(sample[:pivots], m2)
-    shared = spark.sparkContext.broadcast((centre, sample[:seeds]))
+    step = max(2 * float(np.sqrt(m2)), 1e-300) / STEPS
+    shared = sc.broadcast((centre, sample[:seeds]))
 
-    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = shared.value[0]
+        counts = np.zeros((2, len(p), STEPS + 1), np.int64)
         for b in batches:
             if b.num_rows:
-                cell = _distances(_augmented(matrix(b.column(0)), None), p).argmin(axis=1)
-                yield pa.RecordBatch.from_pydict({"cell": cell.astype(np.int32)})
-
-    asked_vectors = table.where("q").select("key", "vec")
-    counts = {
-        r["cell"]: r["count"] for r in asked_vectors.select("vec").mapInArrow(assign, "cell int").groupBy("cell").count().collect()
-    }
-    group, blocks = _pack(counts, centre, block)
-    plan = spark.sparkContext.broadcast((group, np.array(blocks, np.int64)))
+                x, asked = matrix(b.column(0)), b.column(1).to_numpy(zero_copy_only=False).astype(bool)
+                d = _distances(_augmented(x, m2), p)
+                cell = d.argmin(axis=1)
+                at = np.minimum(d[np.arange(len(d)), cell] / step, STEPS).astype(np.int64)
+                np.add.at(counts[0], (cell, at), 1)
+                np.add.at(counts[1], (_distances(_augmented(x[asked], None), p).argmin(axis=1), 0), 1)
+        which, cell, at = np.nonzero(counts)
+        yield pa.RecordBatch.from_pydict(
+            {"which": which.astype(np.int32), "cell": cell.astype(np.int32), "at": at.astype(np.int32), "n": counts[which, cell, at]}
+        )
+
+    counts = np.zeros((2, len(centre), STEPS + 1), np.int64)
+    sums = table.select("vec", "q").mapInArrow(spread, "which int, cell int, at int, n long").groupBy("which", "cell", "at").agg(F.sum("n").alias("n"))
+    for r in sums.collect():  # pivots times steps numbers
+        counts[r["which"], r["cell"], r["at"]] = r["n"]
 
     def bounds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (p, known), (group, blocks) = shared.value, plan.value
-        lo, hi = np.full((len(blocks), len(p)), np.inf), np.full((len(blocks), len(p)), -np.inf)
+        p, known = shared.value
+        lo, hi = np.full((len(p), len(p)), np.inf), np.full((len(p), len(p)), -np.inf)
         for b in batches:
             for a in range(0, b.num_rows, 2048):
                 x = matrix(b.column(0).slice(a, 2048))
                 d = _distances(_augmented(x, None), p)
-                to = group[d.argmin(axis=1)]
+                to = d.argmin(axis=1)
                 if len(known) > k:
                     kth = np.partition(x @ known.T, -(k + 1), axis=1)[:, -(k + 1)]
                     radius = np.sqrt(np.maximum(0.0, (x * x).sum(axis=1) + m2 - 2 * kth))
@@ -138,27 +203,25 @@ def top_k(
         return pd.DataFrame({"g": [pdf["g"].iloc[0]], "lo": [lo.tobytes()], "hi": [hi.tobytes()]})
 
     shape = "g int, lo binary, hi binary"
-    lo, hi = np.full((len(blocks), len(centre)), np.inf), np.full((len(blocks), len(centre)), -np.inf)
+    asked_vectors = table.where("q").select("key", "vec")
+    lo, hi = np.full((len(centre), len(centre)), np.inf), np.full((len(centre), len(centre)), -np.inf)
     for r in asked_vectors.select("vec").mapInArrow(bounds, shape).groupBy("g").applyInPandas(least, shape).collect():
         lo[r["g"]], hi[r["g"]] = np.frombuffer(r["lo"]), np.frombuffer(r["hi"])
-    limits = spark.sparkContext.broadcast((lo, hi))
-    chunks = max(1, -(-table.count() // chunk))
+    plan = sc.broadcast(Plan(centre, counts[1].sum(axis=1), lo, hi, counts[0], step, block, chunk))
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Data vectors, for each block of each group that may need them."""
-        p, (lo, hi), (_, blocks) = shared.value[0], limits.value, plan.value
+        p, own = shared.value[0], plan.value
         for b in batches:
             if not b.num_rows:
                 continue
-            keys = b.column(0).to_numpy()
-            x = _augmented(matrix(b.column(1)), m2)
-            d = _distances(x, p)
+            d = _distances(_augmented(matrix(b.column(1)), m2), p)
             cell = d.argmin(axis=1)
             d = d[np.arange(len(d)), cell]
-            part = keys.view(np.uint64) % np.uint64(chunks)
-            for g in range(len(blocks)):
-                at = np.flatnonzero((d >= lo[g, cell]) & (d <= hi[g, cell]))
-                for y in range(int(blocks[g]) if len(at) else 0):
+            part = own.first[cell] + (b.column(0).to_numpy().view(np.uint64) % own.many[cell].astype(np.uint64)).astype(np.int64)
+            for g in range(len(own.blocks)):
+                at = np.flatnonzero((d >= own.lo[g, cell]) & (d <= own.hi[g, cell]))
+                for y in range(int(own.blocks[g]) if len(at) else 0):
                     n = len(at)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(np.full(n, z, np.int32)) for z in (g, y)]
@@ -166,30 +229,24 @@ def top_k(
                         names=["g", "y", "part", "vec", "ids"],
                     )
 
-    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Queries, for each chunk of the data."""
-        p, (group, blocks) = shared.value[0], plan.value
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Queries, for each part that may hold what they need."""
+        p, own = shared.value[0], plan.value
         for b in batches:
             if not b.num_rows:
                 continue
-            keys = b.column(0).to_numpy()
-            g = group[_distances(_augmented(matrix(b.column(1)), None), p).argmin(axis=1)]
-            y = (keys.view(np.uint64) // np.uint64(chunks)) % blocks[g].astype(np.uint64)
-            for part in range(chunks):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(g.astype(np.int32)), pa.array(y.astype(np.int32)), pa.array(np.full(len(g), part, np.int32)), b.column(0), b.column(1)],
-                    names=["g", "y", "part", "key", "vec"],
-                )
+            g = own.group[_distances(_augmented(matrix(b.column(1)), None), p).argmin(axis=1)]
+            y = b.column(0).to_numpy().view(np.uint64) // np.uint64(7919) % own.blocks[g].astype(np.uint64)
+            for x in np.unique(g).tolist():
+                at = np.flatnonzero(g == x)
+                for part in own.wanted[x].tolist():
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array(np.full(len(at), x, np.int32)), pa.array(y[at].astype(np.int32)), pa.array(np.full(len(at), part, np.int32)),
+                            b.column(0).take(at), b.column(1).take(at),
+                        ],
+                        names=["g", "y", "part", "key", "vec"],
+                    )
 
     data = table.select("key", "vec", "ids").mapInArrow(replicate, "g int, y int, part int, vec binary, ids array<long>")
-    sought = asked_vectors.mapInArrow(dealt, "g int, y int, part int, key long, vec binary")
-
-    def solve(q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
-        if not len(q) or not len(x):
-            return pd.DataFrame({"key": [], "id": [], "score": []})
-        made = best(q["key"].tolist(), matrix(q["vec"]), matrix(x["vec"]), x["ids"].tolist(), k + 1, 1e-12)
-        return pd.DataFrame(dict(zip(("key", "id", "score"), made, strict=True)))
-
-    on = ["g", "y", "part"]
-    found = sought.groupBy(*on).cogroup(data.groupBy(*on)).applyInPandas(solve, "key long, id long, score double")
-    return ranked(found, asked, k)
+    return data, asked_vectors.mapInArrow(ask, "g int, y int, part int, key long, vec binary")
