@@ -7,16 +7,19 @@ models learn to trust them as far as they hold on new texts. In prediction they
 models fitted on all folds.
 
 Features: presence of words and of word beginnings (so that inflected forms share a weight),
-of a vocabulary of at most ``vocabulary`` that are most frequent by document in the sample,
-and four figures of form. Models are logistic
-regressions with an elastic-net penalty (accelerated proximal gradient), so that words which
-merely come along, such as those of a text that was copied often, get little weight or none.
+all that occur in the sample, and four figures of form. Models are logistic regressions with a
+weighted absolute penalty on words and a small squared one: a word's weight differs from 0
+only where it explains more than ``NOISE`` standard deviations of chance would, given how many
+texts have it, so words which merely come along get none. Fitting works on the words that
+violate this condition (accelerated proximal gradient), looks at all words again, and ends
+when none is left out that should be in: the solution is that of all features.
 
 A category's cut, the probability from which a text is of it, is the one with the best F1 on
 the out-of-fold predictions, in the middle of its gap.
 
 Only fitting is bounded: it takes the ``sample`` labelled rows of the smallest hash, equal
-texts once. All documents are scored, on whole texts.
+texts once; the driver keeps the numbers of their words, and one text at a time. All documents
+are scored, on whole texts.
 
 Defined results: null and empty texts have no words and get the intercepts' probabilities;
 labels that are null or whose document is missing are ignored, and of several labels of a
@@ -28,8 +31,8 @@ columns pass through, and those named like a result column are replaced.
 from __future__ import annotations
 
 import re
-from collections import Counter
-from heapq import nsmallest
+from collections.abc import Iterable, Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -39,9 +42,10 @@ from pyspark.sql import types as T
 
 from .common import add_columns, discard, materialise
 
-SAMPLE, VOCABULARY, FOLDS, ROUNDS = 6000, 30_000, 3, 400
-#: Weights of the absolute and the squared penalty on words.
-PENALTY, RIDGE = 5e-5, 1e-4
+#: ``SAMPLE``: labelled rows that fitting takes at most.
+SAMPLE, FOLDS, ROUNDS, PASSES = 6000, 3, 300, 12
+#: Standard deviations that a word must explain; texts added to its count; weight of the squared penalty.
+NOISE, SMOOTH, RIDGE = 3.0, 3.0, 1e-4
 FORM, STEM = 4, 4
 _find = re.compile(r"\w+").findall
 
@@ -97,44 +101,58 @@ def _sigmoid(z):
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit_linear(x: Sparse, y: np.ndarray, rounds: int = ROUNDS, penalty: float = PENALTY) -> tuple[np.ndarray, np.ndarray, float]:
-    """Weights of words and figures, and the intercept, of a logistic regression with an L1 penalty on words."""
-    words, dense = np.zeros(x.width), np.zeros(x.dense.shape[1])
-    share = float(y.mean()) if x.n else 0.0
-    if not 0 < share < 1:
-        return words, dense, 30.0 if share >= 1 else -30.0
-    # only words that tell the classes apart at all: at most 1000, by their z score
-    df = np.bincount(x.at, minlength=x.width)
-    yes = np.bincount(x.at, y[x.row], x.width)
-    spread = np.sqrt(np.maximum(df, 1) * share * (1 - share))
-    z = np.abs(yes - df * share) / spread
-    good = np.zeros(x.width, bool)
-    good[np.argsort(-z, kind="stable")[:1000]] = True
-    good &= (z > 3) & (df >= 3)
-    number = np.cumsum(good) - 1
-    inside = good[x.at]
-    small = Sparse([], x.dense, int(good.sum()))
-    small.at, small.row, small.n = number[x.at[inside]], x.row[inside], x.n
-    w, d, b = np.zeros(small.width), dense.copy(), float(np.log(share / (1 - share)))
+def _minimise(x: Sparse, y: np.ndarray, toll: np.ndarray, start: tuple, rounds: int) -> tuple[np.ndarray, np.ndarray, float]:
+    """Weights of words and figures, and the intercept, from ``start``, by accelerated proximal gradient."""
     # the step is one over the greatest curvature, found by power iteration
-    pw, pd, pb = np.ones(small.width), np.ones(len(d)), 1.0
+    pw, pd, pb = np.ones(x.width), np.ones(x.dense.shape[1]), 1.0
+    norm = 1.0
     for _ in range(30):
-        pw, pd, pb = small.gradient(small.dot(pw, pd, pb))
+        pw, pd, pb = x.gradient(x.dot(pw, pd, pb))
         norm = float(np.sqrt((pw**2).sum() + (pd**2).sum() + pb**2))
         pw, pd, pb = pw / norm, pd / norm, pb / norm
-    step = 3.5 * small.n / norm
-    old, ahead, t = (w, d, b), (w, d, b), 1.0
+    step = 3.5 * x.n / norm
+    old, ahead, t = start, start, 1.0
     for _ in range(rounds):
-        gw, gd, gb = small.gradient((_sigmoid(small.dot(*ahead)) - y) / small.n)
+        gw, gd, gb = x.gradient((_sigmoid(x.dot(*ahead)) - y) / x.n)
         nw = ahead[0] - step * gw
-        nw = np.sign(nw) * np.maximum(0.0, np.abs(nw) - step * penalty) / (1 + step * RIDGE)
+        nw = np.sign(nw) * np.maximum(0.0, np.abs(nw) - step * toll) / (1 + step * RIDGE)
         nd, nb = ahead[1] - step * (gd + 1e-4 * ahead[1]), ahead[2] - step * gb
         u = (1 + np.sqrt(1 + 4 * t * t)) / 2
         k = (t - 1) / u
         ahead = (nw + k * (nw - old[0]), nd + k * (nd - old[1]), nb + k * (nb - old[2]))
         old, t = (nw, nd, nb), u
-    words[good] = old[0]
-    return words, old[1], float(old[2])
+    return old
+
+
+def tolls(x: Sparse, share: float) -> np.ndarray:
+    """The absolute penalty of each word: NOISE standard deviations of its gradient if it says nothing."""
+    df = np.bincount(x.at, minlength=x.width)
+    return NOISE * np.sqrt((df + SMOOTH) * share * (1 - share)) / x.n
+
+
+def fit_linear(x: Sparse, y: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, float]:
+    """Weights of all words and figures, and the intercept."""
+    words, dense = np.zeros(x.width), np.zeros(x.dense.shape[1])
+    share = float(y.mean()) if x.n else 0.0
+    if not 0 < share < 1:
+        return words, dense, 30.0 if share >= 1 else -30.0
+    toll, bias = tolls(x, share), float(np.log(share / (1 - share)))
+    active = np.zeros(x.width, bool)
+    for _ in range(PASSES):
+        # a word of weight 0 stays there as long as its gradient is within its penalty
+        gradient = x.gradient((_sigmoid(x.dot(words, dense, bias)) - y) / x.n)[0]
+        fresh = ~active & (np.abs(gradient) > toll * (1 + 1e-6))
+        if active.any() and not fresh.any():
+            break
+        active |= fresh
+        number, inside = np.cumsum(active) - 1, active[x.at]
+        small = Sparse([], x.dense, int(active.sum()))
+        small.at, small.row, small.n = number[x.at[inside]], x.row[inside], x.n
+        some, dense, bias = _minimise(small, y, toll[active], (words[active], dense, bias), rounds)
+        words[active] = some
+        if not active.any():
+            break
+    return words, dense, bias
 
 
 def best_cut(p: np.ndarray, y: np.ndarray) -> float:
@@ -177,27 +195,28 @@ class Chain:
         return out
 
 
-def fit_chain(texts: list[str], labels: dict[str, np.ndarray], fold: np.ndarray, vocabulary: int = VOCABULARY) -> Chain:
-    """``labels``: for each category, in order, 0 or 1 of each text, or nan where unknown."""
-    df: Counter[str] = Counter()
-    for t in texts:  # a text's words are never kept
-        df.update(features(set(words_of(t))))
-    common = ((w, n) for w, n in df.items() if n >= 3)
-    known = [w for w, _ in nsmallest(vocabulary, common, key=lambda x: (-x[1], x[0]))]
-    df.clear()
-    number = {w: i for i, w in enumerate(known)}
+def _counted(texts: Iterable[str]) -> tuple[Sparse, list[str]]:
+    """The texts' features and figures, and the features' names."""
+    number: dict[str, int] = {}
     rows, figures = [], []
-    for t in texts:
+    for t in texts:  # a text's words are never kept
         ws = words_of(t)
         distinct = set(ws)
-        rows.append(np.array(sorted(number[w] for w in number.keys() & features(distinct)), np.int32))
+        rows.append(np.array(sorted(number.setdefault(w, len(number)) for w in sorted(features(distinct))), np.int32))
         figures.append(form(t, ws, len(distinct)))
-    dense = np.array(figures).reshape(-1, FORM)
-    x = Sparse(rows, dense, len(known))
+    return Sparse(rows, np.array(figures).reshape(-1, FORM), len(number)), list(number)
+
+
+def fit_chain(texts: Iterable[str], labels: dict[str, np.ndarray], fold: np.ndarray) -> Chain:
+    """``labels``: for each category, in order, 0 or 1 of each text, or nan where unknown."""
+    return _chained(*_counted(texts), labels, fold)
+
+
+def _chained(x: Sparse, known: list[str], labels: dict[str, np.ndarray], fold: np.ndarray) -> Chain:
     links, cuts = [], {}
     for name, y in labels.items():
         have = ~np.isnan(y)
-        out = np.zeros(len(texts))
+        out = np.zeros(x.n)
         for k in range(FOLDS):  # each fold by a model without it
             model = fit_linear(x.take(have & (fold != k)), y[have & (fold != k)])
             out[fold == k] = _sigmoid(x.take(fold == k).dot(*model))
@@ -218,13 +237,24 @@ def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str], ident: s
     rows = docs.select(F.col(ident).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     met = rows.join(F.broadcast(some), "id")
     chosen = materialise(met, "labelled", narrow=True)
-    once = {r["text"]: r for r in chosen.orderBy(F.desc("id")).toLocalIterator()}  # a text's smallest id stays; a partition at a time
+    seen: set[bytes] = set()
+    kept: list[tuple] = []
+
+    def once() -> Iterator[str]:
+        """Each text once, with the labels of its smallest id; a partition at a time."""
+        for r in chosen.orderBy("id").toLocalIterator():
+            code = blake2b(r["text"].encode("utf-8", "surrogatepass"), digest_size=16).digest()
+            if code not in seen:
+                seen.add(code)
+                kept.append((r["id"], *(r[f"y{i}"] for i in range(len(names)))))
+                yield r["text"]
+
+    x, known = _counted(once())
     discard(chosen)
-    rows = [once[t] for t in sorted(once, key=lambda t: once[t]["id"])]
-    y = {n: np.array([np.nan if r[f"y{i}"] is None else r[f"y{i}"] for r in rows], float) for i, n in enumerate(names)}
-    ids = np.array([r["id"] for r in rows], np.int64).view(np.uint64)
+    table = np.array([[np.nan if v is None else v for v in k[1:]] for k in kept], float).reshape(-1, len(names))
+    ids = np.array([k[0] for k in kept], np.int64).view(np.uint64)
     fold = (ids * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)) % np.uint64(FOLDS)
-    return fit_chain([r["text"] for r in rows], y, fold)
+    return _chained(x, known, {n: table[:, i] for i, n in enumerate(names)}, fold)
 
 
 def predict(docs: DataFrame, fitted: Chain, text: str = "text") -> DataFrame:

@@ -57,3 +57,62 @@ def test_on_tables(spark, small):
     assert len(rows) == docs.count() + 1 and all(0 <= r.toxic <= 1 and 0 <= r.low_quality <= 1 for r in rows)
     none = tx.fit(docs, labels.where("false"), TOXIC_CATEGORIES)
     assert tx.predict(docs, none).where("toxic >= 0.5").count() == 0
+
+
+def _dense_fit(x, y, toll, rounds=6000):
+    """Plain proximal gradient on all features at once, without acceleration or a choice of words."""
+    n, width = x.shape
+    word = toll > 0
+    w, b = np.zeros(width), np.log(y.mean() / (1 - y.mean()))
+    step = 3.9 * n / np.linalg.norm(np.hstack((x, np.ones((n, 1)))), 2) ** 2
+    ridge = np.where(word, tx.RIDGE, 1e-4)
+    for _ in range(rounds):
+        err = (1 / (1 + np.exp(-(x @ w + b))) - y) / n
+        gw, b = x.T @ err, b - step * err.sum()
+        w = np.where(word, 0, w - step * (gw + ridge * w)) + np.where(word, np.sign(w - step * gw) * np.maximum(0, np.abs(w - step * gw) - step * toll) / (1 + step * ridge), 0)
+    return w, b
+
+
+def test_all_features_are_fitted(monkeypatch):
+    """The chain equals one that a plain fit of a dense matrix of all features gives."""
+    monkeypatch.setattr(tx, "ROUNDS", 4000)
+    monkeypatch.setattr(tx.fit_linear, "__defaults__", (4000,))
+    texts, low, toxic = _texts(100, 5)
+    texts = [" ".join(t.split()[:12]) for t in texts]
+    labels, fold = {"low": low, "toxic": toxic}, np.arange(100) % tx.FOLDS
+    chain = tx.fit_chain(texts, labels, fold)
+    sparse, names = tx._counted(texts)
+    x = np.zeros((100, sparse.width))
+    x[sparse.row, sparse.at] = 1
+    more = sparse.dense
+    for j, y in enumerate(labels.values()):
+        whole = np.hstack((x, more))
+
+        def fit(keep):
+            share = y[keep].mean()
+            toll = tx.NOISE * np.sqrt((x[keep].sum(axis=0) + tx.SMOOTH) * share * (1 - share)) / keep.sum()
+            return _dense_fit(whole[keep], y[keep], np.concatenate((toll, np.zeros(more.shape[1]))))
+
+        out = np.zeros(100)
+        for k in range(tx.FOLDS):
+            w, b = fit(fold != k)
+            out[fold == k] = 1 / (1 + np.exp(-(whole[fold == k] @ w + b)))
+        w, b = fit(np.ones(100, bool))
+        z = whole @ w + b
+        own = np.array([chain.probabilities(t)[: j + 1] for t in texts])
+        if j == 0:
+            assert np.abs(own[:, 0] - 1 / (1 + np.exp(-z))).max() < 0.01
+        _, words, dense, bias = chain.links[j]
+        mine = np.array([words.get(n, 0.0) for n in names])
+        assert np.abs(mine - w[: len(names)]).max() < 0.05 * max(1, np.abs(w).max())
+        more = np.hstack((more, out[:, None]))
+
+
+def test_odd_texts(spark, small):
+    texts, low, toxic = _texts(300, 7)
+    chain = tx.fit_chain(texts, {"low": low, "toxic": toxic}, np.arange(300) % 3)
+    rows = [(1, "zork " * 300_000), (2, "zork"), (2, "zork"), (None, None), (3, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = tx.predict(docs, chain).collect()
+    assert len(out) == 5 and out[1].toxic == out[2].toxic and all(0 <= r.toxic <= 1 for r in out)
+    assert tx.predict(docs.where("false"), chain).count() == 0

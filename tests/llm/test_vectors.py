@@ -4,10 +4,12 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from millrace.llm import cross_polytope, voronoi_knn
+from millrace.llm import cross_polytope, vectors, voronoi_knn
 from millrace.llm.queries import ORACLE, op6_voronoi_knn, op9_cross_polytope
 from oracle import same
 
@@ -52,6 +54,24 @@ def test_voronoi_is_exact_with_copies_blocks_and_chunks(spark, block, chunk):
     assert got == _brute(rows, 7, 5, 64)
 
 
+def test_bounds_spare_clustered_vectors(spark):
+    r = np.random.default_rng(6)
+    centres = r.normal(size=(24, 16)) * 4
+    x = centres[np.arange(6000) % 24] + r.normal(size=(6000, 16)) * 0.05
+    x *= 8 / np.linalg.norm(x, axis=1)[:, None]
+    rows = [(i, v.tolist(), "") for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    condition = F.col("id") % 20 == 0
+    table, asked = vectors.distinct_vectors(vectors.encoded(vectors.valid(df, "vec_id", "embedding"), condition), 5)
+    data, sought = voronoi_knn.dealt(table, 5, 64, 512, 2048, 500)
+    groups, parts = sought.select("g").distinct().count(), 6000 / 500
+    # without bounds each group gets all data, and each query goes to all parts
+    assert groups > 4 and data.count() < 0.25 * groups * 6000 and sought.count() < 0.5 * parts * asked.count()
+    got = _lists(voronoi_knn.top_k(df, "vec_id", "embedding", condition, k=5, pivots=64, seeds=512, chunk=500))
+    want = _brute(rows, 5, 20)
+    assert {q: [i for i, _ in v] for q, v in got.items()} == {q: [i for i, _ in v] for q, v in want.items()}
+
+
 def test_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0], "a"), (1, None, "a"), (2, [], "a"), (3, [1.0, None], "a"), (4, [nan, 1.0], "a"), (5, [inf, 1.0], "a"), (6, [0.5, 0.5], "a"),
@@ -59,7 +79,7 @@ def test_odd_vectors(spark):
     df = spark.createDataFrame(rows, SCHEMA)
     got = _lists(voronoi_knn.top_k(df, "vec_id", "embedding", F.col("id") == 0, k=20))
     assert got == {0: [(7, 1.0), (8, 1.0), (6, 0.5)]}
-    got = _lists(cross_polytope.search(df, "vec_id", "embedding", F.col("id") == 0, k=20, probes=4))
+    got = _lists(cross_polytope.search(df, "vec_id", "embedding", F.col("id") == 0, k=20))
     assert got == {0: [(7, 1.0), (8, 1.0), (6, 0.5)]}
     for search in (voronoi_knn.top_k, cross_polytope.search):
         assert search(df.where("false"), "vec_id", "embedding", F.col("id") == 0).count() == 0
@@ -67,15 +87,66 @@ def test_odd_vectors(spark):
 
 def test_zero_vectors_are_no_candidates_of_the_approximate_search(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0], ""), (1, [0.0, 0.0], ""), (2, [0.1, 0.1], "")], SCHEMA)
-    assert _lists(cross_polytope.search(df, "vec_id", "embedding", F.col("id") == 0, probes=4)) == {0: [(2, pytest.approx(0.1))]}
+    assert _lists(cross_polytope.search(df, "vec_id", "embedding", F.col("id") == 0)) == {0: [(2, pytest.approx(0.1))]}
 
 
 def test_hadamard_keeps_norms():
     x = np.random.default_rng(1).normal(size=(5, 16))
-    assert np.allclose(np.linalg.norm(cross_polytope.hadamard(x), axis=1), np.linalg.norm(x, axis=1))
+    x = x.T
+    assert np.allclose(np.linalg.norm(cross_polytope.hadamard(x), axis=0), np.linalg.norm(x, axis=0))
     assert np.allclose(cross_polytope.hadamard(cross_polytope.hadamard(x)), x)
 
 
+def test_likeliness_is_the_sum_of_components_on_the_bucket():
+    x = np.random.default_rng(2).normal(size=(40, 12))
+    index, code = cross_polytope.Index(12, 2, 3), cross_polytope.codes(x, 2, 3)
+    u = cross_polytope.units(x)
+    for t in range(2):
+        want = 0
+        for h in range(3):
+            y = cross_polytope.turned(u, t, h)
+            y = np.concatenate((y, -y))
+            want = want + y[code[:, t, h]].T  # of each vector on the axes of each bucket
+            assert (y.argmax(axis=0) == code[:, t, h]).all()
+        assert np.allclose(u.T @ index.middles(code[:, t], t).T, want, atol=1e-5)
+
+
+def _recall(spark, tmp_path, rows, divisor=20):
+    """Recall, and vectors scored a query as a share of all."""
+    ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], np.float32).astype(float)
+    pq.write_table(pa.table({"vec_id": ids, "embedding": list(x)}), f"{tmp_path}/v.parquet")
+    df = spark.read.parquet(f"{tmp_path}/v.parquet")
+    lists, asked = cross_polytope.found(df, "vec_id", "embedding", F.col("id") % divisor == 0, 20)
+    share = lists.agg(F.sum("scored")).first()[0] / asked.count() / len(np.unique(x, axis=0))
+    got = _lists(cross_polytope.ranked(lists.select("key", "id", "score"), asked, 20))
+    hits = 0
+    for i in np.flatnonzero(ids % divisor == 0):
+        score = x @ x[i]
+        score[i] = -np.inf
+        want = set(ids[np.argpartition(-score, 20)[:20]].tolist())
+        hits += len(want & {j for j, _ in got[int(ids[i])]})
+    return hits / 20 / (ids % divisor == 0).sum(), share
+
+
+def test_recall_on_the_tables(spark, tmp_path):
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()]
+    recall, _ = _recall(spark, tmp_path, rows)
+    assert recall >= 0.95
+
+
+def test_few_vectors_are_scored_at_a_larger_size(spark, tmp_path):
+    x = np.random.default_rng(8).normal(size=(50_000, 64))  # the hardest case: no clusters
+    recall, share = _recall(spark, tmp_path, list(enumerate(x / np.linalg.norm(x, axis=1)[:, None])), divisor=100)
+    assert recall >= 0.9 and share < 0.1
+
+
+def test_queries_that_find_too_few_meet_all(spark, monkeypatch):
+    rows = _rows(300, 5, 4)
+    monkeypatch.setattr(cross_polytope, "probed_share", lambda n, s=0: 0.004)
+    got = _lists(cross_polytope.search(spark.createDataFrame(rows, SCHEMA), "vec_id", "embedding", F.col("id") % 10 == 0, k=7))
+    assert all(len(x) == 7 for x in got.values()) and len(got) == 30
+
+
 def test_recall_and_exact_scores(spark, small):
     rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{small}/embeddings.parquet").collect()]
     want, got = _brute(rows, 20, 20), _lists(op9_cross_polytope(spark, small))
