@@ -8,9 +8,10 @@ spread over its own key range, until a boundary lies within ``tolerance`` of the
 the cell holds a single key. Rows then cross the network once, keyed by cell.
 
 Equal groups are adjacent, yet a group larger than a shard is cut between ids, so a hot
-group is spread. Cells, not shards, are what a task sorts: a cell over ``cell_bytes`` is
-refined as well, and slots follow from the cells' exact row counts, so a shard may be far
-larger than a task. Boundaries number a constant times shards plus total / ``cell_bytes``.
+group is spread. Cells, not shards, are what a task sorts: a cell over ``cell_rows`` (fewer for
+wide rows) is refined as well, and slots follow from the cells' exact row counts, so a shard may
+be far larger than a task. Boundaries number a constant times shards plus rows / ``cell_rows``:
+some ten thousand for fifty billion rows, which the driver and each task hold.
 
 Defined results: a null group or id orders before all others; rows equal in group and id
 share a cell and are slotted in any order; shards may be empty if there are fewer keys than
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import discard, materialise, without
 
-PROBES, TOLERANCE, CELL_BYTES = 16, 0.002, 256 << 20
+PROBES, TOLERANCE, CELL_ROWS = 16, 0.002, 1 << 22
 _LOW = -(1 << 63)
 
 
@@ -88,7 +89,7 @@ def _spread(lo: int, hi: int, probes: int) -> list[int]:
 
 
 def splitters(
-    keys: DataFrame, shards: int, tolerance: float = TOLERANCE, cell_bytes: int = CELL_BYTES
+    keys: DataFrame, shards: int, tolerance: float = TOLERANCE, cell_rows: int = CELL_ROWS
 ) -> tuple[list[int], list[int], list[int]]:
     """Cell boundaries, and for each cell its shard and the slot of its first row. ``keys``: a, b, size."""
     edges: list[int] = []
@@ -101,11 +102,11 @@ def splitters(
         below = [0, *accumulate(size)]
         total = below[-1]
         if not edges and cells and shards > 1:
-            edges = _spread(*span[0], max(PROBES * shards, -(-2 * total // cell_bytes)))
+            edges = _spread(*span[0], max(PROBES * shards, -(-2 * rows[0] // cell_rows)))
             if edges:
                 continue
         slack = tolerance * total / shards
-        refine, cut = {c for c in range(m) if size[c] > cell_bytes and span[c][0] < span[c][1]}, []
+        refine, cut = {c for c in range(m) if rows[c] > cell_rows and span[c][0] < span[c][1]}, []
         for k in range(1, shards):
             target = total * k / shards
             cell = min(bisect_right(below, target) - 1, m - 1)
@@ -131,7 +132,7 @@ def shard(
     ident: str,
     size: str,
     tolerance: float = TOLERANCE,
-    cell_bytes: int = CELL_BYTES,
+    cell_rows: int = CELL_ROWS,
 ) -> DataFrame:
     """``df`` with ``shard`` (int) and ``slot`` (long, gapless from 0 in each shard).
 
@@ -142,7 +143,7 @@ def shard(
     keys = materialise(
         base.select(a.alias("a"), b.alias("b"), F.coalesce(F.col(size).cast("long"), F.lit(0)).alias("size")), "shard-keys"
     )
-    edges, shard_of, first = splitters(keys, shards, tolerance, cell_bytes)
+    edges, shard_of, first = splitters(keys, shards, tolerance, cell_rows)
     discard(keys)
     plan = df.sparkSession.sparkContext.broadcast((_edges(edges), np.array(shard_of, np.int32), np.array(first, np.int64)))
 

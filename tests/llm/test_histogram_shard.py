@@ -32,7 +32,7 @@ def test_bytes_are_near_equal_although_a_third_is_one_group(spark):
 def test_small_cells_cut_a_shard_for_the_tasks(spark):
     df = spark.range(5000).select(F.col("id").alias("doc_id"), F.xxhash64("id").alias("h"), F.lit(100).cast("long").alias("size"))
     keys = df.select(F.col("h").alias("a"), F.col("doc_id").alias("b"), "size")
-    edges, shard_of, first = hs.splitters(keys, 2, cell_bytes=5000)
+    edges, shard_of, first = hs.splitters(keys, 2, cell_rows=50)
     assert len(edges) > 90 and sorted(set(shard_of)) == [0, 1] and first[0] == 0
 
 
