@@ -61,30 +61,35 @@ def without_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("w.start").cast("timestamp_ntz").alias("started"), "event_type", "n")
 
 
-class _Profile(StatefulProcessor):
-    """Events so far (value state), the last three (list state) and counts by type (map state) of each user."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.total = handle.getValueState("total", "n long")
-        self.last = handle.getListState("last", "event_id long")
-        self.types = handle.getMapState("types", "event_type string", "n long")
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        n = self.total.get()[0] if self.total.exists() else 0
-        last = [x[0] for x in self.last.get()] if self.last.exists() else []
-        for pdf in rows:
-            n += len(pdf)
-            last = sorted([*last, *pdf["event_id"].tolist()])[-3:]
-            for kind, many in pdf["event_type"].value_counts().items():
-                had = self.types.getValue((kind,))[0] if self.types.containsKey((kind,)) else 0
-                self.types.updateValue((kind,), (had + int(many),))
-        self.total.update((n,))
-        self.last.put([(x,) for x in last])
-        kinds = ",".join(f"{k[0]}={v[0]}" for k, v in sorted(self.types.iterator()))
-        yield pd.DataFrame({"user_id": [key[0]], "n": [n], "last": [",".join(map(str, last))], "types": [kinds]})
-
-    def close(self) -> None:
-        pass
+def _profile() -> StatefulProcessor:
+    """The processor of :func:`profiles`; made in a function, it travels by value and executors need not import this module."""
+
+    class _Profile(StatefulProcessor):
+        """Events so far (value state), the last three (list state) and counts by type (map state) of each user."""
+
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.total = handle.getValueState("total", "n long")
+            self.last = handle.getListState("last", "event_id long")
+            self.types = handle.getMapState("types", "event_type string", "n long")
+
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+            n = self.total.get()[0] if self.total.exists() else 0
+            last = [x[0] for x in self.last.get()] if self.last.exists() else []
+            for pdf in rows:
+                n += len(pdf)
+                last = sorted([*last, *pdf["event_id"].tolist()])[-3:]
+                for kind, many in pdf["event_type"].value_counts().items():
+                    had = self.types.getValue((kind,))[0] if self.types.containsKey((kind,)) else 0
+                    self.types.updateValue((kind,), (had + int(many),))
+            self.total.update((n,))
+            self.last.put([(x,) for x in last])
+            kinds = ",".join(f"{k[0]}={v[0]}" for k, v in sorted(self.types.iterator()))
+            yield pd.DataFrame({"user_id": [key[0]], "n": [n], "last": [",".join(map(str, last))], "types": [kinds]})
+
+        def close(self) -> None:
+            pass
+
+    return _Profile()
 
 
 def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,35 +97,40 @@ def profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     schema = "user_id long, n long, last string, types string"
     with rocksdb(spark):
         rows = events(spark, sf_dir, None).select("user_id", "event_id", "event_type")
-        made = rows.groupBy("user_id").transformWithStateInPandas(_Profile(), schema, "Update", "None")
+        made = rows.groupBy("user_id").transformWithStateInPandas(_profile(), schema, "Update", "None")
         return drained(made, "update").groupBy("user_id").agg(F.max_by(F.struct("n", "last", "types"), "n").alias("x")).select("user_id", "x.*")
 
 
-class _Farewell(StatefulProcessor):
-    """A row for each user an hour of event time after their last event, by a timer; then their state is gone."""
+def _farewell() -> StatefulProcessor:
+    """The processor of :func:`farewells`."""
+
+    class _Farewell(StatefulProcessor):
+        """A row for each user an hour of event time after their last event, by a timer; then their state is gone."""
+
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            self.seen = handle.getValueState("seen", "n long, last long, at long")
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.seen = handle.getValueState("seen", "n long, last long, at long")
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+            n, last, at = self.seen.get() if self.seen.exists() else (0, -1, 0)
+            if at:
+                self.handle.deleteTimer(at)
+            for pdf in rows:
+                n, last = n + len(pdf), max(last, int(pdf["event_id"].max()))
+                at = max(at, int(pdf["ms"].max()) + 3_600_000)
+            self.seen.update((n, last, at))
+            self.handle.registerTimer(at)
+            yield pd.DataFrame({"user_id": pd.Series([], dtype="int64"), "n": pd.Series([], dtype="int64"), "last_event": pd.Series([], dtype="int64")})
 
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        n, last, at = self.seen.get() if self.seen.exists() else (0, -1, 0)
-        if at:
-            self.handle.deleteTimer(at)
-        for pdf in rows:
-            n, last = n + len(pdf), max(last, int(pdf["event_id"].max()))
-            at = max(at, int(pdf["ms"].max()) + 3_600_000)
-        self.seen.update((n, last, at))
-        self.handle.registerTimer(at)
-        yield pd.DataFrame({"user_id": pd.Series([], dtype="int64"), "n": pd.Series([], dtype="int64"), "last_event": pd.Series([], dtype="int64")})
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            n, last, _ = self.seen.get()
+            self.seen.clear()
+            yield pd.DataFrame({"user_id": [key[0]], "n": [n], "last_event": [last]})
 
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        n, last, _ = self.seen.get()
-        self.seen.clear()
-        yield pd.DataFrame({"user_id": [key[0]], "n": [n], "last_event": [last]})
+        def close(self) -> None:
+            pass
 
-    def close(self) -> None:
-        pass
+    return _Farewell()
 
 
 def farewells(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,7 +138,7 @@ def farewells(spark: SparkSession, sf_dir: str) -> DataFrame:
     with rocksdb(spark):
         stream = in_steps(spark, _with_markers(spark, sf_dir, False))
         rows = stream.select("user_id", "event_id", "ts", F.unix_millis("ts").alias("ms"))
-        made = rows.groupBy("user_id").transformWithStateInPandas(_Farewell(), "user_id long, n long, last_event long", "Append", "EventTime")
+        made = rows.groupBy("user_id").transformWithStateInPandas(_farewell(), "user_id long, n long, last_event long", "Append", "EventTime")
         return drained(made, "append").where(F.col("user_id") != MARKER)
 
 
