@@ -65,7 +65,7 @@ GIVEN = (
 FAR_PHONE = r"(?<![0-9A-Za-z+.,/-])(?:\(0[0-9]{1,4}\)|0[0-9]{1,4})(?:[\x20./-][0-9]{2,8}){1,4}(?![0-9A-Za-z-])"
 CUES = "[Nn]ame|[Dd]ear|[Ss]igned|[Ss]incerely|[Nn]ombre|Nom|[Pp]atient|[Cc]ustomer"
 NAME = (
-    rf"(?<![\p{{L}}\p{{N}}])(?:(?:(?:{TITLES})\.?|(?:{'|'.join(GIVEN)}))\x20\p{{Lu}}\p{{Ll}}+(?:\x20\p{{Lu}}\p{{Ll}}+)?"
+    rf"(?<![\p{{L}}\p{{N}}])(?=\p{{Lu}})(?:(?:(?:{TITLES})\.?|(?:{'|'.join(GIVEN)}))\x20\p{{Lu}}\p{{Ll}}+(?:\x20\p{{Lu}}\p{{Ll}}+)?"
     rf"|(?<=(?:{CUES})[:,]?\x20)\p{{Lu}}\p{{Ll}}+\x20\p{{Lu}}\p{{Ll}}+)"
 )
 _RUN = r"[A-Za-z0-9_+/-]"
