@@ -21,7 +21,8 @@
    are compared with all by the length filter and the suffix filter: shingles are counted in
    several times as many partitions by hash as there are shingles, and those whose count is odd
    in one set and even in the other are no more than the symmetric difference. First each
-   such node's best candidate is verified, then, with the components that makes, all that is left.
+   such node's likeliest partners, of different components, are verified, in rounds as long as
+   many components are united; then, with the components that makes, all pairs that are left.
 6. *Verification.* Each distinct pair is verified once, on whole sets. Sets are computed anew
    from the texts of the nodes in question (found by a bitmap of bounded size) rather than
    kept for all documents: that trades CPU for disk.
@@ -57,6 +58,8 @@ SKETCH_BITS, SEGMENTS, BLOCK, SMALL = 20, 64, 4096, 8
 BITMAP_BITS = 20, 26
 #: A shingle of more than this share of all documents is dealt out.
 HOT = 1e-4
+#: Partners of a node that are tried first, and the share of nodes that such a round must link for another.
+LIKELY, MERGED = 4, 0.02
 #: The fewest partitions of the suffix filter, and how many a shingle at most.
 PARTITIONS, FINE = 256, 8
 #: Bytes of rows worked on together.
@@ -447,10 +450,11 @@ class _Signatures:
         return out
 
 
-def _across(groups: DataFrame, labels: DataFrame, sets: DataFrame, t: Threshold, best: bool) -> DataFrame:
+def _across(groups: DataFrame, labels: DataFrame, sets: DataFrame, t: Threshold, likely: int) -> DataFrame:
     """Pairs (a, b), distinct, across the components of a group that pass the length and the suffix filter.
 
-    ``best``: for each node that isn't of the group's own component only the likeliest. Nodes are in host
+    ``likely``: for each node that isn't of the group's own component only its likeliest partners, each of
+    another component, at most so many in a pair of blocks; 0: all pairs. Nodes are in host
     blocks, those of other components in guest blocks too; each guest block meets each host block.
     """
     labelled = groups.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -496,10 +500,10 @@ def _across(groups: DataFrame, labels: DataFrame, sets: DataFrame, t: Threshold,
                     if not len(b):
                         continue
                     spare = s[a] + s[b] - 2 * t.overlap(s[a], s[b]) - v.differ(a, b)
-                    ok = spare >= 0
-                    if best and ok.any():
-                        ok = np.arange(len(b)) == spare.argmax()
-                    b = b[ok]
+                    b, spare = b[spare >= 0], spare[spare >= 0]
+                    if likely and len(b) > 1:
+                        b = b[np.argsort(-spare, kind="stable")]
+                        b = b[np.sort(np.unique(tags[b], return_index=True)[1])[:likely]]
                     if len(b):
                         found.append(np.stack((np.minimum(names[a], names[b]), np.maximum(names[a], names[b]))))
             if found:
@@ -597,16 +601,23 @@ def _labels(source: DataFrame, n: int, t: Threshold, order) -> DataFrame:
     discard(mixed)
     signatures = materialise(_fetched(source, n, groups.select("node").distinct(), _signature), "signatures")
     done = pairs.unionByName(few)
-    for best in (True, False):
-        found = _across(groups, labels, signatures, t, best).join(done, ["a", "b"], "left_anti")
+    # the likeliest pairs first, as long as they unite many components; then all that are left
+    many, likely, asked = signatures.count(), LIKELY, few
+    while True:
+        found = _across(groups, labels, signatures, t, likely)
         new = materialise(found, "pairs", narrow=True)
+        new = materialise(new.join(done, ["a", "b"], "left_anti"), "pairs", narrow=True)
         done = done.unionByName(new)
-        asked = new.unionByName(few) if best else new
+        asked = asked.unionByName(new) if asked else new
         fresh = links.limit(0) if asked.isEmpty() else _verified(asked, source, n, t)
-        if not fresh.isEmpty():
+        number = fresh.count()
+        if number:
             links = links.unionByName(fresh)
             discard(labels)
             labels = components(links)
+        if not likely:
+            break
+        asked, likely = None, likely if number > MERGED * many else 0
     discard(groups, signatures)
     return labels
 

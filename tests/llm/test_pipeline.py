@@ -8,6 +8,7 @@ import duckdb
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 
 from millrace.llm import bpe, toxicity
 from millrace.llm.queries import ORACLE, TOXIC_CATEGORIES
@@ -49,14 +50,15 @@ def test_personal_data_is_replaced(outputs):
     before, after = _rows(outputs[2]), {r[0]: r for r in _rows(outputs[3])}
     assert len(after) == len(before)
     for doc, text, lang, source, _ in before:
-        spans = sorted((a, b, k) for k, a, b in _base(text))
+        secrets = [("secret", m.start(1), m.end(1)) for m in re.finditer(r'(?i)token = "([0-9a-f]{40})"', text)]
+        spans = sorted((a, b, k) for k, a, b in [*_base(text), *secrets])
         out, at = [], 0
         for a, b, k in spans:
             if a >= at:
                 out += [text[at:a], f"[{k.upper()}]"]
             at = max(at, b)
         out = "".join(out) + text[at:]
-        # names and local numbers, which are found beyond the base kinds, don't occur in these tables
+        # of the spans beyond the base kinds, only secrets occur in these tables
         assert after[doc] == (doc, out, lang, source, len(out))
 
 
@@ -83,3 +85,17 @@ def test_odd_rows(spark, small):
         for _, stage in cp.STAGES:
             rows = cp.materialise(stage(spark, rows, small), "odd")
         rows.count()
+
+
+def test_further_columns_pass_and_settings_stay(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").limit(60)
+    names = ["toxic", "low_quality", "target", "taken", "copies", "source_size", "candidates", "spans", "n_ip", "__size", "words", "rest", "row", "a.b"]
+    rows = docs.select("*", *[F.concat(F.lit(f"{n}-"), F.col("doc_id")).alias(n) for n in names]).withColumn("ids", F.lit(1))
+    before = {k: spark.conf.get(k) for k in cp.BATCH_ROWS}
+    for _, stage in cp.STAGES:
+        columns = rows.columns
+        rows = cp.materialise(stage(spark, rows, small), "clash")
+        assert sorted(rows.columns) == sorted(columns)
+    assert {k: spark.conf.get(k) for k in cp.BATCH_ROWS} == before
+    found = rows.collect()
+    assert found and all(r[n] == f"{n}-{r.doc_id}" for r in found for n in names) and all(isinstance(r.ids, list) for r in found)
