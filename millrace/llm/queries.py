@@ -1,12 +1,14 @@
-"""The ten queries of this subpackage and, where SQL can express one, its DuckDB text."""
+"""The queries of this subpackage and, where SQL can express one, its DuckDB text."""
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, cross_polytope, histogram_shard, ngram_join, pareto_mix, pii, token_count, toxicity, voronoi_knn, warc
+from . import bpe, cross_polytope, histogram_shard, merkle, ngram_join, pareto_mix, pii, token_count, toxicity, voronoi_knn, warc
 
 WORDS = r"[^\x20\x09-\x0D]+"
 BPE_RANKS, BPE_JSON = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
@@ -97,6 +99,14 @@ def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.similar(_table(spark, sf_dir, "documents", "doc_id", "text"), num=90, den=100, n=3)
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    docs = _table(spark, sf_dir, "documents", *columns)
+    fifth = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
+    lowered = F.translate("text", ascii_uppercase, ascii_lowercase)
+    return merkle.manifest(docs, columns, "source", "doc_id", (fifth, {"text": lowered}))
+
+
 QUERIES = {
     "op1_histogram_sort": op1_histogram_sort,
     "op2_pii_spans": op2_pii_spans,
@@ -108,6 +118,7 @@ QUERIES = {
     "op8_byte_bpe": op8_byte_bpe,
     "op9_cross_polytope": op9_cross_polytope,
     "op10_ngram_jaccard": op10_ngram_jaccard,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
 ORACLE: dict[str, str] = {
@@ -179,4 +190,57 @@ ORACLE: dict[str, str] = {
         SELECT n.doc_id, n.n AS n_shingles, min(r.root) AS component_id
         FROM n JOIN r ON r.doc_id = n.doc_id GROUP BY ALL
     """,
+    # nodes of all trees level by level; then each leaf's siblings; then tampered leaves folded level by level
+    "op11_merkle_manifest": r"""
+        WITH RECURSIVE d AS (
+          SELECT *, CAST(doc_id AS VARCHAR) AS i, CAST(n_chars AS VARCHAR) AS c,
+            translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM documents),
+        h AS (
+          SELECT *, coalesce(strlen(i) || ':' || i, '-') || coalesce(strlen(source) || ':' || source, '-')
+            || coalesce(strlen(lang) || ':' || lang, '-') || coalesce(strlen(c) || ':' || c, '-') AS head,
+            -- CRC-32 bit by bit: a byte is mixed in, then eight steps
+            xor(list_reduce([CAST(4294967295 AS BIGINT)] || flatten(list_transform(string_split(i, ''),
+              lambda x: [CAST(ord(x) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1])),
+              lambda r, x: CASE WHEN x >= 0 THEN xor(r, x) WHEN r & 1 = 1 THEN xor(r >> 1, 3988292384) ELSE r >> 1 END), 4294967295) AS crc
+          FROM d),
+        l AS (
+          SELECT doc_id, coalesce('s' || source, 'n') AS tree, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+            CASE WHEN crc % 5 = 0 THEN sha256(head || coalesce(strlen(low) || ':' || low, '-')) END AS seen
+          FROM h),
+        p AS (
+          SELECT *, row_number() OVER (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY tree) AS n
+          FROM l),
+        t AS (
+          SELECT tree, 0 AS lvl, pos, n, leaf AS d FROM p
+          UNION ALL
+          SELECT tree, any_value(lvl) + 1, pos // 16, (any_value(n) + 15) // 16, sha256(string_agg(d, '' ORDER BY pos))
+          FROM t WHERE n > 1 GROUP BY tree, pos // 16),
+        s AS (SELECT tree, lvl AS height, d AS subroot, row_number() OVER (ORDER BY tree) - 1 AS pos, count(*) OVER () AS n FROM t WHERE n = 1),
+        u AS (
+          SELECT 0 AS lvl, pos, n, subroot AS d FROM s
+          UNION ALL
+          SELECT any_value(lvl) + 1, pos // 16, (any_value(n) + 15) // 16, sha256(string_agg(d, '' ORDER BY pos)) FROM u WHERE n > 1 GROUP BY pos // 16),
+        r AS (SELECT d AS root, lvl AS top FROM u WHERE n = 1),
+        -- the runs that each leaf's way up passes, own digests left out or not
+        w AS (
+          SELECT p.tree, p.pos AS leaf_pos, t.lvl AS step, t.pos, t.d, t.pos = p.pos // (16 ** t.lvl)::BIGINT AS own
+          FROM p JOIN s USING (tree) JOIN t ON t.tree = p.tree AND t.lvl < s.height AND t.pos // 16 = p.pos // (16 ** (t.lvl + 1))::BIGINT
+          UNION ALL
+          SELECT p.tree, p.pos, s.height + u.lvl, u.pos, u.d, u.pos = s.pos // (16 ** u.lvl)::BIGINT
+          FROM p JOIN s USING (tree) CROSS JOIN r JOIN u ON u.lvl < r.top AND u.pos // 16 = s.pos // (16 ** (u.lvl + 1))::BIGINT),
+        runs AS (
+          SELECT tree, leaf_pos, step, coalesce(string_agg(d, '' ORDER BY pos) FILTER (WHERE NOT own), '') AS others,
+            coalesce(string_agg(d, '' ORDER BY pos) FILTER (WHERE pos < own_pos), '') AS before, coalesce(string_agg(d, '' ORDER BY pos) FILTER (WHERE pos > own_pos), '') AS after
+          FROM (SELECT *, max(CASE WHEN own THEN pos END) OVER (PARTITION BY tree, leaf_pos, step) AS own_pos FROM w) GROUP BY ALL),
+        proofs AS (SELECT tree, leaf_pos, string_agg(others, '' ORDER BY step) AS proof FROM runs GROUP BY ALL),
+        f AS (
+          SELECT tree, pos, 0 AS step, coalesce(seen, leaf) AS d FROM p
+          UNION ALL
+          SELECT f.tree, f.pos, f.step + 1, sha256(runs.before || f.d || runs.after)
+          FROM f JOIN runs ON runs.tree = f.tree AND runs.leaf_pos = f.pos AND runs.step = f.step),
+        folded AS (SELECT tree, pos, arg_max(d, step) AS folded_root FROM f GROUP BY ALL)
+        SELECT doc_id, leaf, subroot, root, sha256(coalesce(proof, '')) AS proof_sha256, folded_root, folded_root = root AS verified
+        FROM p JOIN s USING (tree) CROSS JOIN r JOIN folded ON folded.tree = p.tree AND folded.pos = p.pos
+        LEFT JOIN proofs ON proofs.tree = p.tree AND proofs.leaf_pos = p.pos
+    """,
 }
