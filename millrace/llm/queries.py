@@ -8,10 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, cross_polytope, histogram_shard, merkle, ngram_join, pareto_mix, pii, token_count, toxicity, voronoi_knn, warc
+from . import bpe, cross_polytope, histogram_shard, merkle, ngram_join, packing, pareto_mix, pii, token_count, toxicity, voronoi_knn, warc
 
 WORDS = r"[^\x20\x09-\x0D]+"
-BPE_RANKS, BPE_JSON = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json"
+BPE_RANKS, BPE_JSON, WORD_JSON, PIECES = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"
 
 #: The chain's categories in order, from the columns of ``labels``.
 TOXIC_CATEGORIES = {"low_quality": "1 - quality", "toxic": "toxic"}
@@ -107,6 +107,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.manifest(docs, columns, "source", "doc_id", (fifth, {"text": lowered}))
 
 
+def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path(WORD_JSON))
+
+
 QUERIES = {
     "op1_histogram_sort": op1_histogram_sort,
     "op2_pii_spans": op2_pii_spans,
@@ -119,6 +123,7 @@ QUERIES = {
     "op9_cross_polytope": op9_cross_polytope,
     "op10_ngram_jaccard": op10_ngram_jaccard,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_packing": op12_packing,
 }
 
 ORACLE: dict[str, str] = {
