@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, cross_polytope, histogram_shard, merkle, ngram_join, packing, pareto_mix, pii, token_count, toxicity, voronoi_knn, warc
+from . import alignment, bpe, cross_polytope, histogram_shard, merkle, ngram_join, packing, pareto_mix, pii, token_count, toxicity, voronoi_knn, warc
 
 WORDS = r"[^\x20\x09-\x0D]+"
 BPE_RANKS, BPE_JSON, WORD_JSON, PIECES = "byte_bpe_50k.tiktoken", "byte_bpe_50k.json", "word_bpe_49k.json", "piece_bpe_32k.model"
@@ -111,6 +111,12 @@ def op12_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path(WORD_JSON))
 
 
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents", "doc_id", "text")
+    out = alignment.align(docs, public_tokenizers.path(BPE_JSON), public_tokenizers.path(PIECES))
+    return out.select("doc_id", *alignment.COUNTS, "groups_sha256")
+
+
 QUERIES = {
     "op1_histogram_sort": op1_histogram_sort,
     "op2_pii_spans": op2_pii_spans,
@@ -124,6 +130,7 @@ QUERIES = {
     "op10_ngram_jaccard": op10_ngram_jaccard,
     "op11_merkle_manifest": op11_merkle_manifest,
     "op12_packing": op12_packing,
+    "op13_alignment": op13_alignment,
 }
 
 ORACLE: dict[str, str] = {
