@@ -2,26 +2,24 @@
 
 A vector is made unit, padded to a power of two and turned by three rounds of random signs
 and a fast Hadamard transform, a rotation for all practical purposes; its hash is the axis it
-is nearest to, with sign: one of 2 * d. A table joins ``HASHES`` such hashes, each with signs of
-its own, into one bucket. The likeliness of a bucket for a query is the sum of the query's
-components on the bucket's axes, so probing buckets in order of that sum is taking those above
-a bar.
-
-Vectors are filed once in each of ``tables`` tables. A table's first two hashes are its cells;
-cells in order make parts of about ``chunk`` vectors (a cell of more is cut by key, so none is
-capped). A query visits the parts of its likeliest cells, those that hold ``VISIT`` times the
-probed share by exact counts of all cells. There it takes the vectors whose buckets are above
-its bar, the quantile of a bounded sample of the vectors' buckets. Those candidates alone are
-scored exactly, on the original vectors.
-
-The probed share of a table is ``share`` at 50,000 vectors and falls with the root of their
-number, so a query's candidates grow with the root of the table; it stops falling where the
-sample (at most ``SAMPLE`` vectors) could no longer tell the quantile. At 50,000 vectors 9 % or
-less of all are scored a query. Should a query find fewer than k (possible in theory, as bars
-are estimates), it is compared with all vectors.
+is nearest to, with sign: one of 2 * d. A table joins some such hashes, each with signs of its
+own, into a bucket, as many hashes as keep buckets from outnumbering the vectors by far. The
+likeliness of a bucket for a query is the sum of the query's components on the bucket's axes.
+
+Each vector is filed by id in one bucket of each of ``tables`` tables. A query probes its
+likeliest buckets of each table, which are enumerated from its axes in order of size without
+looking at any vector, and meets what is filed there by a join on (table, bucket). Only then
+are vectors fetched: pairs of ids are grouped by block of queries and block of vectors, and
+each pair is scored once, exactly, on the original vectors. Hot buckets are pieces of that join,
+which adaptive execution splits.
+
+Of each table a query probes ``probed_share`` / ``tables`` of all buckets, so about the
+probed share of all vectors is scored: below 10 % at 50,000 vectors, and less the more there are.
+Should a query meet fewer than k, it is compared with all vectors; as all queries are where
+vectors are so few that the share reaches 1.
 
 Recall of the 20 best by inner product is held above 0.9 in tests, on the synthetic embeddings and on
-uniformly random directions, the hardest case. Nothing is fitted but the bars.
+uniformly random directions, the hardest case. Nothing is fitted.
 
 See :mod:`vectors` for which vectors take part; zero vectors don't either. The order is by
 inner product, so norms matter: of what is found, longer vectors rank first, while buckets
@@ -34,18 +32,16 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialise
-from .vectors import distinct_vectors, encoded, matrix, ranked, valid
+from .vectors import best, distinct_vectors, encoded, matrix, ranked, valid
 
-TABLES, HASHES, SHARE, VISIT, CHUNK, SEED = 2, 8, 0.045, 5.0, 16_384, 20240
-SAMPLE, IN_SAMPLE, QUERY_BLOCK = 65_536, 64, 32_768
-#: The most cells of a table; with more axes its cells are those of the first hash alone.
-CELLS = 1 << 16
+TABLES, SEED = 48, 20240
+#: Vectors and queries of a block in which pairs are scored, and pairs scored at a time.
+BLOCK, QUERY_BLOCK, PAIRS = 2048, 4096, 1 << 16
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -87,242 +83,170 @@ def axes(u: np.ndarray, table: int, number: int) -> np.ndarray:
     return at + len(y) * (y[at, np.arange(y.shape[1])] < 0)
 
 
-def codes(x: np.ndarray, tables: int, hashes: int) -> np.ndarray:
-    """Axes of all hashes of all tables: rows, tables, hashes."""
-    u = units(x)
-    return np.stack([np.stack([axes(u, t, h) for h in range(hashes)], axis=1) for t in range(tables)], axis=1).astype("<u2")
-
-
-class Index:
-    """What queries need to know of a table of vectors; its size doesn't grow with their number."""
-
-    def __init__(self, dimension: int, tables: int, hashes: int) -> None:
-        self.dimension, self.tables, self.hashes = dimension, tables, hashes
-        d = width(dimension)
-        self.square = 4 * d * d <= CELLS and hashes > 1
-        # the signed axes of each hash before it was turned: likeliness is an inner product with their sum
-        eye = np.eye(d, dtype=np.float32)
-        self.back = np.empty((tables, hashes, 2 * d, d), np.float32)
-        for t in range(tables):
-            for h in range(hashes):
-                rows = turned(eye, t, h)  # column i is the image of axis i, so row j holds what axis j takes from each
-                self.back[t, h] = np.concatenate((rows, -rows))
-
-    def cells(self, code: np.ndarray) -> np.ndarray:
-        first = code[..., 0].astype(np.int64)
-        return first * self.back.shape[2] + code[..., 1] if self.square else first
-
-    def middles(self, code: np.ndarray, table: int) -> np.ndarray:
-        out = self.back[table, 0][code[:, 0]]
-        for h in range(1, self.hashes):
-            out = out + self.back[table, h][code[:, h]]
-        return out
-
-    def plan(self, counts: np.ndarray, chunk: int) -> None:
-        """Parts from exact counts: tables, cells. Each cell has ``many`` parts from ``first`` on."""
-        self.counts = counts
-        self.many = np.maximum(1, -(-counts // chunk))
-        self.first = np.zeros_like(counts)
-        for t in range(self.tables):
-            at = room = 0
-            for c in np.flatnonzero(counts[t]).tolist():
-                n, many = int(counts[t, c]), int(self.many[t, c])
-                if room and (many > 1 or room + n > chunk):
-                    at, room = at + 1, 0
-                self.first[t, c] = at
-                if many > 1:
-                    at, room = at + many, 0
-                else:
-                    room += n
-
-    def parts(self, unit: np.ndarray, table: int, share: float) -> list[np.ndarray]:
-        """The parts of each query's likeliest cells, which hold this share of all vectors."""
-        counts = self.counts[table]
-        have = np.flatnonzero(counts)
-        first, many, weight = self.first[table, have], self.many[table, have], counts[have]
-        if share >= 1:
-            every = np.unique(np.concatenate([np.arange(a, a + m) for a, m in zip(first.tolist(), many.tolist(), strict=True)]))
-            return [every] * len(unit)
-        out = []
-        per = self.back.shape[2]
-        near = [unit @ self.back[table, h].T for h in range(2 if self.square else 1)]
-        for i in range(len(unit)):
-            like = near[0][i][have // per] + near[1][i][have % per] if self.square else near[0][i][have]
-            low, high = float(like.min()), float(like.max())
-            level = ((like - low) * (1023 / max(high - low, 1e-9))).astype(np.int64)
-            held = np.bincount(level, weight, 1024)[::-1].cumsum()[::-1]
-            bar = max(0, int((held >= share * weight.sum()).sum()) - 1)  # the highest level from which on enough is held
-            some = level >= bar
-            wide = some & (many > 1)
-            at = [np.unique(first[some])]
-            at += [np.arange(a + 1, a + m) for a, m in zip(first[wide].tolist(), many[wide].tolist(), strict=True)]
-            out.append(np.concatenate(at))
-        return out
-
-
-def probed_share(vectors: int, share: float = SHARE) -> float:
-    """The share of a table's vectors that a query takes from it."""
-    return min(1.0, max(share * (50_000 / max(vectors, 1)) ** 0.5, IN_SAMPLE / SAMPLE))
-
-
-def _best(keys: list, queries: np.ndarray, like: np.ndarray, bars: np.ndarray, vecs: np.ndarray, ids: list, k: int) -> tuple[list, list, list, int]:
-    """For each query the k best (key, id, score) of the rows above its bar, and how many rows those were."""
-    out: tuple[list, list, list] = ([], [], [])
-    scored = 0
-    for i, key in enumerate(keys):
-        c = np.flatnonzero(like[i] >= bars[i])
-        scored += len(c)
-        if not len(c):
-            continue
-        exact = (vecs[c] * queries[i]).sum(axis=1)
-        if len(c) > k:  # each row has an id at least, so the k best rows hold the k best ids
-            kth = np.partition(exact, -k)[-k]
-            c, exact = c[exact >= kth], exact[exact >= kth]
-        at = np.concatenate([ids[x] for x in c.tolist()])
-        each = np.repeat(exact, [len(ids[x]) for x in c.tolist()])
+def hashes(dimension: int, vectors: int) -> int:
+    """Hashes of a bucket: as many as give no more than four buckets a vector, or 2 ** 15 buckets."""
+    n, axes = 1, 2 * width(dimension)
+    while axes ** (n + 1) <= max(4 * vectors, 1 << 15):
+        n += 1
+    return n
+
+
+def probed_share(vectors: int) -> float:
+    """The share of buckets probed in all tables together; it falls with the number of vectors."""
+    x = 50_000 / max(vectors, 1)
+    return min(1.0, 0.066 * x ** (0.52 if x > 1 else 0.3))
+
+
+def buckets(u: np.ndarray, table: int, number: int) -> np.ndarray:
+    """The bucket of each column in a table that joins this many hashes."""
+    out = np.zeros(u.shape[1], np.int64)
+    for h in range(number):
+        out = out * 2 * len(u) + axes(u, table, h)
+    return out
+
+
+def places(number: int, axes: int, most: int) -> np.ndarray:
+    """Which axes, by their order for a query, the ``most`` likeliest buckets can have: hashes, buckets.
+
+    A bucket of the i-th, j-th, .. largest components has i * j * .. buckets at least as likely as itself.
+    """
+    out = [((), 1)]
+    for _ in range(number):
+        out = [((*t, i), p * (i + 1)) for t, p in out for i in range(min(axes, most // p))]
+    return np.array([t for t, _ in out], np.int64).T
+
+
+def probes(u: np.ndarray, table: int, number: int, at: np.ndarray, most: int) -> np.ndarray:
+    """The likeliest buckets of each column; ``at``: their :func:`places`."""
+    like, own = 0, 0
+    for h in range(number):
+        y = turned(u, table, h)
+        y = np.concatenate((y, -y)).T
+        order = np.argsort(-y, axis=1)
+        like = like + np.take_along_axis(y, order, 1)[:, at[h]]
+        own = own * y.shape[1] + order[:, at[h]]
+    if own.shape[1] <= most:
+        return own
+    return np.take_along_axis(own, np.argpartition(-like, most - 1, axis=1)[:, :most], 1)
+
+
+def _lists(queries: np.ndarray, keys: np.ndarray, vecs: np.ndarray, ids: list, q: np.ndarray, x: np.ndarray, k: int) -> tuple:
+    """The k best (key, id, score) of each query among its pairs (q, x), each scored once, and how many they were."""
+    pairs = np.unique(q.astype(np.int64) << 32 | x)
+    q, x = pairs >> 32, pairs & 0xFFFFFFFF
+    score = np.concatenate([(vecs[x[i : i + PAIRS]] * queries[q[i : i + PAIRS]]).sum(axis=1) for i in range(0, len(x), PAIRS)])
+    first = np.flatnonzero(np.diff(q, prepend=-1))
+    out: tuple[list, list, list, list] = ([], [], [], [])
+    for a, b in zip(first.tolist(), [*first[1:].tolist(), len(q)], strict=True):
+        c, s = x[a:b], score[a:b]
+        if len(c) > k:  # each vector has an id at least, so the k best vectors hold the k best ids
+            kth = np.partition(s, -k)[-k]
+            c, s = c[s >= kth], s[s >= kth]
+        at = np.concatenate([ids[i] for i in c.tolist()])
+        each = np.repeat(s, [len(ids[i]) for i in c.tolist()])
         order = np.lexsort((at, -each))[:k]
-        out[0].extend([key] * len(order))
-        out[1].extend(at[order].tolist())
-        out[2].extend(each[order].tolist())
-    return *out, scored
+        for column, made in zip(out, ([int(keys[q[a]])] * len(order), at[order].tolist(), each[order].tolist(), [b - a] + [0] * (len(order) - 1)), strict=True):
+            column.extend(made)
+    return out
+
+
+LISTS = "key long, id long, score double, scored long"
 
 
-def candidates(
-    table: DataFrame, index: Index, sample: np.ndarray, vectors: int, sought: DataFrame, asked: int, k: int, share: float
-) -> DataFrame:
+def scored(table: DataFrame, sought: DataFrame, pairs: DataFrame | None, vectors: int, asked: int, k: int) -> DataFrame:
     """(key, id, score, scored): partial lists of each query; in a list's first row how many vectors it scored, else 0.
 
-    ``table``: key, vec, ids, code; ``sought``: key, vec. With a share of 1 all vectors are scored.
+    ``table``: key, vec, ids; ``sought``: key, vec; ``pairs``: q, x of keys, repeats allowed. None: all pairs.
     """
-    sc = table.sparkSession.sparkContext
-    tables = index.tables if share < 1 else 1
-    shared = sc.broadcast((index, sample))
-    blocks = max(1, -(-int(asked * min(1.0, VISIT * share)) // QUERY_BLOCK))
+    many, parts = max(1, -(-vectors // BLOCK)), max(1, -(-asked // QUERY_BLOCK))
+
+    def placed(c: Column, n: int) -> Column:
+        return F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+
+    def every(n: int) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+
+    data = table.select(placed(F.col("key"), many).alias("xb"), every(parts).alias("qb"), F.lit(False).alias("asks"), "key", "vec", "ids")
+    mine = sought.select(every(many).alias("xb"), placed(F.col("key"), parts).alias("qb"), F.lit(True).alias("asks"), "key", "vec", F.lit(None).cast("array<long>").alias("ids"))
+    sides = data.unionByName(mine)
+
+    def solve(t: pa.Table, met: pa.Table | None) -> pa.Table:
+        out: tuple = ([], [], [], [])
+        if t.num_rows and (met is None or met.num_rows):
+            t = t.sort_by("key")
+            asks = t["asks"].to_numpy()
+            q, x = t.filter(pa.array(asks)), t.filter(pa.array(~asks))
+            if q.num_rows and x.num_rows:
+                keys, ids = q["key"].to_numpy(), x["ids"].to_pylist()
+                queries, vecs = matrix(q["vec"]), matrix(x["vec"])
+                if met is None:
+                    made = best(keys.tolist(), queries, vecs, ids, k, 1e-9)
+                    out = (*made, [0] * len(made[0]))
+                else:
+                    at_q, at_x = np.searchsorted(keys, met["q"].to_numpy()), np.searchsorted(x["key"].to_numpy(), met["x"].to_numpy())
+                    out = _lists(queries, keys, vecs, [np.array(i, np.int64) for i in ids], at_q, at_x, k)
+        kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64())
+        return pa.table([pa.array(c, kind) for c, kind in zip(out, kinds, strict=True)], names=["key", "id", "score", "scored"])
+
+    if pairs is None:
+        return sides.groupBy("qb", "xb").applyInArrow(lambda t: solve(t, None), LISTS)
+    met = pairs.select(placed(F.col("q"), parts).alias("qb"), placed(F.col("x"), many).alias("xb"), "q", "x")
+    return met.groupBy("qb", "xb").cogroup(sides.groupBy("qb", "xb")).applyInArrow(lambda m, t: solve(t, m), LISTS)
+
+
+def met(table: DataFrame, sought: DataFrame, dimension: int, vectors: int, tables: int, share: float) -> DataFrame:
+    """(q, x): keys of queries and of the vectors in the buckets they probe, once a table."""
+    number = hashes(dimension, vectors)
+    room = (2 * width(dimension)) ** number
+    most = max(1, round(share / tables * room))
+    at = places(number, 2 * width(dimension), most)
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value[0]
-        for b in batches:
-            if not b.num_rows:
-                continue
-            keys = b.column(0).to_numpy().view(np.uint64)
-            code = np.frombuffer(b"".join(b.column(3).to_pylist()), "<u2").reshape(b.num_rows, own.tables, own.hashes)
-            for t in range(tables):
-                cell = own.cells(code[:, t])
-                part = own.first[t, cell] + (keys % own.many[t, cell].astype(np.uint64)).astype(np.int64)
-                mine = pa.array([x.tobytes() for x in np.ascontiguousarray(code[:, t])], pa.binary())
-                for y in range(blocks):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(np.full(b.num_rows, t, np.int32)), pa.array(part), pa.array(np.full(b.num_rows, y, np.int32)), b.column(1), b.column(2), mine],
-                        names=["t", "part", "y", "vec", "ids", "code"],
-                    )
+        for whole in batches:
+            for a in range(0, whole.num_rows, 4096):
+                b = whole.slice(a, 4096)
+                u = units(matrix(b.column(1)))
+                for t in range(tables):
+                    yield pa.RecordBatch.from_arrays([pa.array(buckets(u, t, number) + t * room), b.column(0)], names=["bucket", "x"])
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, known = shared.value
-        middles = [own.middles(known[:, t], t) for t in range(tables)]
         for whole in batches:
-            for a in range(0, whole.num_rows, 512):
-                b = whole.slice(a, 512)
-                unit = np.ascontiguousarray(units(matrix(b.column(1))).T)
-                y = b.column(0).to_numpy().view(np.uint64) // np.uint64(7919) % np.uint64(blocks)
+            for a in range(0, whole.num_rows, 256):
+                b = whole.slice(a, 256)
+                u = units(matrix(b.column(1)))
                 for t in range(tables):
-                    bars = np.full(len(unit), -np.inf, np.float32)
-                    if share < 1 and len(known):
-                        n = max(1, int(np.ceil(share * len(known))))
-                        bars = -np.partition(-(unit @ middles[t].T), n - 1, axis=1)[:, n - 1] - np.float32(1e-5)
-                    parts = own.parts(unit, t, min(1.0, VISIT * share))
-                    at = np.repeat(np.arange(len(unit)), [len(p) for p in parts])
-                    yield pa.RecordBatch.from_arrays(
-                        [
-                            pa.array(np.full(len(at), t, np.int32)), pa.array(np.concatenate(parts).astype(np.int64)),
-                            pa.array(y[at].astype(np.int32)), b.column(0).take(at), b.column(1).take(at), pa.array(bars[at].astype(np.float32)),
-                        ],
-                        names=["t", "part", "y", "key", "vec", "bar"],
-                    )
-
-    def rerank(on: tuple, q: pd.DataFrame, x: pd.DataFrame) -> pd.DataFrame:
-        made: tuple[list, list, list, list] = ([], [], [], [])
-        if len(q) and len(x):
-            own = shared.value[0]
-            code = np.frombuffer(b"".join(x["code"]), "<u2").reshape(len(x), -1)
-            middles = own.middles(code, int(on[0]))
-            vecs, ids, asked = matrix(x["vec"]), x["ids"].tolist(), matrix(q["vec"])
-            unit, bars, keys = units(asked).T, q["bar"].to_numpy(np.float32), q["key"].tolist()
-            for a in range(0, len(q), 256):
-                block = slice(a, a + 256)
-                *lists, scored = _best(keys[block], asked[block], unit[block] @ middles.T, bars[block], vecs, ids, k)
-                for out, new in zip(made, lists, strict=False):
-                    out.extend(new)
-                made[3].extend([scored if i == 0 else 0 for i in range(len(lists[0]))])
-        return pd.DataFrame(dict(zip(("key", "id", "score", "scored"), made, strict=True)))
-
-    data = table.select("key", "vec", "ids", "code").mapInArrow(file, "t int, part long, y int, vec binary, ids array<long>, code binary")
-    visits = sought.select("key", "vec").mapInArrow(probe, "t int, part long, y int, key long, vec binary, bar float")
-    on = ["t", "part", "y"]
-    return visits.groupBy(*on).cogroup(data.groupBy(*on)).applyInPandas(rerank, "key long, id long, score double, scored long")
-
-
-def search(
-    df: DataFrame,
-    ident: str,
-    vector: str,
-    queries: Column,
-    k: int = 20,
-    tables: int = TABLES,
-    hashes: int = HASHES,
-    share: float = SHARE,
-    chunk: int = CHUNK,
-) -> DataFrame:
+                    own = probes(u, t, number, at, most)
+                    keys = np.repeat(b.column(0).to_numpy(), own.shape[1])
+                    yield pa.RecordBatch.from_arrays([pa.array(own.ravel() + t * room), pa.array(keys)], names=["bucket", "q"])
+
+    filed = table.select("key", "vec").mapInArrow(file, "bucket long, x long")
+    probed = sought.select("key", "vec").mapInArrow(probe, "bucket long, q long")
+    return probed.hint("merge").join(filed, "bucket").select("q", "x")
+
+
+def search(df: DataFrame, ident: str, vector: str, queries: Column, k: int = 20, tables: int = TABLES) -> DataFrame:
     """(query_id, rank, vec_id, score) of the k nearest found. ``queries``: a condition on ``id``."""
-    lists, asked = found(df, ident, vector, queries, k, tables, hashes, share, chunk)
+    lists, asked = found(df, ident, vector, queries, k, tables)
     return ranked(lists.select("key", "id", "score"), asked, k)
 
 
-def found(
-    df: DataFrame, ident: str, vector: str, queries: Column, k: int, tables: int = TABLES, hashes: int = HASHES, share: float = SHARE, chunk: int = CHUNK
-) -> tuple[DataFrame, DataFrame]:
+def found(df: DataFrame, ident: str, vector: str, queries: Column, k: int, tables: int = TABLES) -> tuple[DataFrame, DataFrame]:
     """Partial lists (key, id, score, scored), materialised, and (qid, key) of the queries."""
     spark = df.sparkSession
-    plain, asked = distinct_vectors(encoded(valid(df, ident, vector, nonzero=True), queries), k)
-
-    def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for a in range(0, whole.num_rows, 2048):
-                b = whole.slice(a, 2048)
-                made = [x.tobytes() for x in codes(matrix(b.column(1)), tables, hashes)]
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, pa.binary())], names=[*b.schema.names, "code"])
-
-    table = materialise(plain.mapInArrow(code, "key long, vec binary, ids array<long>, q boolean, code binary"), "codes")
-    vectors = table.count()
+    table, asked = distinct_vectors(encoded(valid(df, ident, vector, nonzero=True), queries), k)
     one = table.select("vec").first()
     if one is None:
-        return spark.createDataFrame([], "key long, id long, score double, scored long"), asked
-    index = Index(len(one["vec"]) // 8, tables, hashes)
-    shared = spark.sparkContext.broadcast(index)
-
-    def cell(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if b.num_rows:
-                own = shared.value.cells(np.frombuffer(b"".join(b.column(0).to_pylist()), "<u2").reshape(b.num_rows, tables, hashes))
-                for t in range(tables):
-                    at, n = np.unique(own[:, t], return_counts=True)
-                    yield pa.RecordBatch.from_pydict({"t": np.full(len(at), t, np.int32), "cell": at, "n": n.astype(np.int64)})
-
-    # tables times cells numbers
-    size = index.back.shape[2] ** (2 if index.square else 1)
-    counts = np.zeros((tables, size), np.int64)
-    for r in table.select("code").mapInArrow(cell, "t int, cell long, n long").groupBy("t", "cell").agg(F.sum("n").alias("n")).collect():
-        counts[r["t"], r["cell"]] = r["n"]
-    index.plan(counts, chunk)
-    part = probed_share(vectors, share)
-    most = min(SAMPLE, max(4096, int(np.ceil(IN_SAMPLE / part))))
-    some = [r["code"] for r in table.orderBy("key", "vec").select("code").limit(most).collect()]
-    sample = np.frombuffer(b"".join(some), "<u2").reshape(len(some), tables, hashes)
-    sought = table.where("q").select("key", "vec")
-    number = sought.count()
-    lists = materialise(candidates(table, index, sample, vectors, sought, number, k + 1, part), "lists", narrow=True)
-    if part < 1:
+        return spark.createDataFrame([], LISTS), asked
+    vectors, sought = table.count(), table.where("q").select("key", "vec")
+    number, share = sought.count(), probed_share(vectors)
+    lists = None
+    if share < 1:
+        pairs = met(table, sought, len(one["vec"]) // 8, vectors, tables, share)
+        lists = materialise(scored(table, sought, pairs, vectors, number, k + 1), "lists", narrow=True)
         full = lists.groupBy("key").agg(F.count_distinct("id").alias("n")).where(F.col("n") > k).select("key")
-        short = materialise(sought.join(full, "key", "left_anti"), "short", narrow=True)
-        if left := short.count():
-            lists = lists.unionByName(materialise(candidates(table, index, sample, vectors, short, left, k + 1, 1.0), "lists", narrow=True))
+        sought = materialise(sought.join(full, "key", "left_anti"), "short", narrow=True)
+        number = sought.count()
+    if number:
+        rest = materialise(scored(table, sought, None, vectors, number, k + 1), "lists", narrow=True)
+        lists = rest if lists is None else lists.unionByName(rest)
     return lists, asked

@@ -97,18 +97,19 @@ def test_hadamard_keeps_norms():
     assert np.allclose(cross_polytope.hadamard(cross_polytope.hadamard(x)), x)
 
 
-def test_likeliness_is_the_sum_of_components_on_the_bucket():
-    x = np.random.default_rng(2).normal(size=(40, 12))
-    index, code = cross_polytope.Index(12, 2, 3), cross_polytope.codes(x, 2, 3)
+@pytest.mark.parametrize(("number", "most"), [(1, 3), (2, 40), (3, 25)])
+def test_probes_are_the_likeliest_buckets(number, most):
+    x = np.random.default_rng(2).normal(size=(9, 12))
     u = cross_polytope.units(x)
-    for t in range(2):
-        want = 0
-        for h in range(3):
-            y = cross_polytope.turned(u, t, h)
-            y = np.concatenate((y, -y))
-            want = want + y[code[:, t, h]].T  # of each vector on the axes of each bucket
-            assert (y.argmax(axis=0) == code[:, t, h]).all()
-        assert np.allclose(u.T @ index.middles(code[:, t], t).T, want, atol=1e-5)
+    got = cross_polytope.probes(u, 1, number, cross_polytope.places(number, 32, most), most)
+    like = np.zeros((9, 1))
+    for h in range(number):
+        y = cross_polytope.turned(u, 1, h)
+        y = np.concatenate((y, -y)).T
+        like = (like[:, :, None] + y[:, None, :]).reshape(9, -1)
+    want = np.argsort(-like, axis=1)[:, :most]
+    assert [set(r) for r in got.tolist()] == [set(r) for r in want.tolist()]
+    assert (cross_polytope.buckets(u, 1, number) == want[:, 0]).all()  # a vector is filed in its likeliest bucket
 
 
 def _recall(spark, tmp_path, rows, divisor=20):
@@ -134,15 +135,20 @@ def test_recall_on_the_tables(spark, tmp_path):
     assert recall >= 0.95
 
 
-def test_few_vectors_are_scored_at_a_larger_size(spark, tmp_path):
-    x = np.random.default_rng(8).normal(size=(50_000, 64))  # the hardest case: no clusters
-    recall, share = _recall(spark, tmp_path, list(enumerate(x / np.linalg.norm(x, axis=1)[:, None])), divisor=100)
-    assert recall >= 0.9 and share < 0.1
+def test_few_vectors_are_scored_at_larger_sizes(spark, tmp_path):
+    shares = []
+    for n, divisor in ((50_000, 100), (150_000, 750)):
+        x = np.random.default_rng(8).normal(size=(n, 64))  # the hardest case: no clusters
+        (tmp_path / str(n)).mkdir()
+        recall, share = _recall(spark, tmp_path / str(n), list(enumerate(x / np.linalg.norm(x, axis=1)[:, None])), divisor)
+        assert recall >= 0.9
+        shares.append(share)
+    assert shares[1] < shares[0] < 0.1  # all products of a query and a vector are counted
 
 
 def test_queries_that_find_too_few_meet_all(spark, monkeypatch):
     rows = _rows(300, 5, 4)
-    monkeypatch.setattr(cross_polytope, "probed_share", lambda n, s=0: 0.004)
+    monkeypatch.setattr(cross_polytope, "probed_share", lambda n: 0.004)
     got = _lists(cross_polytope.search(spark.createDataFrame(rows, SCHEMA), "vec_id", "embedding", F.col("id") % 10 == 0, k=7))
     assert all(len(x) == 7 for x in got.values()) and len(got) == 30
 
@@ -158,7 +164,11 @@ def test_recall_and_exact_scores(spark, small):
         assert found == sorted(found, key=lambda x: (-x[1], x[0]))
 
 
-def test_chunks_of_a_hot_bucket_lose_nothing(spark):
+def test_blocks_lose_nothing(spark, monkeypatch):
     df = spark.createDataFrame(_rows(300, 5, 2), SCHEMA)
-    one, many = (_lists(cross_polytope.search(df, "vec_id", "embedding", F.col("id") % 10 == 0, k=5, chunk=c)) for c in (10_000, 3))
-    assert one == many
+    lists = []
+    for block, asked in ((2048, 4096), (7, 5)):
+        monkeypatch.setattr(cross_polytope, "BLOCK", block)
+        monkeypatch.setattr(cross_polytope, "QUERY_BLOCK", asked)
+        lists.append(_lists(cross_polytope.search(df, "vec_id", "embedding", F.col("id") % 10 == 0, k=5)))
+    assert lists[0] == lists[1]
