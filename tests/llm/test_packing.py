@@ -52,9 +52,10 @@ def test_ids_are_the_librarys(library):
         " leading", "trailing ", "1234 5.6%…", " ".join("word%d" % i for i in range(3000)),
     ]
     rnd = random.Random(1)
+    texts += ["".join(rnd.choice("'sTrevELMdl.é;ÀßµªÿÖ\xad1<|>") for _ in range(12)) for _ in range(500)] + [chr(c) * 2 + "a" + chr(c) for c in range(1, 600)]
     texts += ["".join(rnd.choice(" '\n\tabSTst.1́é<|>Σ　") for _ in range(200)) for _ in range(300)]
     own = packing.encoder(VOCAB)
-    assert isinstance(own.ids, packing.ChunkIds)
+    assert isinstance(own.ids, packing.ChunkIds) and isinstance(own.ids.encode, packing.WordIds)
     window, packing.WINDOW = packing.WINDOW, 50
     try:
         got = own.ids(texts)
