@@ -6,9 +6,9 @@ spans up to each both-label; in such a span, which is a token group, the number
 that of B-labels, each with the last one, say how many tokens of either side it takes. All A-B
 pairs of a group are links.
 
-Both tokenizers work chunk by chunk, a chunk being spaces and what follows up to the next space
-behind something that isn't white space: no pre-token of A and no piece of B (this is looked up
-in the vocabulary) reaches across such a place. So each distinct chunk is encoded, labelled and
+Both tokenizers work chunk by chunk. A chunk ends before a space, unless white space stands before
+that, and between a Latin letter and a sign: no pre-token of A and no piece of B (this is looked
+up in the vocabulary) reaches across such a place. So each distinct chunk is encoded, labelled and
 scanned once a worker, and a text's groups are those of its chunks. Texts with a chunk whose
 bytes either side doesn't give back are tried as a whole, and have no tokens if that fails too.
 
@@ -47,10 +47,11 @@ from .packing import Numbers, gather
 
 HEAD = 1_000_000
 #: Chunks and characters of chunks a worker remembers before it starts afresh, and bytes of rows that share a batch.
-CHUNKS, CHUNK_CHARS, CALL_CHUNKS, BATCH_BYTES = 300_000, 16 << 20, 10_000, 8 << 20
+CHUNKS, CHUNK_CHARS, CALL_CHUNKS, BATCH_BYTES = 800_000, 16 << 20, 10_000, 8 << 20
 COUNTS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
-#: A chunk ends before a space unless white space stands before that space.
-CHUNK = re.compile(r" ++[^ ]*+(?:(?<=\s) ++[^ ]*+)*+")
+LETTER, SIGN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", r"!-/:-@\[-`{-~"
+#: A character and what follows it, up to a space behind something else than white space or a sign behind a letter.
+CHUNK = re.compile(rf"(?s:.)(?:[^ {SIGN}]++|(?<![{LETTER}])[{SIGN}]++|(?<=\s) ++)*+")
 NONE, A_END, B_END, BOTH = b"nabx"
 SPAN = re.compile(rb"[nab]*+x")
 
@@ -78,11 +79,17 @@ class Pair:
         sp = sentencepiece.SentencePieceProcessor(model_file=b)
         said = [sp.id_to_piece(i).replace("▁", " ") for i in range(sp.get_piece_size())]
         self.b_bytes = [bytes([int(s[3:5], 16)]) if sp.is_byte(i) else b"" if sp.is_control(i) or sp.is_unknown(i) else s.encode() for i, s in enumerate(said)]
-        space = sp.piece_to_id("▁")
-        # the library adds the space that the text begins with; it adds none to nothing
-        self.b = lambda texts: [x if t != " " else [space] for x, t in zip(sp.encode([t[1:] for t in texts], num_threads=1), texts, strict=True)]
-        if any(re.search(r"\S ", s) for s in said):
-            raise ValueError("a piece of B reaches across the start of a word")
+        # the library adds a space to a text, which stands for that of a chunk; it adds none to nothing, and a letter goes before a sign
+        space, letter = sp.piece_to_id("▁"), sp.encode("a")
+
+        def b(texts: list[str]) -> list[list[int]]:
+            made = sp.encode([t[1:] if t[0] == " " else "a" + t for t in texts], num_threads=1)
+            return [[space] if t == " " else x if t[0] == " " else x[1:] for x, t in zip(made, texts, strict=True)]
+
+        self.b = b
+        plain = [s for i, s in enumerate(said) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i))]
+        if len(letter) != 1 or any(re.search(rf"\S |[{LETTER}][{SIGN}]", s) for s in plain):
+            raise ValueError("a piece of B reaches across the end of a chunk")
 
 
 def labels(a_sizes: np.ndarray, b_sizes: np.ndarray) -> bytes:
@@ -94,11 +101,14 @@ def labels(a_sizes: np.ndarray, b_sizes: np.ndarray) -> bytes:
     return out.tobytes()
 
 
-def groups(a_ids: list[int], b_ids: list[int], label: bytes) -> Iterator[tuple[list[int], list[int]]]:
-    """The ids of both sides in each token group."""
+def groups(a_ids: list[int], b_ids: list[int], spans: list[bytes]) -> Iterator[tuple]:
+    """The ids of both sides in the token group of each span of labels; bare ids where it has one of each."""
     i = j = 0
-    for m in SPAN.finditer(label):
-        span = m[0]
+    for span in spans:
+        if span.count(NONE) == len(span) - 1:
+            yield a_ids[i], b_ids[j]
+            i, j = i + 1, j + 1
+            continue
         u, v = i + span.count(A_END) + 1, j + span.count(B_END) + 1
         yield a_ids[i:u], b_ids[j:v]
         i, j = u, v
@@ -125,40 +135,52 @@ class Aligner:
         """A id and B id of each pair in one number."""
         return np.fromiter(self.pairs, np.int64, len(self.pairs))
 
+    def _same(self, chunk: str, a: list[int], b: list[int]) -> int:
+        """The chunk's bytes if both sides give them back, else 0."""
+        self.chars += len(chunk)
+        raw, of_a, of_b = chunk.encode(), self.pair.a_bytes, self.pair.b_bytes
+        return len(raw) if b"".join([of_a[x] for x in a]) == raw == b"".join([of_b[x] for x in b]) else 0
+
     def _learn(self) -> None:
-        new = list(islice(self.index, len(self.text), None))
+        new, number = list(islice(self.index, len(self.text), None)), self.pairs.__getitem__
         for at in range(0, len(new), CALL_CHUNKS):
             chunks = new[at : at + CALL_CHUNKS]
-            sizes, many, flat = [], [], []
-            for chunk, a, b in zip(chunks, self.pair.a(chunks), self.pair.b(chunks), strict=True):
-                self.chars += len(chunk)
-                raw, said_a, said_b = chunk.encode(), [self.pair.a_bytes.get(x, b"") for x in a], [self.pair.b_bytes[x] for x in b]
-                if b"".join(said_a) != raw or b"".join(said_b) != raw:
+            sizes, many, flat, counts = [], [], [], []
+            every_a, every_b, end = self.pair.a(chunks), self.pair.b(chunks), 0
+            same = [self._same(*z) for z in zip(chunks, every_a, every_b, strict=True)]
+            good = [[x for ids, s in zip(every, same, strict=True) if s for x in ids] for every in (every_a, every_b)]
+            label = labels(np.array([len(self.pair.a_bytes[x]) for x in good[0]], np.int64), np.array([len(self.pair.b_bytes[x]) for x in good[1]], np.int64))
+            for raw, a, b in zip(same, every_a, every_b, strict=True):
+                if not raw:
                     self.text.append(None)
                     sizes.append((0, 0, 0))
                     many.append(0)
                     continue
-                links: Counter[int] = Counter()
+                links: dict[int, int] = {}
                 said = []
-                label = labels(np.array([len(x) for x in said_a]), np.array([len(x) for x in said_b]))
-                for x, y in groups(a, b, label):
-                    said.append(f"{','.join(map(str, x))}|{','.join(map(str, y))}")
-                    if len(x) == len(y) == 1:
-                        links[x[0] << 32 | y[0]] += 1
+                start, end = end, end + raw
+                for x, y in groups(a, b, SPAN.findall(label, start, end)):
+                    if x.__class__ is int:
+                        said.append(f"{x}|{y}")
+                        key = x << 32 | y
+                        links[key] = links.get(key, 0) + 1
                         continue
-                    ys = Counter(y).items()
-                    for p, m in Counter(x).items():
+                    said.append(f"{','.join(map(str, x))}|{','.join(map(str, y))}")
+                    ys = Counter(y).items() if len(y) > 1 else ((y[0], 1),)
+                    for p, m in Counter(x).items() if len(x) > 1 else ((x[0], 1),):
                         for q, n in ys:
-                            links[p << 32 | q] += m * n
+                            key = p << 32 | q
+                            links[key] = links.get(key, 0) + m * n
                 self.text.append(";".join(said))
                 sizes.append((len(a), len(b), len(said)))
                 many.append(len(links))
-                flat.extend((self.pairs[k], n) for k, n in links.items())
+                flat.extend(map(number, links))
+                counts.extend(links.values())
             size = np.array(many, np.int64)
             self.start = np.concatenate((self.start, len(self.flat) + np.cumsum(size) - size))
             self.size = np.concatenate((self.size, size))
             self.sizes = np.concatenate((self.sizes, np.array(sizes, np.int64).reshape(-1, 3)))
-            self.flat = np.concatenate((self.flat, np.array(flat, np.int64).reshape(-1, 2)))
+            self.flat = np.concatenate((self.flat, np.array([flat, counts], np.int64).T))
 
     def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
         """The numbers of each text's chunks; none if it has no tokens."""
