@@ -19,7 +19,7 @@ from millrace.sources import formats
 from millrace.sources.tables import table
 from millrace.streaming import state
 
-from . import aggregates, scalars, shapes  # noqa: F401  they register themselves
+from . import aggregates, scalars, scale, shapes  # noqa: F401  they register themselves
 from .registry import ORACLE, QUERIES  # noqa: F401
 from .registry import query as _query
 from .registry import sql as _sql
