@@ -43,7 +43,7 @@ from .common import materialise, pieces
 
 LENGTH, GROUP_DOCS, LEAST = 2048, 1024, 8
 #: Distinct chunks and pre-tokens a worker remembers, characters split and encoded at a time.
-CHUNKS, WORDS, WINDOW, CALL_CHUNKS = 800_000, 700_000, 1 << 20, 20_000
+CHUNKS, WORDS, WINDOW, CALL_CHUNKS = 1_200_000, 1_500_000, 1 << 20, 20_000
 PIECE_BYTES = 8 << 20
 
 
@@ -78,7 +78,7 @@ class WordIds(dict):
         new = list({w: None for words in split if words for w in words if w not in self})
         self.update(zip(new, self.encode(new), strict=True))
         whole = iter(self.encode([c for c, words in zip(chunks, split, strict=True) if words is None]))
-        return [next(whole) if words is None else [i for w in words for i in self[w]] for words in split]
+        return [next(whole) if words is None else self[words[0]] if len(words) == 1 else [i for w in words for i in self[w]] for words in split]
 
 
 class ChunkIds:
