@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import uuid
+import threading
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -10,36 +10,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-#: Used only where the session names no shared folder, as in tests.
-FALLBACK_DIR = "/tmp/checkpoints"
+from millrace.sources import scratch
+
 #: Rows that scans and Arrow hold at a time while texts are read.
 BATCH_ROWS = {"spark.sql.parquet.columnarReaderBatchSize": "512", "spark.sql.execution.arrow.maxRecordsPerBatch": "1024"}
 #: Bytes of Arrow data turned into Python objects at a time.
 PIECE_BYTES = 2 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, set here only where it is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = FALLBACK_DIR
-        spark.conf.set("spark.checkpoint.dir", base)
-    return base.rstrip("/")
+#: Paths made within a scope, and the scopes that are open in each thread.
+_scopes: dict[str, list[str]] = {}
+_thread = threading.local()
 
 
-#: Paths made within a scope, and the scope that is open.
-_scopes: dict[str, list[str]] = {}
-_open: list[str] = []
+def _open() -> list[str]:
+    if not hasattr(_thread, "open"):
+        _thread.open = []
+    return _thread.open
 
 
 @contextmanager
 def scope(name: str) -> Iterator[None]:
     """Note the scratch paths made within, for :func:`release`."""
-    _open.append(name)
+    _open().append(name)
     try:
         yield
     finally:
-        _open.pop()
+        _open().pop()
 
 
 def release(spark: SparkSession, name: str) -> None:
@@ -54,12 +51,10 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 
 def scratch_path(spark: SparkSession, tag: str) -> str:
-    """A fresh path below the shared folder, deleted when the application's file systems are closed."""
-    path = f"{shared_dir(spark)}/millrace/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
-    if _open:
-        _scopes.setdefault(_open[-1], []).append(path)
+    """A fresh path below the shared folder, noted for the thread's open scope."""
+    path = scratch.scratch_path(spark, tag)
+    if _open():
+        _scopes.setdefault(_open()[-1], []).append(path)
     return path
 
 

@@ -11,16 +11,18 @@ of their inclusion, and the first of them are taken as far as the source's remai
 reach. So the sample's size is fixed (in words, to within half a document), and documents
 may have unequal probabilities: by source always, and by ``propensity`` within a source.
 
-The cut is found without sorting a source: v = q / (1 + q) in 48 bits is split into 512
-buckets, words are summed by source and bucket, and the bucket where the target falls is
+The cut is found without sorting a source: v = q / (1 + q) in 48 bits, and 14 bits of a hash of
+the whole row for rows of one v, are split into 512 buckets, words are summed by source and bucket, and the bucket where the target falls is
 split again until it holds at most ``cut_rows`` rows. Only those rows are put in order.
 
 Random numbers are hashes of identifying columns and a seed, hence reruns agree.
 
 Defined results: a null source is a source of its own, last in order; null or negative sizes
 count as 0; documents of size 0 never change a total, and get the certain copies and one
-more if they rank before the cut; rows equal in all identifying columns rank by size and then
-by a hash of all columns, which must be of types that have one;
+more if they rank before the cut; rows equal in all identifying columns rank by a hash of all
+columns, maps by their sorted entries and variants as JSON; of rows equal in everything any may be
+taken, and a cut that falls among those sorts them in one task; targets are one row a source, taken
+together in one small task;
 an empty table gives an empty result; further columns pass through, and those named like a
 result column are replaced.
 """
@@ -31,10 +33,11 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import discard, materialise, without
 
-BITS, LEVEL_BITS, CUT_ROWS = 48, 9, 100_000
+BITS, TIE_BITS, LEVEL_BITS, CUT_ROWS = 48, 14, 9, 100_000
 #: The least propensity: a document of none ranks last, and is drawn if all others don't reach the target.
 LEAST = 1e-9
 MADE = ["source_size", "target", "copies", "taken"]
@@ -61,12 +64,27 @@ def targets(totals: DataFrame, weights: tuple[int, ...], cap: float) -> DataFram
     )
 
 
-def _rank(u: Column, share: Column, propensity: Column) -> Column:
-    """v in [0, 2^BITS): the Pareto ratio, made monotone in a bounded whole number."""
+def hashable(c: Column, kind: T.DataType) -> Column:
+    """The column in types that have a hash: maps as entries in order, variants as JSON."""
+    if isinstance(kind, T.VariantType):
+        return F.to_json(c)
+    if isinstance(kind, T.MapType):
+        entries = F.transform(F.map_entries(c), lambda e: F.struct(hashable(e["key"], kind.keyType).alias("k"), hashable(e["value"], kind.valueType).alias("v")))
+        return F.array_sort(entries)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(c, lambda x: hashable(x, kind.elementType))
+    if isinstance(kind, T.StructType) and kind.fields:
+        return F.struct(*[hashable(c[f"`{f.name}`"] if "." in f.name else c[f.name], f.dataType).alias(f"f{i}") for i, f in enumerate(kind.fields)])
+    return c
+
+
+def _rank(u: Column, share: Column, propensity: Column, tie: Column) -> Column:
+    """v in [0, 2^BITS), the Pareto ratio made monotone in a bounded whole number, and TIE_BITS for rows of one v."""
     x = (u + F.lit(0.5)) / F.lit(float(1 << BITS))
     odds = x / (F.lit(1.0) - x)
     q = odds / (propensity * (share / (F.lit(1.0) - share)))
-    return F.floor(q / (F.lit(1.0) + q) * F.lit(float(1 << BITS))).cast("long")
+    v = F.floor(q / (F.lit(1.0) + q) * F.lit(float(1 << BITS))).cast("long")
+    return F.least(v, F.lit((1 << BITS) - 1)) * F.lit(1 << TIE_BITS) + tie
 
 
 def mix(
@@ -88,6 +106,7 @@ def mix(
             F.struct(*[F.col(f"`{c}`") for c in base.columns]).alias("__row"),  # no name of the caller's can clash below
             F.greatest(F.coalesce(F.col(size).cast("long"), F.lit(0)), F.lit(0)).alias("__n"),
             F.conv(F.substring(F.md5(key), 1, BITS // 4), 16, 10).cast("long").alias("__u"),
+            F.pmod(F.xxhash64(*[hashable(F.col(f"`{f.name}`"), f.dataType) for f in base.schema]), F.lit(1 << TIE_BITS)).alias("__t"),
             # a null source has a key of its own
             F.coalesce(F.concat(F.lit("s"), F.col(source).cast("string")), F.lit("n")).alias("__s"),
             (F.greatest(F.coalesce(F.col(propensity).cast("double"), F.lit(1.0)), F.lit(LEAST)) if propensity else F.lit(1.0)).alias("__p"),
@@ -103,19 +122,19 @@ def mix(
     )
     plan = plan.withColumn("share", F.when(F.col("source_size") > 0, F.col("left") / F.col("source_size")).otherwise(0.0))
     state = materialise(
-        plan.withColumns({"lo": F.lit(0).cast("long"), "bits": F.lit(BITS), "below": F.lit(0).cast("long")}).repartition(1),
+        plan.withColumns({"lo": F.lit(0).cast("long"), "bits": F.lit(BITS + TIE_BITS), "below": F.lit(0).cast("long")}).repartition(1),
         "mix-plan",
     )  # a row a source: one file
 
     drawn = (F.col("share") > 0) & (F.col("share") < 1)
-    v = F.when(drawn, _rank(F.col("__u"), F.col("share"), F.col("__p")))
+    v = F.when(drawn, _rank(F.col("__u"), F.col("share"), F.col("__p"), F.col("__t")))
     inside = (F.col("v") >= F.col("lo")) & (F.col("v") < F.col("lo") + F.expr("shiftleft(1L, bits)"))
 
     def ranked(rows: DataFrame, plan: DataFrame) -> DataFrame:
         return rows.join(plan, "__s").withColumn("v", v)
 
     while True:
-        narrow = kept.select("__s", "__u", "__n", "__p")
+        narrow = kept.select("__s", "__u", "__n", "__p", "__t")
         step = F.expr(f"greatest(bits - {LEVEL_BITS}, 0)").cast("int")
         sums = (
             ranked(narrow, state)
@@ -154,7 +173,7 @@ def mix(
     rows = ranked(kept, state)
     edge = rows.where(drawn & inside)
     # rows that differ anywhere are in the same order in each run
-    order = Window.partitionBy("__s").orderBy("v", *[F.col("__row")[c].asc_nulls_first() for c in identity], "__n", F.xxhash64("__row"))
+    order = Window.partitionBy("__s").orderBy("v", *[F.col("__row")[c].asc_nulls_first() for c in identity], "__n")
     upto = F.col("below") + F.sum("__n").over(order.rowsBetween(Window.unboundedPreceding, 0))
     # taken if that brings the total nearer to what is left
     edge = edge.withColumn("more", (upto * 2 - F.col("__n") <= F.col("left") * 2).cast("int"))

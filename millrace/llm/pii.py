@@ -285,13 +285,38 @@ def label(docs: DataFrame, text: str = "text", keep_text: bool = True) -> DataFr
     strict = F.concat(*[F.col(f"__s{i}") for i, f in enumerate(_FINDERS) if f[2]])
     made = made.withColumn("__strict", strict)
     made = made.withColumn("__base", F.filter("__strict", lambda b: b["base"]))
-    # a loose candidate that overlaps a base span is no other, unless that is part of it
-    loose = F.filter(
-        F.concat(*[F.col(f"__s{i}") for i, f in enumerate(_FINDERS) if not f[2]]),
-        lambda c: ~F.exists("__base", lambda b: (b["s"] < c["e"]) & (c["s"] < b["e"]) & ((b["s"] < c["s"]) | (c["e"] < b["e"]))),
-    )
+    made = made.withColumn("__loose", F.concat(*[F.col(f"__s{i}") for i, f in enumerate(_FINDERS) if not f[2]]))
+    made = _cut_into(made)
     kept = [F.col(f"`{c}`") for c in base.columns if keep_text or c.lower() != text.lower()]
-    return made.select(*kept, F.concat("__strict", loose).alias("candidates"))
+    return made.select(*kept, F.concat("__strict", _not_cut()).alias("candidates"))
+
+
+def _cut_into(made: DataFrame) -> DataFrame:
+    """For each of ``__loose``, in ``__cut``: whether its start, and whether its end, lies within a span of ``__base``.
+
+    All starts of base spans and all places to be looked at are put in one order; how far the base
+    spans before a place reach is then a running maximum, so the work isn't spans times spans.
+    """
+    starts = F.transform("__base", lambda b: F.struct(b["s"].alias("x"), F.lit(1).alias("o"), b["e"].alias("e"), F.lit(-1).alias("i")))
+
+    def ask(x: Column, i: Column) -> Column:
+        return F.struct(x.alias("x"), F.lit(0).alias("o"), F.lit(0).alias("e"), i.alias("i"))
+
+    asked = F.flatten(F.transform("__loose", lambda c, i: F.array(ask(c["s"], i * 2), ask(c["e"], i * 2 + 1))))
+    none = F.array().cast("array<struct<x:int,o:int,e:int,i:int>>")
+    both = (F.size("__loose") > 0) & (F.size("__base") > 0)
+    made = made.withColumn("__places", F.when(both, F.array_sort(F.concat(starts, asked))).otherwise(none))
+    made = made.withColumn("__reach", F.when(both, _before(F.transform("__places", lambda p: p["e"]), F.greatest, 0)).otherwise(F.array().cast("array<int>")))
+    looked = F.zip_with("__places", "__reach", lambda p, m: F.struct(p["i"].alias("i"), (m > p["x"]).alias("cut")))
+    return made.withColumn("__cut", F.transform(F.array_sort(F.filter(looked, lambda p: p["i"] >= 0)), lambda p: p["cut"]))
+
+
+def _not_cut() -> Column:
+    """``__loose`` without those that overlap a base span, unless that is part of them."""
+    starts, ends = F.filter("__cut", lambda c, i: i % 2 == 0), F.filter("__cut", lambda c, i: i % 2 == 1)
+    cut = F.zip_with(starts, ends, lambda a, b: a | b)
+    marked = F.zip_with("__loose", cut, lambda c, b: F.struct(c.alias("c"), F.coalesce(b, F.lit(False)).alias("cut")))
+    return F.transform(F.filter(marked, lambda z: ~z["cut"]), lambda z: z["c"])
 
 
 class SpanModel:

@@ -43,7 +43,7 @@ from pyspark.sql import types as T
 from .common import add_columns, discard, materialise
 
 #: ``SAMPLE``: labelled rows that fitting takes at most.
-SAMPLE, FOLDS, ROUNDS, PASSES = 6000, 3, 300, 12
+SAMPLE, FOLDS, ROUNDS = 6000, 3, 300
 #: Standard deviations that a word must explain; texts added to its count; weight of the squared penalty.
 NOISE, SMOOTH, RIDGE = 3.0, 3.0, 1e-4
 FORM, STEM = 4, 4
@@ -138,7 +138,7 @@ def fit_linear(x: Sparse, y: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarr
         return words, dense, 30.0 if share >= 1 else -30.0
     toll, bias = tolls(x, share), float(np.log(share / (1 - share)))
     active = np.zeros(x.width, bool)
-    for _ in range(PASSES):
+    while True:  # the active words only grow, so this ends
         # a word of weight 0 stays there as long as its gradient is within its penalty
         gradient = x.gradient((_sigmoid(x.dot(words, dense, bias)) - y) / x.n)[0]
         fresh = ~active & (np.abs(gradient) > toll * (1 + 1e-6))
@@ -229,14 +229,17 @@ def _chained(x: Sparse, known: list[str], labels: dict[str, np.ndarray], fold: n
 
 
 def fit(docs: DataFrame, labels: DataFrame, categories: dict[str, str], ident: str = "doc_id", text: str = "text", sample: int = SAMPLE) -> Chain:
-    """Fit on at most ``sample`` labelled rows. ``categories``: for each category, in order, an SQL expression of ``labels``, 0 or 1."""
+    """Fit on at most ``sample`` labelled ids, with one text each. ``categories``: for each category, in order, an SQL expression of ``labels``, 0 or 1."""
     names = list(categories)
     each = labels.select(F.col(ident).alias("id"), *[F.expr(c).cast("double").alias(f"y{i}") for i, c in enumerate(categories.values())])
     each = each.where(F.col("id").isNotNull()).groupBy("id").agg(*[F.max(f"y{i}").alias(f"y{i}") for i in range(len(names))])
     some = each.orderBy(F.xxhash64("id"), "id").limit(sample)  # bounded: broadcast below
     rows = docs.select(F.col(ident).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     met = rows.join(F.broadcast(some), "id")
-    chosen = materialise(met, "labelled", narrow=True)
+    # an id may have many texts: that of least hash stands for it, so no more than ``sample`` texts are fitted
+    first = F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t")
+    one = met.groupBy("id").agg(first, *[F.first(f"y{i}").alias(f"y{i}") for i in range(len(names))])
+    chosen = materialise(one.select("id", "t.text", *[f"y{i}" for i in range(len(names))]), "labelled", narrow=True)
     seen: set[bytes] = set()
     kept: list[tuple] = []
 

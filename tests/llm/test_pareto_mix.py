@@ -66,3 +66,16 @@ def test_rows_of_one_id_rank_alike_in_each_run(spark):
     docs = spark.createDataFrame(rows, "doc_id long, source string, size long")
     runs = [sorted(map(tuple, pareto_mix.mix(d, "size").select("doc_id", "size", "taken").collect())) for d in (docs, docs.repartition(7, "size"))]
     assert runs[0] == runs[1] and any(t for *_, t in runs[0])
+
+
+def test_maps_and_variants_and_a_hot_null_id(spark):
+    df = spark.range(4000).select(
+        F.lit(None).cast("long").alias("doc_id"), F.lit("s").alias("source"), F.lit(3).alias("n"), F.create_map(F.lit("k"), F.col("id")).alias("m"),
+        F.array(F.create_map(F.lit(1), F.lit("x"))).alias("ms"), F.parse_json(F.concat(F.lit('{"a": '), F.col("id"), F.lit("}"))).alias("v"),
+    ).unionByName(spark.createDataFrame([(1, "t", 4)], "doc_id long, source string, n int"), allowMissingColumns=True)
+    runs = []
+    for rows in (df, df.repartition(5, "n")):
+        out = pareto_mix.mix(rows, "n", cut_rows=20)
+        assert out.count() == 4001
+        runs.append(sorted((r.m["k"] if r.m else -1, r.copies) for r in out.collect()))
+    assert runs[0] == runs[1] and len({c for _, c in runs[0]}) > 1

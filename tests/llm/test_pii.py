@@ -143,6 +143,32 @@ def test_time_is_linear_in_spans(spark):
     assert two < 2.5 * one
 
 
+def test_time_is_linear_in_base_and_loose_spans(spark):
+    def seconds(n):
+        text = " ".join(f'user{i}@example{i % 7}.com token = "{hashlib.sha1(str(i).encode()).hexdigest()}"' for i in range(n))
+        df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        began = time.perf_counter()
+        row = pii.find(df).first()
+        assert row.n_email == n and len(row.spans) > 1.9 * n
+        return time.perf_counter() - began
+
+    seconds(100)
+    one, two = min(seconds(6000) for _ in range(2)), min(seconds(12_000) for _ in range(2))
+    assert two < 2.5 * one
+
+
+def test_loose_spans_cut_by_base_spans_go(spark):
+    """As the definition has it: of spans that overlap a base span only those stay that hold it."""
+    rnd = random.Random(4)
+    for n in (0, 1, 30):
+        def spans(many, n=n):
+            return [(a, a + rnd.randrange(1, 9)) for a in (rnd.randrange(100) for _ in range(many))]
+        base, loose = spans(n), spans(40)
+        df = spark.createDataFrame([(base, loose)], "__base array<struct<s:int,e:int>>, __loose array<struct<s:int,e:int>>")
+        got = [tuple(x) for x in pii._cut_into(df).select(pii._not_cut().alias("x")).first().x]
+        assert got == [c for c in loose if not any(s < c[1] and c[0] < e and (s < c[0] or c[1] < e) for s, e in base)]
+
+
 def test_overlapping_spans_become_one(spark, texts):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     found = pii.materialise(pii.find(df), "test")

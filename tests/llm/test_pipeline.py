@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import re
+import threading
 from collections import Counter
 
 import corpus_pipeline as cp
@@ -10,7 +11,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from millrace.llm import bpe, toxicity
+from millrace.llm import bpe, common, toxicity
 from millrace.llm.queries import ORACLE, TOXIC_CATEGORIES
 from test_ngram_join import _brute
 from test_pii import _base
@@ -99,3 +100,32 @@ def test_further_columns_pass_and_settings_stay(spark, small):
     assert {k: spark.conf.get(k) for k in cp.BATCH_ROWS} == before
     found = rows.collect()
     assert found and all(r[n] == f"{n}-{r.doc_id}" for r in found for n in names) and all(isinstance(r.ids, list) for r in found)
+
+
+def test_map_and_variant_columns_pass(spark, small):
+    docs = spark.read.parquet(f"{small}/documents.parquet").limit(60)
+    rows = docs.select("*", F.create_map(F.lit("k"), F.col("doc_id")).alias("m"), F.parse_json(F.concat(F.lit('{"a": '), F.col("doc_id"), F.lit("}"))).alias("v"))
+    for _, stage in cp.STAGES:
+        rows = cp.materialise(stage(spark, rows, small), "kinds")
+    found = rows.selectExpr("doc_id", "m['k'] AS k", "variant_get(v, '$.a', 'long') AS a").collect()
+    assert found and all(r.k == r.a == r.doc_id for r in found)
+
+
+def test_scopes_of_two_threads_stay_apart(spark):
+    """A path made in one thread's scope is never deleted by the other's."""
+    inside, made = threading.Barrier(2), {}
+
+    def run(name):
+        with common.scope(name):
+            inside.wait()
+            made[name] = common.scratch_path(spark, name)
+            inside.wait()
+
+    both = [threading.Thread(target=run, args=(n,)) for n in ("a", "b")]
+    for t in both:
+        t.start()
+    for t in both:
+        t.join()
+    assert all(common._scopes[n] == [made[n]] for n in "ab")
+    for n in "ab":
+        common.release(spark, n)

@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from millrace.llm import toxicity as tx
 from millrace.llm.queries import TOXIC_CATEGORIES
@@ -116,3 +117,13 @@ def test_odd_texts(spark, small):
     out = tx.predict(docs, chain).collect()
     assert len(out) == 5 and out[1].toxic == out[2].toxic and all(0 <= r.toxic <= 1 for r in out)
     assert tx.predict(docs.where("false"), chain).count() == 0
+
+
+def test_an_id_with_many_texts_counts_once(spark, monkeypatch):
+    docs = spark.range(3000).select(F.lit(1).cast("long").alias("doc_id"), F.concat(F.lit("text number "), F.col("id")).alias("text"))
+    docs = docs.unionByName(spark.createDataFrame([(2, "two"), (3, "three")], docs.schema))
+    labels = spark.createDataFrame([(i, i % 2, i % 2) for i in (1, 2, 3)], "doc_id long, quality int, toxic int")
+    seen, counted = [], tx._counted
+    monkeypatch.setattr(tx, "_counted", lambda texts: counted(seen.append(t) or t for t in texts))
+    tx.fit(docs, labels, {"toxic": "toxic"}, sample=2)
+    assert 1 <= len(seen) <= 2
