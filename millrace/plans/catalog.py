@@ -15,7 +15,8 @@ from millrace.operators.asof import asof_join
 from millrace.operators.ranges import range_join
 from millrace.operators.skew import salted_join
 from millrace.operators.windows import groups_frame, sessions, top_per_group
-from millrace.sources import formats
+from millrace.sources import formats, layout, rowgroups
+from millrace.sources.scratch import scratch_path
 from millrace.sources.tables import table
 from millrace.streaming import state
 
@@ -153,7 +154,16 @@ _sql(
 )
 _sql(
     "recursive",
-    "WITH RECURSIVE t(n, f) AS (SELECT 1, CAST(1 AS BIGINT) UNION ALL SELECT n + 1, f * (n + 1) FROM t WHERE n < 15) SELECT n, f FROM t",
+    """WITH RECURSIVE t(conv_id, turn, roles, words) AS (
+      SELECT conv_id, turn, CAST(role AS STRING), length(text) FROM {conversations} WHERE turn = 0
+      UNION ALL SELECT c.conv_id, c.turn, concat(t.roles, '>', c.role), t.words + length(c.text)
+      FROM t JOIN {conversations} c ON c.conv_id = t.conv_id AND c.turn = t.turn + 1)
+    SELECT conv_id, turn, roles, words FROM t""",
+    """WITH RECURSIVE t(conv_id, turn, roles, words) AS (
+      SELECT conv_id, turn, role, CAST(length(text) AS INT) FROM conversations WHERE turn = 0
+      UNION ALL SELECT c.conv_id, c.turn, concat(t.roles, '>', c.role), CAST(t.words + length(c.text) AS INT)
+      FROM t JOIN conversations c ON c.conv_id = t.conv_id AND c.turn = t.turn + 1)
+    SELECT conv_id, turn, roles, words FROM t""",
 )
 _sql(
     "pivoted",
@@ -229,7 +239,13 @@ def user_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _sql("top_k", "SELECT o_orderkey, o_totalprice FROM {orders} ORDER BY o_totalprice DESC, o_orderkey LIMIT 20")
 _sql("offset_rows", "SELECT o_orderkey FROM {orders} ORDER BY o_orderkey LIMIT 30 OFFSET 40")
-_sql("null_order", "SELECT x FROM VALUES (1), (CAST(NULL AS INT)), (3) AS t(x) ORDER BY x DESC NULLS FIRST LIMIT 2", "SELECT x FROM (VALUES (1), (NULL), (3)) AS t(x) ORDER BY x DESC NULLS FIRST LIMIT 2")
+_sql(
+    "null_order",
+    """SELECT 'first' AS nulls, o_orderkey, late FROM (
+      SELECT o_orderkey, nullif(o_orderpriority, '3-MEDIUM') AS late FROM {orders} ORDER BY late DESC NULLS FIRST, o_orderkey LIMIT 20)
+    UNION ALL SELECT 'last' AS nulls, o_orderkey, late FROM (
+      SELECT o_orderkey, nullif(o_orderpriority, '3-MEDIUM') AS late FROM {orders} ORDER BY late ASC NULLS LAST, o_orderkey LIMIT 20)""",
+)
 _sql("union_distinct", "SELECT n_nationkey AS k FROM {nation} UNION SELECT c_nationkey FROM {customer}")
 _sql("union_all", "SELECT n_nationkey AS k FROM {nation} UNION ALL SELECT s_nationkey FROM {supplier}")
 _sql("intersect_all", "SELECT c_nationkey AS k FROM {customer} INTERSECT ALL SELECT s_nationkey FROM {supplier}")
@@ -361,9 +377,54 @@ def format_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formats.text_lines(table(spark, sf_dir, "customer"), "c_name")
 
 
-@_query("SELECT CAST(range AS BIGINT) AS n, CAST(range * range AS BIGINT) AS square FROM range(1000)")
+@_query("SELECT page_id, url, length(html) AS n FROM pages WHERE page_id >= 20")
 def python_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return formats.sequence(spark, 1000)
+    """Pages by a source in Python, which leaves out row groups by their footers."""
+    return rowgroups.row_groups(spark, f"{sf_dir}/pages.parquet").where("page_id >= 20").select("page_id", "url", F.length("html").alias("n"))
+
+
+@_query("SELECT page_id, url FROM pages")
+def python_stream_and_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages by a stream source and a sink in Python, in two runs: the second one has nothing left to do."""
+    base = scratch_path(spark, "rowgroups")
+    for _ in range(2):
+        rowgroups.copied(spark, f"{sf_dir}/pages.parquet", f"{base}/sink", f"{base}/state")
+    return rowgroups.committed(spark, f"{base}/sink", table(spark, sf_dir, "pages").schema).select("page_id", "url")
+
+
+@_query("""
+    SELECT n_name, count(*) AS customers, CAST(sum(CAST(c_acctbal AS DECIMAL(18,6))) AS DOUBLE) AS total FROM customer
+    JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey = 2 GROUP BY 1
+""")
+def partitions_pruned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers in a folder a nation: which folders are read is known once the nations of a region are."""
+    rows = layout.partitioned(table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_nationkey"), scratch_path(spark, "by-nation"), "c_nationkey")
+    some = table(spark, sf_dir, "nation").where("n_regionkey = 2")
+    made = rows.join(some, F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name")
+    return made.agg(F.count(F.lit(1)).alias("customers"), F.sum(_exact("c_acctbal")).cast("double").alias("total"))
+
+
+@_query("""
+    SELECT o_orderpriority, count(*) AS lines, count(DISTINCT o_orderkey) AS orders FROM orders JOIN lineitem ON o_orderkey = l_orderkey GROUP BY 1
+""")
+def buckets_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two tables bucketed alike: neither the join nor the count by order moves their rows."""
+    orders = layout.bucketed(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority"), "o_orderkey", 8)
+    lines = layout.bucketed(table(spark, sf_dir, "lineitem").select("l_orderkey"), "l_orderkey", 8)
+    each = orders.hint("merge").join(lines, F.col("o_orderkey") == F.col("l_orderkey")).groupBy("o_orderkey", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"))
+    return each.groupBy("o_orderpriority").agg(F.sum("n").alias("lines"), F.count(F.lit(1)).alias("orders"))
+
+
+@_query("""
+    SELECT event_type, count(*) AS n, CAST(sum(CAST(value AS DECIMAL(18,6)) * CASE event_type WHEN 'click' THEN 2 ELSE 1 END) AS DOUBLE) AS total
+    FROM events WHERE event_type <> 'click' OR user_id >= 10 GROUP BY 1
+""")
+def partitions_replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events in a folder a type, of which that of the clicks is replaced."""
+    rows, path = table(spark, sf_dir, "events").select("event_id", "user_id", "value", "event_type"), scratch_path(spark, "by-type")
+    layout.partitioned(rows, path, "event_type")
+    layout.replace_partitions(rows.where("event_type = 'click' AND user_id >= 10").withColumn("value", F.col("value") * 2), path, "event_type")
+    return spark.read.parquet(path).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(_exact("value")).cast("double").alias("total"))
 
 
 # ------------------------------------------------------------- user-defined functions
@@ -573,6 +634,19 @@ def stream_memory_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.in_memory(spark, sf_dir)
 
 
-@_query("SELECT CAST(range AS BIGINT) AS value FROM range(100)")
+@_query("SELECT event_id, event_type FROM events")
 def stream_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return state.at_a_rate(spark, 100)
+    return state.at_the_rate_of(spark, sf_dir)
+
+
+@_query("SELECT user_id, count(*) AS n, count(*) AS kept FROM events WHERE event_id % 2 = 1 GROUP BY 1")
+def stream_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return state.after_expiry(spark, sf_dir)
+
+
+@_query("""
+    SELECT c.user_id, c.event_id AS click_id, p.event_id FROM (SELECT * FROM events WHERE event_type = 'click') c
+    LEFT JOIN (SELECT * FROM events WHERE event_type = 'purchase') p ON c.user_id = p.user_id AND p.ts >= c.ts AND p.ts <= c.ts + INTERVAL 1 HOUR
+""")
+def stream_outer_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return state.clicks_with_and_without_purchase(spark, sf_dir)

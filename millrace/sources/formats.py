@@ -1,28 +1,18 @@
-"""Round trips through file formats, and a source written in Python."""
+"""Round trips through file formats."""
 
 from __future__ import annotations
 
-import uuid
-from collections.abc import Iterator
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-
-FORMATS = ("parquet", "orc", "json", "csv", "xml")
 
+from .scratch import scratch_path
 
-def _folder(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    path = f"{base.rstrip('/')}/formats-{uuid.uuid4().hex}"
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
-    return path
+FORMATS = ("parquet", "orc", "json", "csv", "xml")
 
 
 def round_trip(df: DataFrame, fmt: str) -> DataFrame:
     """Write in a format to the shared folder and read back with the same schema."""
-    spark, path = df.sparkSession, _folder(df.sparkSession)
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, "formats")
     options = {"xml": {"rowTag": "row"}, "csv": {"header": "true"}}.get(fmt, {})
     df.write.format(fmt).options(**options).save(path)
     return spark.read.format(fmt).options(**options).schema(df.schema).load(path)
@@ -30,38 +20,6 @@ def round_trip(df: DataFrame, fmt: str) -> DataFrame:
 
 def text_lines(df: DataFrame, column: str) -> DataFrame:
     """The lines of a text column after a round trip through text files."""
-    spark, path = df.sparkSession, _folder(df.sparkSession)
+    spark, path = df.sparkSession, scratch_path(df.sparkSession, "formats")
     df.select(F.col(column).alias("value")).write.text(path)
     return spark.read.text(path).withColumnRenamed("value", "line")
-
-
-class SequenceSource(DataSource):
-    """``format("millrace_sequence")``: numbers from 0 to option ``rows``, in option ``parts`` partitions."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "millrace_sequence"
-
-    def schema(self) -> str:
-        return "n bigint, square bigint"
-
-    def reader(self, schema) -> DataSourceReader:
-        return SequenceReader(int(self.options.get("rows", 0)), int(self.options.get("parts", 1)))
-
-
-class SequenceReader(DataSourceReader):
-    def __init__(self, rows: int, parts: int) -> None:
-        self.rows, self.parts = rows, parts
-
-    def partitions(self) -> list[InputPartition]:
-        cut = [self.rows * k // self.parts for k in range(self.parts + 1)]
-        return [InputPartition((a, b)) for a, b in zip(cut, cut[1:], strict=False)]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple[int, int]]:
-        for n in range(*partition.value):
-            yield n, n * n
-
-
-def sequence(spark: SparkSession, rows: int, parts: int = 4) -> DataFrame:
-    spark.dataSource.register(SequenceSource)
-    return spark.read.format("millrace_sequence").option("rows", rows).option("parts", parts).load()

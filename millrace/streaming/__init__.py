@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -10,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from millrace.sources.scratch import scratch_path
+
 
 def events(spark: SparkSession, sf_dir: str, watermark: str | None = "10 minutes") -> DataFrame:
     """The events file as a stream, its time as an instant in UTC."""
@@ -21,11 +22,7 @@ def events(spark: SparkSession, sf_dir: str, watermark: str | None = "10 minutes
 
 def scratch(spark: SparkSession, tag: str) -> str:
     """A fresh folder in the shared folder, deleted when the application ends."""
-    base = (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints").rstrip("/")
-    path = f"{base}/stream-{tag}-{uuid.uuid4().hex}"
-    jpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jpath)
-    return path
+    return scratch_path(spark, f"stream-{tag}")
 
 
 def drained(stream: DataFrame, mode: str, path: str | None = None, once: bool = False) -> DataFrame:

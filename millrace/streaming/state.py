@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import time
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -163,7 +164,93 @@ def in_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.table(name)
 
 
-def at_a_rate(spark: SparkSession, rows: int) -> DataFrame:
-    """One micro-batch of the deterministic rate source."""
-    stream = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", rows).option("numPartitions", 2).load()
-    return drained(stream.select("value"), "append", once=True)
+#: How long state lives that isn't touched.
+TTL_MS = 3000
+
+
+def _forgetful() -> StatefulProcessor:
+    """The processor of :func:`after_expiry`."""
+
+    class _Forgetful(StatefulProcessor):
+        """Events of each user since their state last expired."""
+
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.seen = handle.getValueState("seen", "n long", ttlDurationMs=TTL_MS)
+
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+            n = self.seen.get()[0] if self.seen.exists() else 0
+            n += sum(len(pdf) for pdf in rows)
+            self.seen.update((n,))
+            yield pd.DataFrame({"user_id": [key[0]], "n": [n]})
+
+        def close(self) -> None:
+            pass
+
+    return _Forgetful()
+
+
+def until_idle(stream: DataFrame, path: str, seconds: float = 600) -> list[int]:
+    """Run a stream in processing time until a batch finds no rows, and stop it; the numbers of its batches that had some.
+
+    A stream with time to live never ends by itself: it goes on with batches without rows, to clear what expires.
+    """
+    batches: list[int] = []
+
+    def write(df: DataFrame, batch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{path}/rows/{batch}")
+
+    query = stream.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{path}/state").start()
+    end = time.monotonic() + seconds
+    try:
+        while query.isActive and time.monotonic() < end:
+            done = {p["batchId"]: p["numInputRows"] for p in query.recentProgress}
+            batches = sorted(b for b, n in done.items() if n)
+            if any(n == 0 for n in done.values()):
+                break
+            time.sleep(0.1)
+    finally:
+        query.stop()
+    if query.exception():
+        raise query.exception()
+    return batches
+
+
+def after_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users' events since their state expired, as the stream says and as its state store has it: the first half of the events is forgotten."""
+    base = scratch(spark, "ttl")
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "user_id")
+    with rocksdb(spark):
+        for k in (0, 1):
+            rows.where(F.col("event_id") % 2 == k).write.parquet(f"{base}/in/{k}")
+            stream = spark.readStream.schema(rows.schema).parquet(f"{base}/in/*")
+            made = stream.groupBy("user_id").transformWithStateInPandas(_forgetful(), "user_id long, n long", "Update", "ProcessingTime")
+            batches = until_idle(made, base)
+            if k == 0:
+                time.sleep(1.2 * TTL_MS / 1000)
+        said = spark.read.schema("user_id long, n long").parquet(*[f"{base}/rows/{b}" for b in batches])
+        said = said.groupBy("user_id").agg(F.max("n").alias("n"))
+        store = spark.read.format("statestore").option("stateVarName", "seen").option("batchId", max(batches)).load(f"{base}/state")
+        kept = store.select(F.col("key.user_id").alias("user_id"), F.col("value.value.n").alias("kept"))
+        return said.join(kept, "user_id", "full")
+
+
+def clicks_with_and_without_purchase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Left outer join of two streams: clicks with the same user's purchases within an hour, or, once the watermark has passed that hour, without.
+
+    The rows that move the watermark are on both sides, as a condition would be applied before the watermark is taken.
+    """
+    stream = in_steps(spark, _with_markers(spark, sf_dir, True))
+    clicks = stream.where("event_type IN ('click', 'marker')").select(F.col("user_id").alias("u"), F.col("event_id").alias("click_id"), F.col("ts").alias("clicked"))
+    bought = stream.where("event_type IN ('purchase', 'marker')").select("user_id", "event_id", "ts")
+    on = (F.col("u") == F.col("user_id")) & (F.col("ts") >= F.col("clicked")) & (F.col("ts") <= F.col("clicked") + F.expr("INTERVAL 1 HOUR"))
+    made = clicks.join(bought, on, "left_outer").select(F.col("u").alias("user_id"), "click_id", "event_id")
+    return drained(made, "append").where(F.col("user_id") != MARKER)
+
+
+def at_the_rate_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rate source as a clock for a table: event k is let through at tick k, by a join of the stream with the table."""
+    events_ = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "event_type")
+    first, last = events_.agg(F.min("event_id"), F.max("event_id")).first() or (0, -1)
+    stream = spark.readStream.format("rate-micro-batch").option("rowsPerBatch", (last or 0) - (first or 0) + 1).option("numPartitions", 4).load()
+    ticks = stream.select((F.col("value") + F.lit(first or 0)).alias("event_id"))
+    return drained(ticks.join(events_, "event_id").select("event_id", "event_type"), "append", once=True)
