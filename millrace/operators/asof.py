@@ -21,7 +21,7 @@ def asof_join(
     """``left`` with the columns ``take`` (result name: right column) of the matching right row, or null.
 
     Both sides are united and shuffled once by key; a running ``last`` carries the right row
-    forward. Rows with a null key or time match nothing. With ``strict`` the right row must be
+    forward. Rows with a null key or time match nothing and aren't shuffled. With ``strict`` the right row must be
     earlier. Of right rows at the same time, that with the greatest taken values is matched.
     Columns of ``left`` named like a taken one are replaced.
 
@@ -33,7 +33,13 @@ def asof_join(
     rights = right.where(F.col(key).isNotNull() & F.col(right_time).isNotNull()).select(
         F.col(key).alias("__k"), F.col(right_time).alias("__t"), F.lit(1 if strict else 0).alias("__side"), payload.alias("__r")
     )
-    lefts = left.select(
+    usable = F.col(key).isNotNull() & F.col(left_time).isNotNull()
+    new = {name.lower() for name in take}
+    kept = [c for c in left.columns if c.lower() not in new]
+    # rows that can match nothing stay where they are: a null key may be that of most rows
+    types = {name: right.schema[c].dataType for name, c in take.items()}
+    unmatched = left.where(~usable).select(*[F.col(f"`{c}`") for c in kept], *[F.lit(None).cast(t).alias(name) for name, t in types.items()])
+    lefts = left.where(usable).select(
         F.col(key).alias("__k"),
         F.col(left_time).alias("__t"),
         F.lit(0 if strict else 1).alias("__side"),
@@ -52,8 +58,5 @@ def asof_join(
         earlier = Window.partitionBy("__k").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
         carried = starts.withColumn("__c", F.last("__r", ignorenulls=True).over(earlier)).select("__k", "__b", "__c")
         found = found.join(carried, ["__k", "__b"], "left").withColumn("__m", F.coalesce("__m", "__c"))
-    usable = F.col("__k").isNotNull() & F.col("__t").isNotNull()
-    made: list[Column] = [F.when(usable, F.col("__m")[f"c{i}"]).alias(name) for i, name in enumerate(take)]
-    new = {name.lower() for name in take}
-    kept = [F.col(f"__l.`{c}`") for c in left.columns if c.lower() not in new]
-    return found.select(*kept, *made)
+    made: list[Column] = [F.col("__m")[f"c{i}"].alias(name) for i, name in enumerate(take)]
+    return found.select(*[F.col(f"__l.`{c}`") for c in kept], *made).unionByName(unmatched)

@@ -72,3 +72,12 @@ def test_functions(spark):
     r = df.select(round_half_up(F.col("x"), 2).alias("r"), dot(F.col("a"), F.col("b")).alias("d")).first()
     assert (r.r, r.d) == (1.01, 11.0)
     assert spark.range(2).agg(sample_skewness(F.col("id")).alias("s")).first().s is None
+
+
+def test_asof_leaves_null_keys_where_they_are(spark):
+    left = spark.range(0, 2000, 1, 8).select(F.when(F.col("id") % 10 == 0, F.col("id") % 7).alias("k"), F.col("id").alias("t"))
+    right = spark.range(50).select((F.col("id") % 7).alias("k"), F.col("id").alias("t"), F.col("id").alias("v"))
+    got = asof_join(left, right, "k", "t", "t", {"v": "v"})
+    sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 2000 and max(sizes) <= 2000 * 2 / 8
+    assert got.where("k IS NULL AND v IS NOT NULL").count() == 0 and got.where("v IS NOT NULL").count() > 190
