@@ -37,10 +37,10 @@ def skewness_and_kurtosis(spark: SparkSession, sf_dir: str) -> DataFrame:
 sql(
     "percentiles_within",
     """SELECT l_returnflag, percentile_cont(0.25) WITHIN GROUP (ORDER BY l_quantity) AS q1, percentile_cont(0.9) WITHIN GROUP (ORDER BY l_quantity DESC) AS low,
-      percentile_disc(0.25) WITHIN GROUP (ORDER BY l_quantity) AS d1, median(l_quantity) AS med, mode() WITHIN GROUP (ORDER BY l_linestatus) IS NOT NULL AS has_mode
+      percentile_disc(0.25) WITHIN GROUP (ORDER BY l_quantity) AS d1, median(l_quantity) AS med, mode() WITHIN GROUP (ORDER BY l_linestatus) AS most
     FROM {lineitem} GROUP BY l_returnflag""",
     """SELECT l_returnflag, quantile_cont(l_quantity, 0.25) AS q1, percentile_cont(0.9) WITHIN GROUP (ORDER BY l_quantity DESC) AS low,
-      quantile_disc(l_quantity, 0.25) AS d1, median(l_quantity) AS med, true AS has_mode FROM lineitem GROUP BY 1""",
+      quantile_disc(l_quantity, 0.25) AS d1, median(l_quantity) AS med, mode(l_linestatus) AS most FROM lineitem GROUP BY 1""",
 )
 sql(
     "lists_and_any",

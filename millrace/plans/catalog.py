@@ -13,6 +13,8 @@ from millrace import functions as MF
 from millrace import streaming
 from millrace.operators.asof import asof_join
 from millrace.operators.ranges import range_join
+from millrace.operators.recursion import reachable
+from millrace.operators.sampling import bottom_k
 from millrace.operators.skew import salted_join
 from millrace.operators.windows import groups_frame, sessions, top_per_group
 from millrace.sources import formats, layout, rowgroups
@@ -165,6 +167,23 @@ _sql(
       FROM t JOIN conversations c ON c.conv_id = t.conv_id AND c.turn = t.turn + 1)
     SELECT conv_id, turn, roles, words FROM t""",
 )
+@_query("""
+    WITH RECURSIVE e AS (
+      SELECT DISTINCT a.l_partkey AS src, b.l_partkey AS dst FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND b.l_linenumber = a.l_linenumber + 1),
+    r AS (
+      SELECT p_partkey AS node, 0 AS hops FROM part WHERE p_size = 50
+      UNION SELECT e.dst, r.hops + 1 FROM r JOIN e ON e.src = r.node WHERE r.hops < 6)
+    SELECT node, CAST(min(hops) AS INT) AS hops FROM r GROUP BY 1
+""")
+def part_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts that the largest ones lead to within six steps, from a line of an order to its next one."""
+    rows = table(spark, sf_dir, "lineitem")
+    a = rows.select("l_orderkey", F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("src"))
+    b = rows.select("l_orderkey", (F.col("l_linenumber") - 1).alias("n"), F.col("l_partkey").alias("dst"))
+    roots = table(spark, sf_dir, "part").where("p_size = 50").select(F.col("p_partkey").alias("node"))
+    return reachable(a.join(b, ["l_orderkey", "n"]), roots, 6)
+
+
 _sql(
     "pivoted",
     "SELECT * FROM (SELECT o_orderstatus, o_orderpriority, 1 AS one FROM {orders}) PIVOT (count(one) FOR o_orderstatus IN ('F' AS f, 'O' AS o, 'P' AS p))",
@@ -541,10 +560,19 @@ def arrow_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
 
 
-@_query()
+@_query("""
+    WITH q AS (
+      SELECT o_orderkey, o_orderstatus, o_totalprice,
+        (CAST('0x' || substr(md5('sample|' || CAST(o_orderkey AS VARCHAR)), 1, 12) AS BIGINT) + CAST(0.5 AS DOUBLE)) / CAST(281474976710656 AS DOUBLE) / o_totalprice AS q
+      FROM orders WHERE o_totalprice > 0),
+    r AS (SELECT *, row_number() OVER (PARTITION BY o_orderstatus ORDER BY q, o_orderkey) AS k FROM q),
+    b AS (SELECT o_orderstatus, max(q) FILTER (k = 51) AS bar FROM r GROUP BY 1)
+    SELECT o_orderkey, o_orderstatus, CAST(coalesce(greatest(o_totalprice, 1 / bar), o_totalprice) AS DECIMAL(20,4)) AS price FROM r JOIN b USING (o_orderstatus) WHERE k <= 50
+""")
 def sampled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A Bernoulli sample: which rows differs between engines."""
-    return table(spark, sf_dir, "orders").sample(0.1, seed=7).select("o_orderkey")
+    """50 orders of each status, likelier the higher their price, with what they stand for."""
+    made = bottom_k(table(spark, sf_dir, "orders"), 50, ["o_orderkey"], ["o_orderstatus"], "o_totalprice")
+    return made.select("o_orderkey", "o_orderstatus", F.col("estimate").cast("decimal(20,4)").alias("price"))
 
 
 @_query("SELECT c_mktsegment, max(c_acctbal) - min(c_acctbal) AS width FROM customer GROUP BY 1")
@@ -634,6 +662,11 @@ def stream_memory_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.in_memory(spark, sf_dir)
 
 
+@_query("SELECT count(*) AS kept, count(*) AS dropped FROM events")
+def stream_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return state.kept_and_dropped(spark, sf_dir)
+
+
 @_query("SELECT event_id, event_type FROM events")
 def stream_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.at_the_rate_of(spark, sf_dir)

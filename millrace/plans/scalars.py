@@ -152,3 +152,27 @@ sql(
       '{"' || event_type || '":' || user_id || '}' AS mj, '2' AS second
     FROM events""",
 )
+sql(
+    "moments_apart",
+    """SELECT o_orderkey, timestampadd(HOUR, 30, o_orderdate) AS later, timestampadd(MONTH, -1, o_orderdate) AS before,
+      timestampdiff(DAY, o_orderdate, l_shipdate) AS days, timestampdiff(WEEK, l_shipdate, o_orderdate) AS weeks,
+      timestampdiff(MONTH, o_orderdate, timestampadd(DAY, 45, l_shipdate)) AS months
+    FROM {orders} JOIN {lineitem} ON o_orderkey = l_orderkey WHERE l_linenumber = 1""",
+    """SELECT o_orderkey, o_orderdate + INTERVAL 30 HOUR AS later, o_orderdate - INTERVAL 1 MONTH AS before, date_sub('day', o_orderdate, l_shipdate) AS days,
+      CAST(trunc(date_sub('day', l_shipdate, o_orderdate) / 7) AS BIGINT) AS weeks, date_sub('month', o_orderdate, l_shipdate + INTERVAL 45 DAY) AS months
+    FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_linenumber = 1""",
+)
+sql(
+    "window_times",
+    """SELECT CAST(window_time(w) AS TIMESTAMP_NTZ) AS closes, n FROM (
+      SELECT window(CAST(ts AS TIMESTAMP), '6 hours') AS w, count(*) AS n FROM {events} GROUP BY 1)""",
+    "SELECT time_bucket(INTERVAL 6 HOUR, ts) + INTERVAL 6 HOUR - INTERVAL 1 MICROSECOND AS closes, count(*) AS n FROM events GROUP BY 1",
+)
+sql(
+    "xml_paths",
+    """SELECT c_custkey, xpath_string(x, 'c/s') AS segment, xpath_long(x, 'c/n/@k') AS nation, xpath_boolean(x, 'c/n[@k > 10]') AS high,
+      array_join(xpath(x, 'c/*/text()'), '|') AS texts, xpath_double(x, 'sum(c/n/@k)') AS total
+    FROM (SELECT c_custkey, concat('<c><s>', c_mktsegment, '</s><n k="', c_nationkey, '">', c_name, '</n></c>') AS x FROM {customer})""",
+    """SELECT c_custkey, c_mktsegment AS segment, CAST(c_nationkey AS BIGINT) AS nation, c_nationkey > 10 AS high, c_mktsegment || '|' || c_name AS texts,
+      CAST(c_nationkey AS DOUBLE) AS total FROM customer""",
+)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 import time
 import uuid
 from collections.abc import Iterator
@@ -10,6 +11,7 @@ from contextlib import contextmanager
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from . import drained, events, scratch
@@ -247,6 +249,37 @@ def clicks_with_and_without_purchase(spark: SparkSession, sf_dir: str) -> DataFr
     return drained(made, "append").where(F.col("user_id") != MARKER)
 
 
+def kept_and_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a stream's metrics say of rows that come twice, the second time behind the watermark: kept, by an observed count, and dropped."""
+
+    class Listener(StreamingQueryListener):
+        def __init__(self) -> None:
+            self.kept = self.dropped = 0
+            self.ended = threading.Event()
+
+        def onQueryStarted(self, event) -> None:
+            pass
+
+        def onQueryProgress(self, event) -> None:
+            p = event.progress
+            if "rows" in p.observedMetrics:
+                self.kept += p.observedMetrics["rows"]["n"] or 0
+            self.dropped += sum(s.numRowsDroppedByWatermark for s in p.stateOperators)
+
+        def onQueryTerminated(self, event) -> None:
+            self.ended.set()
+
+    listener = Listener()
+    stream = in_steps(spark, _with_markers(spark, sf_dir, True)).dropDuplicates(["event_id", "ts"])
+    spark.streams.addListener(listener)
+    try:
+        drained(stream.observe("rows", F.count_if(F.col("event_id") >= 0).alias("n")), "append")
+        listener.ended.wait(60)  # told after the fact, in order
+    finally:
+        spark.streams.removeListener(listener)
+    return spark.createDataFrame([(listener.kept, listener.dropped)], "kept long, dropped long")
+
+
 def at_the_rate_of(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rate source as a clock for a table: event k is let through at tick k, by a join of the stream with the table."""
     events_ = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "event_type")

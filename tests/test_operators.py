@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from millrace.functions import dot, round_half_up, sample_skewness
 from millrace.operators.asof import asof_join
 from millrace.operators.ranges import range_join
+from millrace.operators.recursion import reachable
+from millrace.operators.sampling import bottom_k
 from millrace.operators.skew import salted_join
 from millrace.operators.windows import groups_frame, sessions, top_per_group
 
@@ -81,3 +83,23 @@ def test_asof_leaves_null_keys_where_they_are(spark):
     sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
     assert sum(sizes) == 2000 and max(sizes) <= 2000 * 2 / 8
     assert got.where("k IS NULL AND v IS NOT NULL").count() == 0 and got.where("v IS NOT NULL").count() > 190
+
+
+def test_reachable_ends_in_cycles(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (4, 4), (8, 9), (None, 1), (1, None)], "src int, dst int")
+    roots = spark.createDataFrame([(1,), (1,), (None,)], "node int")
+    assert sorted(map(tuple, reachable(edges, roots).collect())) == [(1, 0), (2, 1), (3, 2), (4, 3)]
+    assert sorted(map(tuple, reachable(edges, roots, 1).collect())) == [(1, 0), (2, 1)]
+    chain = spark.range(20).select(F.col("id").alias("src"), (F.col("id") + 1).alias("dst"))
+    assert reachable(chain, spark.range(1).toDF("node")).agg(F.max("hops")).first()[0] == 20
+
+
+def test_samples_have_their_size_and_estimate_sums(spark):
+    rows = spark.range(5000).select("id", (F.col("id") % 2).alias("g"), (F.col("id") % 50).alias("w"))
+    made = [bottom_k(x, 300, ["id"], ["g"], "w").collect() for x in (rows, rows.repartition(7))]
+    assert sorted(made[0]) == sorted(made[1]) and len(made[0]) == 600
+    for g in (0, 1):
+        total = rows.where(F.col("g") == g).agg(F.sum("w")).first()[0]
+        assert abs(sum(r.estimate for r in made[0] if r.g == g) - total) < 0.1 * total
+    few = bottom_k(rows, 10_000, ["id"], weight="w").collect()
+    assert len(few) == 4900 and all(r.estimate == r.w for r in few)
