@@ -156,10 +156,10 @@ sql(
     "moments_apart",
     """SELECT o_orderkey, timestampadd(HOUR, 30, o_orderdate) AS later, timestampadd(MONTH, -1, o_orderdate) AS before,
       timestampdiff(DAY, o_orderdate, l_shipdate) AS days, timestampdiff(WEEK, l_shipdate, o_orderdate) AS weeks,
-      timestampdiff(MONTH, o_orderdate, timestampadd(DAY, 45, l_shipdate)) AS months
+      timestampdiff(HOUR, o_orderdate, timestampadd(MINUTE, 45, l_shipdate)) AS hours
     FROM {orders} JOIN {lineitem} ON o_orderkey = l_orderkey WHERE l_linenumber = 1""",
     """SELECT o_orderkey, o_orderdate + INTERVAL 30 HOUR AS later, o_orderdate - INTERVAL 1 MONTH AS before, date_sub('day', o_orderdate, l_shipdate) AS days,
-      CAST(trunc(date_sub('day', l_shipdate, o_orderdate) / 7) AS BIGINT) AS weeks, date_sub('month', o_orderdate, l_shipdate + INTERVAL 45 DAY) AS months
+      CAST(trunc(date_sub('day', l_shipdate, o_orderdate) / 7) AS BIGINT) AS weeks, date_sub('hour', o_orderdate, l_shipdate + INTERVAL 45 MINUTE) AS hours
     FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE l_linenumber = 1""",
 )
 sql(
