@@ -17,7 +17,7 @@ from millrace.operators.recursion import reachable
 from millrace.operators.sampling import bottom_k
 from millrace.operators.skew import salted_join
 from millrace.operators.windows import groups_frame, sessions, top_per_group
-from millrace.sources import formats, layout, rowgroups
+from millrace.sources import formats, jdbc, layout, rowgroups
 from millrace.sources.scratch import scratch_path
 from millrace.sources.tables import table
 from millrace.streaming import state
@@ -396,6 +396,15 @@ def format_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return formats.text_lines(table(spark, sf_dir, "customer"), "c_name")
 
 
+@_query("SELECT c_nationkey, count(*) AS customers, max(c_acctbal) AS most, min(c_custkey) AS first FROM customer WHERE c_acctbal > 0 GROUP BY 1")
+def jdbc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers written to a database and read back in ranges of their key."""
+    url = jdbc.own_database(spark)
+    jdbc.write_table(table(spark, sf_dir, "customer"), url, "customer")
+    rows = jdbc.read_table(spark, url, "customer", "c_custkey", 4).where("c_acctbal > 0")
+    return rows.groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("customers"), F.max("c_acctbal").alias("most"), F.min("c_custkey").alias("first"))
+
+
 @_query("SELECT page_id, url, length(html) AS n FROM pages WHERE page_id >= 20")
 def python_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages by a source in Python, which leaves out row groups by their footers."""

@@ -7,7 +7,7 @@ import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from millrace.plans import catalog
-from millrace.sources import layout, rowgroups
+from millrace.sources import jdbc, layout, rowgroups
 
 
 def _plan(df) -> str:
@@ -66,3 +66,17 @@ def test_a_stream_of_row_groups_goes_on_where_it_stopped(spark, tmp_path):
     add("b", 50)
     rowgroups.copied(spark, *where)
     assert there() == list(range(100))
+
+
+def test_a_database_reads_in_ranges_and_filters(spark, small):
+    url = jdbc.own_database(spark)
+    rows = spark.read.parquet(f"{small}/customer.parquet")
+    jdbc.write_table(rows, url, "customer")
+    back = jdbc.read_table(spark, url, "customer", "c_custkey", 4)
+    assert back.rdd.getNumPartitions() == 4 and sorted(back.columns) == sorted(rows.columns)
+    assert sorted(map(tuple, back.select(rows.columns).collect())) == sorted(map(tuple, rows.collect()))
+    plan = catalog.QUERIES["jdbc_round_trip"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert "*GreaterThan(c_acctbal" in plan
+    empty = rows.limit(0)
+    jdbc.write_table(empty, url, "nobody")
+    assert jdbc.read_table(spark, url, "nobody", "c_custkey").count() == 0
