@@ -257,7 +257,7 @@ def pack(
 
     def fill(key: tuple, t: pa.Table) -> pa.Table:
         rows = t.to_pylist()
-        rows.sort(key=lambda r: (-(r["n"] % length), r["id"] is not None, r["id"] or 0, r["row"]))
+        rows.sort(key=lambda r: (-(r["n"] % length), r["id"] is not None, 0 if r["id"] is None else r["id"], r["row"]))
         out: dict[str, list] = {k: [] for k in ("id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *(["ids"] if ids else []))}
         sequence = key[0].as_py() << 32
 
