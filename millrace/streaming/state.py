@@ -207,7 +207,9 @@ def until_idle(stream: DataFrame, path: str, seconds: float = 600) -> list[int]:
         while query.isActive and time.monotonic() < end:
             done = {p["batchId"]: p["numInputRows"] for p in query.recentProgress}
             batches = sorted(b for b, n in done.items() if n)
-            if any(n == 0 for n in done.values()):
+            # a batch that was cut short by the last stop comes first and may have no rows either
+            idle = [b for b, n in done.items() if n == 0 and b > max(batches, default=-1)]
+            if len(idle) >= (1 if batches else 4):
                 break
             time.sleep(0.1)
     finally:
