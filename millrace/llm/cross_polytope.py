@@ -41,7 +41,7 @@ from .vectors import best, distinct_vectors, encoded, matrix, ranked, valid
 
 TABLES, SEED = 48, 20240
 #: Vectors and queries of a block in which pairs are scored, and pairs scored at a time.
-BLOCK, QUERY_BLOCK, PAIRS = 2048, 4096, 1 << 16
+BLOCK, QUERY_BLOCK, PAIRS = 8192, 4096, 1 << 16
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
