@@ -398,10 +398,15 @@ def format_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query("SELECT c_nationkey, count(*) AS customers, max(c_acctbal) AS most, min(c_custkey) AS first FROM customer WHERE c_acctbal > 0 GROUP BY 1")
 def jdbc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Customers written to a database and read back in ranges of their key."""
-    url = jdbc.own_database(spark)
-    jdbc.write_table(table(spark, sf_dir, "customer"), url, "customer")
-    rows = jdbc.read_table(spark, url, "customer", "c_custkey", 4).where("c_acctbal > 0")
+    """Customers written to a database and read back in ranges of their key; on a cluster, by a database for each share of them."""
+    customers = table(spark, sf_dir, "customer")
+    if jdbc.in_one_process(spark):
+        url = jdbc.own_database(spark)
+        jdbc.write_table(customers, url, "customer")
+        rows = jdbc.read_table(spark, url, "customer", "c_custkey", 4)
+    else:
+        rows = jdbc.by_databases(customers, "customer")
+    rows = rows.where("c_acctbal > 0")
     return rows.groupBy("c_nationkey").agg(F.count(F.lit(1)).alias("customers"), F.max("c_acctbal").alias("most"), F.min("c_custkey").alias("first"))
 
 
