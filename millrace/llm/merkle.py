@@ -133,6 +133,7 @@ def _proven(leaves: DataFrame, above: DataFrame, ident: str, fanout: int, levels
         made = _levels(_matrix(t["node"]), t["n"][0].as_py(), fanout, levels)[:-1]
         near = [_Siblings(m, fanout) for m in made]
         tail = [(x["at"], x["others"].encode()) for x in up["path"][0].as_py()]
+        sides = [(o[: 64 * a], o[64 * a :]) for a, o in tail]
         # what the proof holds above a level's nodes, from the top: a run of nodes shares it
         rest = [b"".join(o for _, o in tail)]
         for m, s in zip(made[:0:-1], near[:0:-1], strict=True):
@@ -141,18 +142,15 @@ def _proven(leaves: DataFrame, above: DataFrame, ident: str, fanout: int, levels
         root, subroot = up["root"][0].as_py(), up["subroot"][0].as_py()
         for i, (own, seen) in enumerate(zip(hexes, t["seen"].to_pylist(), strict=True)):
             proofs.append(sha256(b"".join(near[0](i)) + rest[i // fanout] if near else rest[0]).hexdigest())
-            cur, j = (own if seen is None else seen.hex()).encode(), i
-            if seen is None and not paths:  # its way up is the one that was built
-                folded.append(root)
-                continue
-            path = []
+            cur, j, path = (own if seen is None else seen.hex()).encode(), i, []
             for s in near:
                 left, right = s(j)
                 cur = sha256(left + cur + right).hexdigest().encode()
-                path.append({"at": j % fanout, "others": (left + right).decode()})
+                if paths:
+                    path.append({"at": j % fanout, "others": (left + right).decode()})
                 j //= fanout
-            for at, others in tail:
-                cur = sha256(others[: 64 * at] + cur + others[64 * at :]).hexdigest().encode()
+            for left, right in sides:
+                cur = sha256(left + cur + right).hexdigest().encode()
             folded.append(cur.decode())
             if paths:
                 every.append([*path, *({"at": a, "others": o.decode()} for a, o in tail)])
@@ -193,7 +191,7 @@ def manifest(
 
     ``columns`` are those of the leaf. ``tampered``: where its condition holds, the row's leaf
     is recomputed with these columns instead, and the proof of the original is folded with it; other
-    rows fold to the root. ``paths``: also the proof itself, for :func:`fold`.
+    rows' proofs are folded with their own leaf. ``paths``: also the proof itself, for :func:`fold`.
     """
     own = {c: F.col(f"`{c}`") for c in columns}
     where, changed = tampered or (F.lit(False), {})

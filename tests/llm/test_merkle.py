@@ -70,6 +70,17 @@ def test_paths_lead_to_the_root(spark):
         assert sha256("".join(x.others for x in r.path).encode()).hexdigest() == r.proof_sha256
 
 
+def test_rows_left_as_they_were_are_folded_too(spark):
+    nodes = [h(str(i)) for i in range(5)]
+    tree, other = up(nodes, 4), h("another subroot")
+    leaves = spark.createDataFrame([("s", i, 5, i, bytes.fromhex(x), None) for i, x in enumerate(nodes)], "tree string, pos long, n long, id long, node binary, seen binary")
+    for root, whole in ((h(tree[-1][0], other), True), (h(tree[-1][0], "a root that the siblings don't lead to"), False)):
+        above = spark.createDataFrame([("s", 0, [(0, other)], tree[-1][0], root)], f"tree string, pos long, path {merkle.PATH}, subroot string, root string")
+        for paths in (False, True):
+            got = merkle._proven(leaves, above, "id", 4, 2, paths).collect()
+            assert len(got) == 5 and {(r.folded_root, r.verified) for r in got} == {(h(tree[-1][0], other), whole)}
+
+
 def test_one_row_and_none(spark):
     (r,) = made(spark, [(1, "a", "b")], 16, 3).collect()
     assert r.leaf == r.subroot == r.root == r.folded_root and r.proof_sha256 == h("") and r.verified
