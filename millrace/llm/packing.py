@@ -31,7 +31,7 @@ import re
 import zlib
 from array import array
 from collections.abc import Callable, Iterator
-from itertools import islice
+from itertools import chain, compress, islice
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +44,8 @@ from .common import materialise, pieces
 LENGTH, GROUP_DOCS, LEAST = 2048, 1024, 8
 #: Distinct chunks and pre-tokens a worker remembers, characters split and encoded at a time.
 CHUNKS, WORDS, WINDOW, CALL_CHUNKS = 1_200_000, 1_500_000, 1 << 20, 20_000
+#: Pre-tokens in one call's text.
+RUN_WORDS = 128
 PIECE_BYTES = 8 << 20
 
 
@@ -62,29 +64,64 @@ def gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray, at: np.ndarray
     return flat[np.arange(ends[-1] if len(ends) else 0) + np.repeat(start[at] - ends + many, many)]
 
 
-class WordIds(dict):
-    """Ids of chunks as those of their pre-tokens in lower case, where a chunk has none but these characters; others at once."""
+def flat(made: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """The lists' lengths, and their numbers one after the other."""
+    size = np.fromiter(map(len, made), np.int64, len(made))
+    return size, np.fromiter(chain.from_iterable(made), np.uint32, int(size.sum()))
 
-    plain = re.compile(r"[\x21-\x7E\xA1-\xAC\xAE-\xFF]*").fullmatch
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]], pattern: str) -> None:
-        super().__init__()
-        self.encode, self.find = encode, regex.compile(pattern).findall
+class WordIds:
+    """Ids of chunks as those of their pre-tokens in lower case, where a chunk has none but these characters; others at once.
 
-    def __call__(self, chunks: list[str]) -> list[list[int]]:
-        if len(self) > WORDS:
-            self.clear()
-        split = [self.find(c.lower()) if self.plain(c) and "<|" not in c else None for c in chunks]
-        new = list({w: None for words in split if words for w in words if w not in self})
-        self.update(zip(new, self.encode(new), strict=True))
-        whole = iter(self.encode([c for c, words in zip(chunks, split, strict=True) if words is None]))
-        return [next(whole) if words is None else self[words[0]] if len(words) == 1 else [i for w in words for i in self[w]] for words in split]
+    The library is given runs of pre-tokens with spaces between, whose ids are told apart by those that end a word.
+    """
+
+    plain = re.compile(r"[\t\n\r\x21-\x7E\xA1-\xAC\xAE-\xFF]*").fullmatch
+
+    def __init__(self, encode: Callable[[list[str]], list[list[int]]], pattern: str, ends: np.ndarray) -> None:
+        self.encode, self.find, self.ends = encode, regex.compile(pattern).findall, ends
+        self._forget()
+
+    def _forget(self) -> None:
+        self.index, self.flat, self.start, self.size = Numbers(), np.empty(0, np.uint32), np.empty(0, np.int64), np.empty(0, np.int64)
+
+    def _apart(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        made = [(np.empty(0, np.int64), np.empty(0, np.uint32))]
+        runs = [words[i : i + RUN_WORDS] for i in range(0, len(words), RUN_WORDS)]
+        for run, ids in zip(runs, self.encode([" ".join(r) for r in runs]), strict=True):
+            ids = np.array(ids, np.uint32)
+            size = np.diff(np.flatnonzero(self.ends[ids]) + 1, prepend=0)
+            made.append((size, ids) if len(size) == len(run) and size.sum() == len(ids) else flat(self.encode(run)))
+        return np.concatenate([m[0] for m in made]), np.concatenate([m[1] for m in made])
+
+    def __call__(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.index) > WORDS:
+            self._forget()
+        number, words, many = self.index.__getitem__, array("i"), []
+        split = np.array([bool(self.plain(c)) and "<|" not in c for c in chunks], bool)
+        for c in compress(chunks, split):
+            found = self.find(c.lower())
+            words.extend(map(number, found))
+            many.append(len(found))
+        size, ids = self._apart(list(islice(self.index, len(self.size), None)))
+        self.start = np.concatenate((self.start, len(self.flat) + np.cumsum(size) - size))
+        self.size = np.concatenate((self.size, size))
+        self.flat = np.concatenate((self.flat, ids))
+        at = np.frombuffer(words, np.int32)
+        ends = np.append(0, np.cumsum(self.size[at]))[np.append(0, np.cumsum(many, dtype=np.int64))]
+        whole_size, whole_ids = flat(self.encode(list(compress(chunks, ~split))))
+        sizes = np.empty(len(chunks), np.int64)
+        sizes[split], sizes[~split] = np.diff(ends), whole_size
+        where = np.repeat(split, sizes)
+        out = np.empty(len(where), np.uint32)
+        out[where], out[~where] = gather(self.flat, self.start, self.size, at), whole_ids
+        return sizes, out
 
 
 class ChunkIds:
-    """Ids of texts as those of their chunks between spaces."""
+    """Ids of texts as those of their chunks between spaces; ``encode`` gives lengths and ids of chunks."""
 
-    def __init__(self, encode: Callable[[list[str]], list[list[int]]]) -> None:
+    def __init__(self, encode: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]) -> None:
         self.encode = encode
         self._forget()
 
@@ -94,11 +131,10 @@ class ChunkIds:
     def _learn(self) -> None:
         new = list(islice(self.index, len(self.size), None))
         for i in range(0, len(new), CALL_CHUNKS):
-            made = self.encode(new[i : i + CALL_CHUNKS])
-            size = np.array([len(x) for x in made], np.int64)
+            size, ids = self.encode(new[i : i + CALL_CHUNKS])
             self.start = np.concatenate((self.start, len(self.flat) + np.cumsum(size) - size))
             self.size = np.concatenate((self.size, size))
-            self.flat = np.concatenate((self.flat, np.array([x for ids in made for x in ids], np.uint32)))
+            self.flat = np.concatenate((self.flat, ids))
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         if len(self.index) > CHUNKS:
@@ -140,7 +176,13 @@ class Encoder:
         marks = ("<|" in t["content"] for t in said["added_tokens"])
         kinds = [n["type"] for n in (said.get("normalizer") or {}).get("normalizers", [])]
         lowers = apart and len(splits) == 1 and kinds == ["NFC", "Replace", "Lowercase"] and "Regex" in splits[0]["pattern"] and all(marks)
-        parts = WordIds(whole, splits[0]["pattern"]["Regex"]) if lowers else whole
+        suffix = model.get("end_of_word_suffix")
+        if lowers and suffix:
+            ends = np.zeros(max(tok.get_vocab().values()) + 1, bool)
+            ends[[i for token, i in tok.get_vocab(with_added_tokens=False).items() if token.endswith(suffix)]] = True
+            parts = WordIds(whole, splits[0]["pattern"]["Regex"], ends)
+        else:
+            parts = lambda texts: flat(whole(texts))
         self.ids = ChunkIds(parts) if apart else lambda texts: [np.array(x, np.uint32) for x in whole(texts)]
 
 

@@ -64,6 +64,26 @@ def test_ids_are_the_librarys(library):
     assert [x.tolist() for x in got] == [library.encode(t, add_special_tokens=False).ids for t in texts]
 
 
+def test_new_words_are_encoded_in_runs(library):
+    own, given = packing.encoder(VOCAB).ids.encode, []
+    words = packing.WordIds(lambda texts: given.extend(texts) or [e.ids for e in library.encode_batch(texts, add_special_tokens=False)], own.find.__self__.pattern, own.ends)
+    chunks = ["", *(f"Word{'abcdefghij'[i % 10] * (i // 10)}'s,\r\nnext" for i in range(1000)), "Σας", "", "<|endoftext|>x", "</w>", "a</w>b"]
+    want = [library.encode(c, add_special_tokens=False).ids for c in chunks]
+    for ends, calls in ((own.ends, 15), (np.zeros_like(own.ends), 1100)):  # without ends, each word is a call's text of its own
+        words._forget()
+        words.ends = ends
+        given.clear()
+        size, ids = words(chunks)
+        assert (size.tolist(), ids.tolist()) == flatly(want)
+        assert len(given) <= calls
+        size, ids = words(chunks[:3] + chunks[-2:])
+        assert (size.tolist(), ids.tolist()) == flatly(want[:3] + want[-2:])
+
+
+def flatly(want):
+    return [len(x) for x in want], [i for x in want for i in x]
+
+
 def check(rows, texts: dict, library, length: int, least: int = packing.LEAST):
     """Pieces against the library's ids; ``texts``: key to text."""
     ids = {k: np.array([*library.encode(t or "", add_special_tokens=False).ids, 1], "<u4") for k, t in texts.items()}
