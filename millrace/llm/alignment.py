@@ -48,6 +48,8 @@ from .packing import Numbers, gather
 HEAD = 1_000_000
 #: Chunks and characters of chunks a worker remembers before it starts afresh, and bytes of rows that share a batch.
 CHUNKS, CHUNK_CHARS, CALL_CHUNKS, BATCH_BYTES = 800_000, 16 << 20, 10_000, 8 << 20
+#: Chunks in one text for A.
+RUN_CHUNKS = 64
 COUNTS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 LETTER, SIGN = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f", r"!-/:-@\[-`{-~"
 #: A character and what follows it, up to a space behind something else than white space or a sign behind a letter.
@@ -73,12 +75,15 @@ class Pair:
 
         tok = tokenizers.Tokenizer.from_file(a)
         tok.encode_special_tokens = True
-        self.a = lambda texts: [e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
+        self.whole = lambda texts: [e.ids for e in tok.encode_batch_fast(texts, add_special_tokens=False)]
         alphabet = byte_alphabet()
         self.a_bytes = {i: bytes(alphabet[c] for c in s) for s, i in tok.get_vocab(with_added_tokens=False).items()}
+        self.a_size = np.zeros(max(tok.get_vocab().values()) + 1, np.int64)
+        self.a_size[list(self.a_bytes)] = [len(x) for x in self.a_bytes.values()]
         sp = sentencepiece.SentencePieceProcessor(model_file=b)
         said = [sp.id_to_piece(i).replace("▁", " ") for i in range(sp.get_piece_size())]
         self.b_bytes = [bytes([int(s[3:5], 16)]) if sp.is_byte(i) else b"" if sp.is_control(i) or sp.is_unknown(i) else s.encode() for i, s in enumerate(said)]
+        self.b_size = np.array([len(x) for x in self.b_bytes], np.int64)
         # the library adds a space to a text, which stands for that of a chunk; it adds none to nothing, and a letter goes before a sign
         space, letter = sp.piece_to_id("▁"), sp.encode("a")
 
@@ -91,6 +96,25 @@ class Pair:
         if len(letter) != 1 or any(re.search(rf"\S |[{LETTER}][{SIGN}]", s) for s in plain):
             raise ValueError("a piece of B reaches across the end of a chunk")
 
+    def a(self, texts: list[str]) -> list[list[int]]:
+        """A's ids of chunks. Those from a space to no white space can follow each other, so the library gets runs of them as one text."""
+        out: list[list[int] | None] = [None] * len(texts)
+        apart = [i for i, t in enumerate(texts) if t[0] == " " and not t[-1].isspace()]
+        runs = [apart[i : i + RUN_CHUNKS] for i in range(0, len(apart), RUN_CHUNKS)]
+        for run, ids in zip(runs, self.whole(["".join([texts[i] for i in r]) for r in runs]), strict=True):
+            ends = np.cumsum(self.a_size[ids])
+            want = np.cumsum([len(texts[i].encode()) for i in run])
+            at = np.searchsorted(ends, want)
+            if len(ends) and ends[-1] == want[-1] and (ends[at] == want).all():
+                start = 0
+                for i, end in zip(run, (at + 1).tolist(), strict=True):
+                    out[i] = ids[start:end]
+                    start = end
+        rest = [i for i, x in enumerate(out) if x is None]  # also of runs whose bytes A doesn't give back
+        for i, ids in zip(rest, self.whole([texts[i] for i in rest]), strict=True):
+            out[i] = ids
+        return out
+
 
 def labels(a_sizes: np.ndarray, b_sizes: np.ndarray) -> bytes:
     """The label of each byte, from the byte counts of both sides' tokens."""
@@ -149,7 +173,7 @@ class Aligner:
             every_a, every_b, end = self.pair.a(chunks), self.pair.b(chunks), 0
             same = [self._same(*z) for z in zip(chunks, every_a, every_b, strict=True)]
             good = [[x for ids, s in zip(every, same, strict=True) if s for x in ids] for every in (every_a, every_b)]
-            label = labels(np.array([len(self.pair.a_bytes[x]) for x in good[0]], np.int64), np.array([len(self.pair.b_bytes[x]) for x in good[1]], np.int64))
+            label = labels(self.pair.a_size[np.array(good[0], np.int64)], self.pair.b_size[np.array(good[1], np.int64)])
             for raw, a, b in zip(same, every_a, every_b, strict=True):
                 if not raw:
                     self.text.append(None)
@@ -195,7 +219,7 @@ class Aligner:
         out = []
         for text, row in zip(texts, rows, strict=True):
             at = np.frombuffer(row, np.int32)
-            if any(self.text[x] is None for x in np.unique(at).tolist()):
+            if not self.sizes[at, 2].all():  # a chunk without groups is one whose bytes differ
                 at = np.array([number(" " + text)], np.int32)
                 self._learn()
                 if self.text[at[0]] is None:

@@ -99,6 +99,20 @@ def test_workers_that_forget_count_the_same(spark, libraries, monkeypatch):
     assert all((x == y).all() for x, y in zip(first, again, strict=True))
 
 
+def test_chunks_in_runs_have_the_ids_of_lone_ones(libraries):
+    own, given = alignment.Pair(A, B), []
+    whole = own.whole
+    own.whole = lambda texts: given.extend(texts) or whole(texts)
+    rnd = random.Random(4)
+    texts = ["".join(rnd.choice(" '\n\tabSTst.1;)é▁日Σ　\x1c\u0301") for _ in range(rnd.randrange(1, 60))) for _ in range(400)] + [t for t in ODD if t]
+    chunks = [c for t in texts for c in alignment.CHUNK.findall(" " + t)] + [" " + t for t in texts]
+    assert own.a(chunks) == [libraries[0].encode(c, add_special_tokens=False).ids for c in chunks]
+    given.clear()
+    chunks = [f" word{i}" for i in range(640)]
+    assert own.a(chunks) == whole(chunks) and len(given) == 10
+    assert own.a([]) == []
+
+
 def test_query(spark, small, libraries):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
     got = queries.QUERIES["op13_alignment"](spark, small).collect()
